@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import sentences
+from folioflow.llm import lookalikes, pieces, sentences
 from folioflow.session import spread
 from folioflow.sources.tables import table
 
@@ -20,5 +20,57 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_ends(spread(_published_body(spark, sf_dir), "para_id"))
 
 
-QUERIES = {"p1_found": p1_found}
-SQL: dict[str, str] = {}
+PRINT_LEAST = 60
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "paragraphs").select(F.col("para_id").alias("id"), "text")
+    return lookalikes.equal_print_pairs(spread(items, "id"), PRINT_LEAST).select(F.col("a").alias("para_id_a"), F.col("b").alias("para_id_b"))
+
+
+def p4_clip_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence with the clip key of its one form, and whether its stored key was made from another form."""
+    sents = spread(table(spark, sf_dir, "sentences").select("sent_id", "text", "clip_key").distinct(), "sent_id")
+    made = lookalikes.unified(sents).withColumn("form_key", lookalikes.clip_key(F.col("one_form")))
+    return made.select("sent_id", "form_key", (F.col("clip_key").isNotNull() & (F.col("clip_key") != F.col("form_key"))).alias("rekeyed"))
+
+
+def _limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence and paragraph that may be too long, with the limit of the engine of its spine document."""
+    limits = table(spark, sf_dir, "engine_limits").where("engine is not null").dropDuplicates(["engine"])
+    least = limits.agg(F.min("max_sentence"), F.min("max_paragraph")).first()  # a fixed table of five rows
+    engines = table(spark, sf_dir, "spine_docs").select("book_id", "doc_pos", "engine").dropDuplicates(["book_id", "doc_pos"]).join(F.broadcast(limits), "engine")
+    paragraphs = table(spark, sf_dir, "paragraphs").select("para_id", "book_id", "doc_pos", "text")
+    # no unit counts more than UTF-8 bytes, so short texts leave before any shuffle
+    sents = table(spark, sf_dir, "sentences").select("sent_id", "para_id", "text").where(F.octet_length("text") > (least[0] or 0))
+    homes = paragraphs.select("para_id", "book_id", "doc_pos").dropDuplicates(["para_id"])
+    sents = sents.join(homes, "para_id").select(F.lit("sentence").alias("item_kind"), F.col("sent_id").alias("item_id"), "book_id", "doc_pos", "text")
+    paras = paragraphs.where(F.octet_length("text") > (least[1] or 0)).select(F.lit("paragraph").alias("item_kind"), F.col("para_id").alias("item_id"), "book_id", "doc_pos", "text")
+    most = F.when(F.col("item_kind") == "sentence", F.col("max_sentence")).otherwise(F.col("max_paragraph"))
+    return sents.unionByName(paras).join(engines, ["book_id", "doc_pos"]).withColumn("max_size", most)
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.oversized_pieces(_limited(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pieces(spark, sf_dir).where("piece_idx = 1").select("item_kind", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_clip_keys": p4_clip_keys, "p5_found": p5_found, "p5_pieces": p5_pieces}
+SQL: dict[str, str] = {
+    "p5_found": r"""
+WITH homes AS (SELECT DISTINCT para_id, book_id, doc_pos FROM paragraphs),
+items AS (
+  SELECT 'sentence' AS item_kind, s.sent_id AS item_id, h.book_id, h.doc_pos, s.text FROM sentences s JOIN homes h USING (para_id)
+  UNION ALL SELECT 'paragraph', para_id, book_id, doc_pos, text FROM paragraphs
+), sized AS (
+  SELECT i.item_kind, i.item_id, CASE WHEN i.item_kind = 'sentence' THEN l.max_sentence ELSE l.max_paragraph END AS most,
+    CASE l.size_unit WHEN 'chars' THEN length(i.text) WHEN 'bytes' THEN strlen(i.text)
+      ELSE length(i.text) + length(regexp_replace(i.text, '[\x{0000}-\x{FFFF}]', '', 'g')) END AS size
+  FROM items i JOIN (SELECT DISTINCT book_id, doc_pos, engine FROM spine_docs) d USING (book_id, doc_pos) JOIN engine_limits l USING (engine)
+)
+SELECT DISTINCT item_kind, item_id FROM sized WHERE size > most
+""",
+}
