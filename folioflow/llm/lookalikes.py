@@ -20,12 +20,13 @@ from pyspark.sql import types as T
 
 from folioflow.session import cut
 
-# Letters that print alike, each with the Latin letter it comes out as.
+# Letters that print alike, each with the letter it comes out as.
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ӏ": "I",
     "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "ι": "i", "ı": "i", "ɡ": "g", "ɑ": "a", "α": "a", "ρ": "p", "υ": "u", "κ": "k", "к": "k", "ɩ": "i",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
+    "ک": "ك", "ی": "ي", "ہ": "ه",
     "օ": "o", "ս": "u", "հ": "h", "ց": "g", "Օ": "O", "Ս": "U", "Լ": "L",
 }
 BLANK = "               　\t"

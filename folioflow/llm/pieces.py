@@ -21,7 +21,7 @@ import regex as re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.sentences import scan
+from folioflow.llm.sentences import OPEN_LOWER, TITLES, scan
 
 BLOCK_WORDS = 20
 LEAST_FILL = 0.5
@@ -29,6 +29,7 @@ WORD = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}\p{N}]+
 CLAUSE = re.compile(r"[,;:，、；：،؛·](?=\s|[^\x00-\x7f])[”»’」』)]*\s*|\s[—–]\s|[—–](?=\s)\s*")
 BLANK = re.compile(r"\s+")
 GRAPHEME = re.compile(r"\X")
+LOWER_TITLES = frozenset(t.lower() for t in TITLES)
 
 
 def size_of(text: Column, unit: Column) -> Column:
@@ -81,7 +82,9 @@ def cut(text: str, unit: str, limit: int, overlap: int) -> list[tuple[int, int,
         return [(0, size, "end")]
     overlap = min(overlap, limit // 2)
     ends = []
-    for end, _, _ in scan(text)[0]:
+    for end, state, word in scan(text)[0]:
+        if state == OPEN_LOWER or state and (word.lower() in LOWER_TITLES or len(word) < 3):
+            continue
         m = BLANK.match(text, end)
         ends.append(m.end() if m else end)
     ends = [e for e in ends if 0 < e < size]

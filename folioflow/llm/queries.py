@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import lookalikes, pieces, sentences
+from folioflow.llm import encoding, lookalikes, pieces, sentences
 from folioflow.session import spread
 from folioflow.sources.tables import table
 
@@ -58,7 +58,34 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("piece_idx = 1").select("item_kind", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_clip_keys": p4_clip_keys, "p5_found": p5_found, "p5_pieces": p5_pieces}
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books, paragraphs = table(spark, sf_dir, "books"), table(spark, sf_dir, "paragraphs")
+    of = lambda df, kind, key, text: df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    return spread(of(books, "title", "book_id", "title").unionByName(of(books, "author", "book_id", "author")).unionByName(of(paragraphs, "paragraph", "para_id", "text")), "key")
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.restored(_records(spark, sf_dir)).toDF("record_kind", "record_key", "transformation", "restored")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_restored(spark, sf_dir).select("record_kind", "record_key").distinct()
+
+
+def p2_transformations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.learned(encoding.suspects(_records(spark, sf_dir)))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
+    "p2_transformations": p2_transformations,
+    "p4_found": p4_found,
+    "p4_clip_keys": p4_clip_keys,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
+}
 SQL: dict[str, str] = {
     "p5_found": r"""
 WITH homes AS (SELECT DISTINCT para_id, book_id, doc_pos FROM paragraphs),
