@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import encoding, lookalikes, pieces, sentences
+from folioflow.llm import encoding, lookalikes, markup, pieces, sentences
 from folioflow.session import spread
 from folioflow.sources.tables import table
 
@@ -20,6 +20,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_ends(spread(_published_body(spark, sf_dir), "para_id"))
 
 
+def _hosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "paragraphs").select(F.col("para_id").alias("id"), F.col("book_id").alias("host"), "kind", "text"), "id")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.marked(_hosted(spark, sf_dir)).select(F.col("id").alias("para_id")).distinct()
+
+
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.cleaned(_hosted(spark, sf_dir)).withColumnRenamed("id", "para_id")
+
+
+def p3_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.wrappers(markup.streams(_hosted(spark, sf_dir))).withColumnRenamed("host", "book_id")
+
+
 PRINT_LEAST = 60
 
 
@@ -81,6 +97,9 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_restored": p2_restored,
     "p2_transformations": p2_transformations,
+    "p3_found": p3_found,
+    "p3_clean": p3_clean,
+    "p3_wrappers": p3_wrappers,
     "p4_found": p4_found,
     "p4_clip_keys": p4_clip_keys,
     "p5_found": p5_found,
