@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import encoding, lookalikes, markup, pieces, sentences
+from folioflow.llm import encoding, leakage, lookalikes, markup, pieces, sentences
 from folioflow.session import spread
 from folioflow.sources.tables import table
 
@@ -92,6 +92,22 @@ def p2_transformations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.learned(encoding.suspects(_records(spark, sf_dir)))
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir)
+
+
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.without_leaks(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), _leaks(spark, sf_dir))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -104,6 +120,9 @@ QUERIES = {
     "p4_clip_keys": p4_clip_keys,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p7_found": p7_found,
+    "p7_matches": p7_matches,
+    "p7_kept": p7_kept,
 }
 SQL: dict[str, str] = {
     "p5_found": r"""
