@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import encoding, leakage, lookalikes, markup, pieces, sentences
+from folioflow.llm import encoding, leakage, lookalikes, markup, pieces, sentences, stuffing
 from folioflow.session import spread
 from folioflow.sources.tables import table
 
@@ -108,6 +108,18 @@ def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.without_leaks(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), _leaks(spark, sf_dir))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed(_pages(spark, sf_dir)).select("doc_id")
+
+
+def p8_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.curves(_pages(spark, sf_dir)).select("doc_id", "different", "used", *[F.round(c, 6).alias(c) for c in ("apart", "linked", "slope", "residual")])
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -123,6 +135,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_matches": p7_matches,
     "p7_kept": p7_kept,
+    "p8_found": p8_found,
+    "p8_curves": p8_curves,
 }
 SQL: dict[str, str] = {
     "p5_found": r"""
