@@ -22,6 +22,7 @@ COMMON_SHARE = 0.15  # share of a language's pages a word must stand in to mark
 LEAST_PAGES = 20  # pages a language needs to tell its prose
 RATE_SLACK = 3.0  # times its usual rate up to which a word of a line counts as prose
 PROSE = 0.1  # share of such words below which a line diverges
+PROSE_DENSE = 0.25  # the same in scripts without blanks, whose words here are single characters, most of them common
 SHORT_LINE = 8
 LARGER_PART = 0.5
 STEEP = -0.2  # slope of log frequency over log rank; the words of an index, each there once, give 0
@@ -77,6 +78,11 @@ def prose_share(own: list[str], rates: dict[str, float]) -> float:
     return sum(min(k / n, RATE_SLACK * rates[w]) for w, k in Counter(own).items() if w in rates)
 
 
+def diverges(own: list[str], rates: dict[str, float]) -> bool:
+    dense = sum(len(w) == 1 and w >= "\u0e00" for w in own) * 2 > len(own)
+    return prose_share(own, rates) < (PROSE_DENSE if dense else PROSE)
+
+
 def diverging(text: str, rates: dict[str, float]) -> tuple[float, float, Counter]:
     """Share of the characters in diverging lines, share of those in lines of links or tags, and the words of diverging lines.
 
@@ -102,11 +108,11 @@ def diverging(text: str, rates: dict[str, float]) -> tuple[float, float, Counter
             short += own
             short_size += len(line)
             short_linked += len(line) * marked
-        elif prose_share(own, rates) < PROSE:
+        elif diverges(own, rates):
             apart += len(line)
             linked += len(line) * marked
             found.update(own)
-    if short_size and (not short or prose_share(short, rates) < PROSE):
+    if short_size and (not short or diverges(short, rates)):
         apart += short_size
         linked += short_linked
         found.update(short)
