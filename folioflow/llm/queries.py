@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import encoding, leakage, lookalikes, markup, pieces, sentences, stuffing
+from folioflow.llm import encoding, leakage, lookalikes, markup, packing, pieces, sentences, stuffing
 from folioflow.session import spread
 from folioflow.sources.tables import table
 
@@ -92,6 +92,14 @@ def p2_transformations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.learned(encoding.suspects(_records(spark, sf_dir)))
 
 
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.assigned(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "containers"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p6_pack(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"))
 
@@ -132,6 +140,8 @@ QUERIES = {
     "p4_clip_keys": p4_clip_keys,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p6_pack": p6_pack,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_matches": p7_matches,
     "p7_kept": p7_kept,
