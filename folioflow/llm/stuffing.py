@@ -9,11 +9,11 @@ Null and empty texts are no case; repeated rows count once; texts are read whole
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,33 +29,47 @@ STEEP = -0.2  # slope of log frequency over log rank; the words of an index, eac
 REPEATED = 2.0  # mean uses of a diverging word: a curve that is flat but lies this high is made of a few keywords in turn
 LINKED = 0.3
 
-WORD = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}\p{N}]+")
-LINK = re.compile(r"<a\s[^>]*>|</a>|(?:https?://|www\.)\S+|(?<![\w@])[\w-]+(?:\.[\w-]+)*\.(?:com|net|org|info|biz|io|example|test|invalid|de|fr|ru|es|uk)(?:/\S*)?(?![\w.])")
-SPACED = re.compile(r"(?<!\S)(?:\w ){3,}\w(?!\S)")
+#: Characters of scripts without blanks, each a word of its own.
+_DENSE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+WORD = re.compile(rf"[^\W_{_DENSE}]+|[{_DENSE}]")
+HOSTS = (".com", ".net", ".org", ".info", ".biz", ".io", ".example", ".test", ".invalid", ".de", ".fr", ".ru", ".es", ".uk")
+LINK = re.compile(rf"<a\s[^>]*>|</a>|(?:https?://|www\.)\S+|(?<![\w@.-])[\w-]+(?:\.[\w-]+)*(?:{'|'.join(map(re.escape, HOSTS))})(?:/\S*)?(?![\w.])")
+SPACED = re.compile(r"(?<!\S)\w \w \w (?:\w )*\w(?!\S)")
 TAG = re.compile(r"#\w+")
+_LETTER = re.compile(r"[^\W\d_]")
+_DENSE_CHAR = re.compile(f"[{_DENSE}]")
+
+
+def linked_line(line: str) -> bool:
+    """Whether a line holds a link; most lines are told without the full pattern."""
+    if "." not in line and "<a " not in line:
+        return False
+    return ("://" in line or "www." in line or "<a " in line or any(h in line for h in HOSTS)) and LINK.search(line) is not None
 
 
 def words(text: str) -> list[str]:
-    return [w for w in WORD.findall(text.casefold()) if not w.isdigit()]
+    """Words and figures of ``text``; figures are told apart only where it matters."""
+    return WORD.findall(text.casefold())
 
 
 def _usage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, pages, uses) summed per batch; the empty word counts pages and words."""
     for batch in batches:
-        pages: Counter = Counter()
-        uses: Counter = Counter()
+        pages: dict[str, Counter] = defaultdict(Counter)
+        uses: dict[str, Counter] = defaultdict(Counter)
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = Counter(words(LINK.sub(" ", text) if "." in text else text))
-            pages[lang, ""] += 1
-            uses[lang, ""] += own.total()
-            for w, n in own.items():
-                pages[lang, w] += 1
-                uses[lang, w] += n
-        keys = list(pages)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(pages.values()), pa.int64()), pa.array([uses[k] for k in keys], pa.int64())],
-            names=["lang", "word", "pages", "uses"],
-        )
+            own = words(LINK.sub(" ", text) if linked_line(text) else text)
+            uses[lang].update(own)
+            pages[lang].update(set(own))
+            pages[lang][""] += 1
+            uses[lang][""] += len(own)
+        for lang, counts in pages.items():
+            keys = list(counts)
+            of = uses[lang]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([of[k] for k in keys], pa.int64())],
+                names=["lang", "word", "pages", "uses"],
+            )
 
 
 def prose_rates(pages: DataFrame) -> DataFrame:
@@ -67,20 +81,23 @@ def prose_rates(pages: DataFrame) -> DataFrame:
     over = W.partitionBy("lang")
     is_all = F.col("word") == ""
     all_pages, all_uses = F.max(F.when(is_all, F.col("pages"))).over(over), F.max(F.when(is_all, F.col("uses"))).over(over)
-    told = total.withColumns({"all_pages": all_pages, "all_uses": all_uses}).where(~is_all & (F.col("lang") != "und"))
+    told = total.withColumns({"all_pages": all_pages, "all_uses": all_uses}).where(~is_all & (F.col("lang") != "und") & ~F.col("word").rlike(r"^\d+$"))
     common = told.where((F.col("all_pages") >= LEAST_PAGES) & (F.col("pages") >= COMMON_SHARE * F.col("all_pages")))
     return common.groupBy("word").agg(F.max(F.col("uses") / F.col("all_uses")).alias("rate"))
 
 
-def prose_share(own: list[str], rates: dict[str, float]) -> float:
-    """Share of a line's words that mark prose, none counted beyond its usual rate; repetition of one such word doesn't make prose."""
+def diverges(own: list[str], rates: dict[str, float], dense: bool = False) -> bool:
+    """Whether too small a share of a line's words marks prose. None counts beyond its usual rate, so that one such word said
+    again and again doesn't make prose; the sum ends as soon as it suffices."""
     n = len(own)
-    return sum(min(k / n, RATE_SLACK * rates[w]) for w, k in Counter(own).items() if w in rates)
-
-
-def diverges(own: list[str], rates: dict[str, float]) -> bool:
-    dense = sum(len(w) == 1 and w >= "\u0e00" for w in own) * 2 > len(own)
-    return prose_share(own, rates) < (PROSE_DENSE if dense else PROSE)
+    need = n * (PROSE_DENSE if dense and sum(w >= "\u0e00" and len(w) == 1 for w in own) * 2 > n else PROSE)
+    for w, k in Counter(own).items():
+        rate = rates.get(w)
+        if rate is not None:
+            need -= min(k, RATE_SLACK * rate * n)
+            if need <= 0:
+                return False
+    return True
 
 
 def diverging(text: str, rates: dict[str, float]) -> tuple[float, float, Counter]:
@@ -91,28 +108,33 @@ def diverging(text: str, rates: dict[str, float]) -> tuple[float, float, Counter
     found: Counter = Counter()
     short: list[str] = []
     short_size = short_linked = 0
+    dense = _DENSE_CHAR.search(text) is not None
     for line in text.split("\n"):
         line = line.strip()
         if not line:
             continue
-        has_link = "." in line and LINK.search(line) is not None or "<a " in line
+        has_link = linked_line(line)
         rest = LINK.sub(" ", line) if has_link else line
+        if not has_link and not _LETTER.search(line):
+            continue
         if " " in rest:
             rest = SPACED.sub(lambda m: m[0].replace(" ", ""), rest)
+        size = len(line)
+        whole += size
         own = words(rest)
-        if not own and not has_link:
+        if len(own) >= 2 * SHORT_LINE and not diverges(own, rates, dense):
             continue
-        whole += len(line)
-        marked = has_link or len(TAG.findall(line)) * 2 > len(line.split())
+        own = [w for w in own if not w.isdigit()]
+        marked = has_link or "#" in line and len(TAG.findall(line)) * 2 > len(line.split())
         if len(own) < SHORT_LINE:
             short += own
-            short_size += len(line)
-            short_linked += len(line) * marked
-        elif diverges(own, rates):
-            apart += len(line)
-            linked += len(line) * marked
+            short_size += size
+            short_linked += size * marked
+        elif diverges(own, rates, dense):
+            apart += size
+            linked += size * marked
             found.update(own)
-    if short_size and (not short or diverges(short, rates)):
+    if short_size and (not short or diverges(short, rates, dense)):
         apart += short_size
         linked += short_linked
         found.update(short)
