@@ -42,9 +42,13 @@ CATALOGUE = tuple(
 
 TOKEN = re.compile(r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*")
 RUN = r"[^\x00-\x7f]+"
+TYPOGRAPHIC = frozenset("“”‘’«»„…—–‚\u00a0")
+#: In text without blanks a garbled stretch stands right beside clean ideographs.
+_BETWEEN = re.compile(r"[\x21-\u2e7f]*[\x80-\u2e7f][\x21-\u2e7f]*")
 _PART = re.compile(r"[^\x00-\x20“”‘’«»„…—–]*[^\x00-\x7f“”‘’«»„…—–][^\x00-\x20“”‘’«»„…—–]*")
 _LATIN = re.compile(r"\p{Latin}")
 _FOREIGN = re.compile(r"[\p{Cyrillic}\p{Greek}\p{Arabic}\p{Hebrew}\p{Thai}\p{Hangul}\p{Han}]")
+_NUMERAL = re.compile(r"\p{Han}[IVXLC]+\p{Han}")
 _CASE_BREAK = re.compile(r"\p{Ll}\p{Lu}|\p{Lu}\p{Lu}\p{Ll}")
 _CONTROL = re.compile(r"[\x80-\x84\x86-\x9f]")
 STRIP = "\"'()[]{}.,;:!?*_/<>#=|&"
@@ -133,30 +137,37 @@ class Model:
         plain = one_form(token)
         return plain == token or self.usual(plain) <= ODD
 
-    def _once(self, token: str, only_utf8: bool = False) -> tuple[float, str, str] | None:
-        """The best single step back; a legacy code needs an odd token, and several characters where it takes pairs of bytes."""
+    def _once(self, token: str, odd: bool = True) -> tuple[float, str, str] | None:
+        """The best single step back. UTF-8 read as something else is told by its own form; a code of pairs of bytes needs
+        several characters; a code of single bytes needs an odd token, and more than one letter if it is of another script."""
         before, best = self.usual(token), None
+        high = sum(c > "\x7f" for c in token)
         for r, w in self.ranked:
-            if w != "utf-8" and (only_utf8 or w in WIDE_WRITERS and sum(c > "\x7f" for c in token) < 4):
+            if w != "utf-8" and (w in WIDE_WRITERS and high < 4 or w not in WIDE_WRITERS and not odd or w not in WESTERN and high < 2):
                 continue
             out = undo(token, r, w)
             if out is None:
                 continue
-            if w in WESTERN and _CASE_BREAK.search(out) or w != "utf-8" and w not in WESTERN and _LATIN.search(out) and _FOREIGN.search(out):
+            if w in WESTERN and _CASE_BREAK.search(out) or w != "utf-8" and w not in WESTERN and _LATIN.search(out) and _FOREIGN.search(out) and not _NUMERAL.search(out):
                 continue
             after = self.usual(out)
-            least = GAIN_UTF8 if w == "utf-8" else (GAIN_WEST if w in WESTERN else GAIN) + (0 if self.support.get(f"{w}>{r}") else 0.3)
+            least = GAIN_UTF8 if w == "utf-8" else (GAIN_WEST if w in WESTERN or not odd else GAIN) + (0 if self.support.get(f"{w}>{r}") else 0.3)
             if after - before >= least and (best is None or after > best[0] + 0.05):
                 best = (after, out, f"{w}>{r}")
         return best
 
     def _repaired(self, token: str) -> tuple[str, str] | None:
         """The token as it was and the transformations undone, or None."""
+        if all(c <= "\x7f" or c in TYPOGRAPHIC for c in token):
+            return None
+        if any("\u2e80" <= c < "\ufb00" for c in token) and any("\x80" <= c < "\u2e80" and c not in TYPOGRAPHIC for c in token):
+            whole = self._once(token, odd=False)  # ideographs themselves may be what wrong reading made
+            return (whole[1], whole[2]) if whole else self._in_parts(token, _BETWEEN)
         odd = self.odd(token)
         names, now = [], token
         for _ in range(3):  # text may have been garbled again and again
-            best = self._once(now, only_utf8=not odd or bool(names))
-            if best is None:
+            best = self._once(now, odd and not names)
+            if best is None or names and not best[2].startswith("utf-8"):
                 break
             now = best[1]
             names.append(best[2])
@@ -165,34 +176,44 @@ class Model:
         # twice garbled text may be no more usual after one step
         for r, w in self.ranked:
             step = undo(token, r, w, controls=True) if w == "utf-8" else None
-            best = step and self._once(step, only_utf8=True)
-            if best and best[0] - self.usual(token) >= GAIN_UTF8:
+            best = step and self._once(step, odd=False)
+            if best and best[2].startswith("utf-8") and best[0] - self.usual(token) >= GAIN_UTF8:
                 return best[1], f"{w}>{r}+{best[2]}"
         if not odd:
             return None
-        if _PART.search(token) and any(c in "“”‘’«»„…—–" for c in token):
-            done = []
-
-            def part(m: re.Match) -> str:
-                got = self._once(m[0]) if m[0] != token and self.odd(m[0]) else None
-                if got:
-                    done.append(got[2])
-                return got[1] if got else m[0]
-
-            out = _PART.sub(part, token)
-            if done:
-                return out, done[0]
-        return None
+        return self._in_parts(token, _PART) if any(c in TYPOGRAPHIC for c in token) else None
+
+    def _in_parts(self, token: str, pattern: re.Pattern) -> tuple[str, str] | None:
+        """The token with its garbled stretches repaired, where at least one is."""
+        done: list[str] = []
+
+        def part(m: re.Match) -> str:
+            got = self.repaired(m[0]) if m[0] != token else None
+            if got:
+                done.append(got[1])
+            return got[0] if got else m[0]
+
+        out = pattern.sub(part, token)
+        return (out, done[0]) if done else None
 
     def restore(self, text: str) -> tuple[str, Counter]:
+        """The text with its garbled tokens repaired, and what was undone how often. A text is mostly garbled in one way: where
+        a single-byte code prevails, its tokens are undone by it, also those too short to tell by themselves."""
         names: Counter = Counter()
+        for token in TOKEN.findall(text):
+            if got := self.repaired(token):
+                names[got[1]] += len(token)
+        if not names:
+            return text, names
+        prevailing = names.most_common(1)[0][0]
+        writer, _, reader = prevailing.partition(">")
+        alone = "+" not in prevailing and writer != "utf-8"
 
         def step(m: re.Match) -> str:
+            if alone and (out := undo(m[0], reader, writer)) and self.usual(out) >= self.usual(m[0]) - 0.2:
+                return out
             got = self.repaired(m[0])
-            if got is None:
-                return m[0]
-            names[got[1]] += 1
-            return got[0]
+            return got[0] if got else m[0]
 
         return TOKEN.sub(step, text), names
 
