@@ -10,6 +10,7 @@ Nulls and texts without a letter or digit give no row; repeated rows give one; o
 
 from __future__ import annotations
 
+import unicodedata as ud
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,6 +40,7 @@ REPORTING = re.compile(
 REPORTING_CJK = re.compile(r"[说問问道喊叫答嚷]|言った|言う|聞いた|叫んだ|答えた|尋ねた|つぶやいた")
 
 LOOKALIKE = str.maketrans("авекмнорстхуіјѕАВЕКМНОРСТХУІЈЅοαρνΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abekmhopctxyijsABEKMHOPCTXYIJSoapvABEZHIKMNOPTYX")
+LATIN_AS_CYRILLIC = str.maketrans("aekmhopctxyijsABEKMHOPCTXYIJS", "аекмнорстхуіјѕАВЕКМНОРСТХУІЈЅ")
 WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F) if chr(c).upper() != chr(c) or chr(c).lower() != chr(c) or chr(c).isdigit() or chr(c) == "．"} | {ord(c): " " for c in BLANKS}
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _MIXED = re.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}][\p{L}\p{M}]*")
@@ -49,6 +51,8 @@ _BEFORE = re.compile(r"[\p{L}\p{M}.\-]+\Z")
 _URL = re.compile(r"(?:\w+://|www\.|[\w.-]+@)\S+|[\w-]+(?:\.[\w-]+)+/\S*|[\w-]{2,}\.(?:xhtml|html|epub|m4b|com|org|net|test|example|invalid)\b[^\s,;]*|[A-Za-z]:\\\S+")
 _WORD = re.compile(r"(?<![\p{L}\p{M}.])\p{L}[\p{L}\p{M}]{0,5}(?![\p{L}\p{M}.'’])")
 _THAI_BLANK = re.compile(r"(?<=[ก-ๅ็-๎])[ \n]+")
+_GLUED = re.compile(r".*\p{Ll}{3}\.(?=\p{Lu})(.+)")
+_LOUD = re.compile(r"\p{Lu}{2}[’' \p{Lu}]*\Z")
 _ALNUM = re.compile(r"[\p{L}\p{N}]")
 _CAMEL = re.compile(r"\p{Ll}{1,2}\p{Lu}\p{L}")
 
@@ -63,10 +67,29 @@ def folded(text: str) -> tuple[str, list[int] | None]:
         text = "".join(text[i] for i in at)
     text = text.translate(WIDE)
     if _LATIN.search(text) and _OTHER.search(text):
-        text = _MIXED.sub(lambda m: m[0].translate(LOOKALIKE) if _LATIN.search(m[0]) and _OTHER.search(m[0]) else m[0], text)
+        text = _MIXED.sub(_one_script, text)
     return text, at
 
 
+def _one_script(m: re.Match) -> str:
+    """A word of mixed letters in the script most of them have."""
+    latin, other = len(_LATIN.findall(m[0])), len(_OTHER.findall(m[0]))
+    if not latin or not other:
+        return m[0]
+    plain = m[0].translate(LOOKALIKE)
+    return plain if not _OTHER.search(plain) else m[0].translate(LATIN_AS_CYRILLIC) if latin < other else plain
+
+
+def _plain(word: str) -> str:
+    """The form under which a word is counted."""
+    return word if word.isascii() else ud.normalize("NFKC", word)
+
+
+def _loud(f: str, i: int) -> bool:
+    """Whether what stands before ``i`` is written in capitals."""
+    return _LOUD.search(f, max(0, i - 10), i) is not None
+
+
 def _next_word(f: str, i: int) -> tuple[str, str]:
     """What stands at ``i``: U a capital, L a small letter, N a figure, O a letter without case, D a dash, Q an opening mark, P other, '' the end; and the word."""
     if i >= len(f):
@@ -87,7 +110,7 @@ def _next_word(f: str, i: int) -> tuple[str, str]:
 
 def _reported(f: str, i: int) -> bool:
     """Whether a clause that reports the speech before ``i`` follows: its verb stands before the next stop, within a few words."""
-    tail = re.match(r"[^.!?。！？؟।;；:，,「“«\n]{0,60}", f, pos=i)[0]
+    tail = ud.normalize("NFC", re.match(r"[—–―-]?[^.!?。！？؟।;；:，,「“«\n]{0,60}", f, pos=i)[0]).lower()
     if re.search(r"[぀-ヿ一-鿿]", tail[:4]):
         return bool(REPORTING_CJK.search(tail[:24]))
     return bool(REPORTING.search(" ".join(tail.split()[:6])))
@@ -117,7 +140,8 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], Counter]:
             if stop == ".":
                 word = _BEFORE.search(f, max(0, m.start() - 12), m.start())
                 if word and len(word[0]) <= 6:
-                    uses[word[0].strip("-’'"), "e"] += 1
+                    key = _plain(word[0].strip("-’'"))
+                    uses[key.lower() if len(key) > 1 and key.isupper() and _loud(f, word.start()) else key, "e"] += 1
             continue
         if "《" in f and f.rfind("《", 0, m.start()) > f.rfind("》", 0, m.start()):
             continue
@@ -144,7 +168,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], Counter]:
         if stop[0] in "؟۔।॥։።" or stop[0] in "!?;;" or any(c in "!?" for c in stop):
             if kind == "L" and not _CAMEL.match(f, pos=gap):
                 continue
-            if kind == "D" and re.match(r"[—–―-]\s?\p{Ll}", f, pos=gap):
+            if kind == "D" and (re.match(r"[—–―-]\s?\p{Ll}", f, pos=gap) or f[gap + 1 : gap + 9].isupper() and _reported(f, gap + 1)):
                 continue
             if not blank and kind not in ("U", "Q") and stop[0] not in "؟۔।॥":
                 continue
@@ -159,9 +183,11 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], Counter]:
             continue
         # one full stop
         before = _BEFORE.search(f, max(0, m.start() - 24), m.start())
-        word = before[0].strip("-’'") if before else ""
+        word = _plain(before[0].strip("-’'")) if before else ""
+        if glued := _GLUED.match(word):
+            word = glued[1]
         letters = len(re.sub(r"[^\p{L}]", "", word))
-        if letters > 1 and word.isupper() and len(word_after) > 1 and word_after.isupper():
+        if letters > 1 and word.isupper() and (len(word_after) > 1 and word_after.isupper() or _loud(f, m.start() - len(word))):
             word = word.lower()  # a line in capitals
         if not blank:
             if kind == "U" and not closing and letters >= 3 and "." not in word and re.match(r"\p{Lu}(?:\p{Ll}|[’' ]|\.-?\p{Lu}\.)", f, pos=end) and re.search(r"\p{Ll}\Z", word):
@@ -213,7 +239,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], Counter]:
             continue
         found.append((end, SURE, ""))
     for m in _WORD.finditer(f):
-        uses[m[0], "b"] += 1
+        uses[_plain(m[0]), "b"] += 1
     if re.search(r"[฀-๿]{4}", f):
         found += _thai(f)
     if re.search(r"\n[ \t]*\n", f):
@@ -240,7 +266,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], Counter]:
 def _use(uses: Counter, f: str, i: int, use: str) -> None:
     before = _BEFORE.search(f, max(0, i - 12), i)
     if before and len(before[0]) <= 6:
-        uses[before[0].strip("-’'"), use] += 1
+        uses[_plain(before[0].strip("-’'")), use] += 1
 
 
 def _thai(f: str) -> list[tuple[int, int, str]]:
