@@ -19,7 +19,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 COMMON_SHARE = 0.15  # share of a language's pages a word must stand in to mark prose
-LEAST_PAGES = 20  # pages a language needs to tell its prose
 RATE_SLACK = 3.0  # times its usual rate up to which a word of a line counts as prose
 PROSE = 0.1  # share of such words below which a line diverges
 PROSE_DENSE = 0.25  # the same in scripts without blanks, whose words here are single characters, most of them common
@@ -75,14 +74,15 @@ def _usage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prose_rates(pages: DataFrame) -> DataFrame:
     """(word, rate): words that stand in at least ``COMMON_SHARE`` of the pages of a language, with their highest rate in any.
 
-    Their number is bounded by a page's mean number of different words over ``COMMON_SHARE``, whatever the number of pages."""
+    Their number is bounded by a page's mean number of different words over ``COMMON_SHARE``, whatever the number of pages.
+    In a language of a few pages almost every word counts as prose, so that none of them is flagged without ground."""
     texts = pages.where(F.col("text").isNotNull()).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     total = texts.mapInArrow(_usage, "lang string, word string, pages long, uses long").groupBy("lang", "word").agg(F.sum("pages").alias("pages"), F.sum("uses").alias("uses"))
     over = W.partitionBy("lang")
     is_all = F.col("word") == ""
     all_pages, all_uses = F.max(F.when(is_all, F.col("pages"))).over(over), F.max(F.when(is_all, F.col("uses"))).over(over)
-    told = total.withColumns({"all_pages": all_pages, "all_uses": all_uses}).where(~is_all & (F.col("lang") != "und") & ~F.col("word").rlike(r"^\d+$"))
-    common = told.where((F.col("all_pages") >= LEAST_PAGES) & (F.col("pages") >= COMMON_SHARE * F.col("all_pages")))
+    told = total.withColumns({"all_pages": all_pages, "all_uses": all_uses}).where(~is_all & ~F.col("word").rlike(r"^\d+$"))
+    common = told.where(F.col("pages") >= COMMON_SHARE * F.col("all_pages"))
     return common.groupBy("word").agg(F.max(F.col("uses") / F.col("all_uses")).alias("rate"))
 
 
