@@ -197,25 +197,29 @@ class Model:
         return (out, done[0]) if done else None
 
     def restore(self, text: str) -> tuple[str, Counter]:
-        """The text with its garbled tokens repaired, and what was undone how often. A text is mostly garbled in one way: where
-        a single-byte code prevails, its tokens are undone by it, also those too short to tell by themselves."""
+        """The text with its garbled tokens repaired, and what was undone how often. A stretch is mostly garbled in one way:
+        where a single-byte code prevails, tokens between repaired ones are undone by it, also those too short to tell."""
         names: Counter = Counter()
-        for token in TOKEN.findall(text):
-            if got := self.repaired(token):
+        tokens = [(m.start(), m[0], self.repaired(m[0])) for m in TOKEN.finditer(text)]
+        for _, token, got in tokens:
+            if got:
                 names[got[1]] += len(token)
         if not names:
             return text, names
         prevailing = names.most_common(1)[0][0]
         writer, _, reader = prevailing.partition(">")
         alone = "+" not in prevailing and writer != "utf-8"
-
-        def step(m: re.Match) -> str:
-            if alone and (out := undo(m[0], reader, writer)) and self.usual(out) >= self.usual(m[0]) - 0.2:
-                return out
-            got = self.repaired(m[0])
-            return got[0] if got else m[0]
-
-        return TOKEN.sub(step, text), names
+        same = [bool(got) and got[1] == prevailing for _, _, got in tokens]
+        parts, at = [], 0
+        for k, (start, token, got) in enumerate(tokens):
+            now = got[0] if got else token
+            if alone and not same[k] and (out := undo(token, reader, writer)):
+                between = any(same[max(0, k - 3) : k]) and any(same[k + 1 : k + 4])
+                if self.usual(out) >= self.usual(token) - (1.5 if between else 0.2):
+                    now, same[k] = out, True
+            parts += [text[at:start], now]
+            at = start + len(token)
+        return "".join(parts) + text[at:], names
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

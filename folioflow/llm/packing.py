@@ -111,7 +111,10 @@ def assigned(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKEN
     sizes = cut(sized(documents, tokenizer))
     parts = max(1, -(-sizes.count() // GROUP))
     kinds = containers.where("capacity_tokens > 0 and container_kind is not null").dropDuplicates(["container_kind"]).select("container_kind", "capacity_tokens", F.coalesce("separator_tokens", F.lit(0)).alias("separator_tokens"))
-    of_kind: Column = F.array(*[F.struct(F.lit(r[0]).alias("container_kind"), F.lit(r[1]).alias("capacity_tokens"), F.lit(r[2]).alias("separator_tokens")) for r in kinds.collect()])  # a fixed table of three rows
+    fixed = kinds.collect()  # a fixed table of three rows
+    if not fixed:
+        return documents.sparkSession.createDataFrame([], SCHEMA)
+    of_kind: Column = F.array(*[F.struct(F.lit(r[0]).alias("container_kind"), F.lit(r[1]).alias("capacity_tokens"), F.lit(r[2]).alias("separator_tokens")) for r in fixed])
     each = sizes.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).select("*", F.explode(of_kind).alias("k")).select("doc_id", "tokens", "loss_tokens", "part", "k.*")
     pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("tokens") / F.col("capacity_tokens")) - 1, F.lit(0)).cast("int"))
     cut_up = each.withColumn("i", F.explode(pieces)).withColumn("start_token", F.col("i") * F.col("capacity_tokens"))

@@ -30,6 +30,7 @@ CLOSERS = "\"'”’»›“)]}」』）】〕"
 INVISIBLE = "­͏​‌‍‎‏⁠﻿"
 BLANKS = "              　"
 TITLES = frozenset("Mr Mrs Ms Dr Prof Rev Hon Gen Col Capt Lt Sgt St Mt Ft Sr Sra Srta Dra Dña Mme Mlle M MM Fr Hr Frl Hl Abb проф акад гр ул им стр κ κα Δρ".split())
+STARTERS = frozenset("The A An In It He She They We You I This That There These When While If But And For On At By As After Before Under Nobody What How Did Was Is".split())
 ORDINAL_LEADS = frozenset("am im vom zum beim bis ab seit der die das den dem des jeden diesem".split())
 REPORTING = re.compile(
     r"\b(?:said|says|asked|asks|cried|began|whispered|replied|answered|shouted|called|added|told|wrote|murmured|remarked|went on|continued"
@@ -231,7 +232,8 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], Counter]:
             uses[word, "a" if goes_on else "u"] += 1
             if kind == "L" and not _CAMEL.match(f, pos=gap):
                 continue
-            found.append((end, OPEN_LOWER if kind == "N" else OPEN_UPPER, word))
+            sure = "." in word and word_after in STARTERS
+            found.append((end, SURE if sure else OPEN_LOWER if kind == "N" else OPEN_UPPER, "" if sure else word))
             continue
         if kind == "L" and not _CAMEL.match(f, pos=gap):
             continue
@@ -340,16 +342,16 @@ def sentence_ends(paragraphs: DataFrame) -> DataFrame:
         per_doc.groupBy("word")
         .agg(*[F.sum(c).alias(c) for c in ("n_a", "n_b", "n_e", "n_u")])
         .where("n_a + n_e + n_u > 0")
-        .select("word", _verdict(*map(F.col, ("word", "n_a", "n_b", "n_e", "n_u"))).alias("corpus_says"), (F.col("n_e") > 0).alias("ends_somewhere"), F.when((F.col("n_a") == 0) & (F.col("n_e") == 0), F.col("n_u")).otherwise(0).alias("only_u"))
+        .select("word", _verdict(*map(F.col, ("word", "n_a", "n_b", "n_e", "n_u"))).alias("corpus_says"), (F.col("n_e") > 0).alias("ends_somewhere"), (F.col("n_a") < 3).alias("corpus_weak"))
     )
-    doc = per_doc.where("n_a + n_e + n_u > 0").select("book_id", "word", F.when((F.col("n_a") + F.col("n_u") + F.col("n_e") + F.col("n_b")) >= 2, _verdict(*map(F.col, ("word", "n_a", "n_b", "n_e", "n_u")))).alias("doc_says"))
+    doc = per_doc.where("n_a + n_e + n_u > 0").select("book_id", "word", F.when((F.col("n_a") + F.col("n_u") + F.col("n_e") + F.col("n_b")) >= 2, _verdict(*map(F.col, ("word", "n_a", "n_b", "n_e", "n_u")))).alias("doc_says"), ((F.col("n_a") == 0) & (F.col("n_b") > 0)).alias("doc_word"))
     known = doc.join(corpus, "word", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     asked = still_open.withColumn("salt", F.pmod(F.hash("para_id"), F.lit(SALTS)))
     joined = asked.join(known, ["book_id", "word", "salt"], "left")
     title = F.lower("word").isin(*sorted({x.lower() for x in TITLES})) & (F.col("state") == OPEN_UPPER)
     dotted = F.col("word").contains(".")
     # the corpus has the last word where the document's own counts are few; an abbreviation seen at an end anywhere may end here
-    says = F.when(title, 1).when(F.col("corpus_says") == 2, 2).otherwise(F.coalesce(F.when(F.col("doc_says") == 0, F.when(F.col("corpus_says") == 1, 1).otherwise(0)), F.col("corpus_says"), F.col("doc_says"), F.when(F.length("word") <= 2, 1).otherwise(0)))
+    says = F.when(title, 1).when(F.col("corpus_says") == 2, 2).otherwise(F.coalesce(F.when(F.col("doc_says") == 0, F.when((F.col("corpus_says") == 1) & ~(F.col("doc_word") & F.col("corpus_weak")), 1).otherwise(0)), F.col("corpus_says"), F.col("doc_says"), F.when(F.length("word") <= 2, 1).otherwise(0)))
     decided = joined.withColumn("says", says).where(
         F.when(F.col("state") == OPEN_LOWER, (F.col("says") == 0) | (F.col("says") == 2)).otherwise(
             F.when(F.col("says") == 1, F.lit(False)).when(F.col("says") == 2, F.lit(True)).otherwise(~dotted | F.col("ends_somewhere"))

@@ -118,7 +118,7 @@ def diverging(text: str, rates: dict[str, float]) -> tuple[float, float, Counter
         if not has_link and not _LETTER.search(line):
             continue
         if " " in rest:
-            rest = SPACED.sub(lambda m: m[0].replace(" ", ""), rest)
+            rest = SPACED.sub(lambda m: "ʘ" + m[0].replace(" ", " ʘ"), rest)  # letters set apart are no words, not even a or I
         size = len(line)
         whole += size
         own = words(rest)
