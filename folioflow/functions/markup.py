@@ -124,35 +124,46 @@ def _run(parts: list) -> str:
     return squeezed("".join(p if isinstance(p, str) else " ".join(p.texts()) for p in parts))
 
 
-def _walk(node: Node) -> Iterator[tuple[str, str]]:
+def _walk(root: Node) -> Iterator[tuple[str, str]]:
+    """Paragraphs below ``root``. Elements to go into wait on a stack of their own, so that no depth of nesting is too deep."""
+    stack = [_steps(root)]
+    while stack:
+        found = next(stack[-1], None)
+        if found is None:
+            stack.pop()
+        elif isinstance(found, Node):
+            stack.append(_steps(found))
+        else:
+            yield found
+
+
+def _steps(node: Node) -> Iterator[tuple[str, str] | Node]:
+    """Paragraphs of an element's own inline runs and leaf blocks, and the elements to go into, in order."""
     run: list = []
     for child in node.children:
         if isinstance(child, str):
             run.append(child)
-        elif dropped(child):
             continue
-        elif child.name not in BLOCKS and not _holds_block(child):
+        if dropped(child):
+            continue
+        if child.name not in BLOCKS and not _holds_block(child):
             run.append(child)
-        else:
-            if text := _run(run):
-                yield text, "body"
-            run = []
-            yield from _block(child)
+            continue
+        if text := _run(run):
+            yield text, "body"
+        run = []
+        if child.name in HEADINGS:
+            yield from _leaf(child, "heading")
+        elif child.name == "table":
+            yield from _rows(child)
+        elif child.name in LEAVES and not _holds_block(child):
+            yield from _leaf(child, "body")
+        elif child.name not in ("br", "hr"):
+            yield child
     if text := _run(run):
         yield text, "body"
 
 
-def _block(node: Node) -> Iterator[tuple[str, str]]:
-    if node.name in HEADINGS:
-        yield from _leaf(node, "heading")
-    elif node.name == "table":
-        yield from _rows(node)
-    elif node.name in LEAVES and not _holds_block(node):
-        yield from _leaf(node, "body")
-    elif node.name not in ("br", "hr"):
-        yield from _walk(node)
-
-
 def _leaf(node: Node, kind: str) -> Iterator[tuple[str, str]]:
     lines: list[list] = [[]]
     for child in node.children:

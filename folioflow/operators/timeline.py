@@ -77,6 +77,6 @@ def metadata(marks: DataFrame, books: DataFrame) -> DataFrame:
 
 def concat_list(paths: DataFrame) -> DataFrame:
     """(book_id, listing): the list of chapter files (book_id, chapter_idx, path) a concatenation reads."""
-    line = F.concat(F.lit("file '"), F.regexp_replace("path", "'", "'\\\\\\\\''"), F.lit("'"))
+    line = F.concat(F.lit("file '"), F.replace(F.col("path"), F.lit("'"), F.lit("'\\''")), F.lit("'"))
     ordered = paths.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter_idx", line.alias("line")))).alias("l"))
     return ordered.select("book_id", F.concat(F.lit("ffconcat version 1.0\n"), F.array_join(F.col("l.line"), "\n"), F.lit("\n")).alias("listing"))

@@ -55,7 +55,7 @@ def convert(spark: SparkSession, tables: dict[str, DataFrame], root: str, engine
     on_book = timeline.book_timeline(lengths, rate)
     cue_rows = timeline.cues(placed, on_book, rate)
     marks = on_book.join(chapters, ["book_id", "chapter_idx"])
-    return {"chapters": chapters, "cues": cue_rows, "vtt": timeline.vtt(cue_rows), "metadata": timeline.metadata(marks, tables["books"]), "missing": missing, "stale": todo, "timeline": on_book}
+    return {"chapters": chapters, "cues": cue_rows, "vtt": timeline.vtt(cue_rows), "metadata": timeline.metadata(marks, tables["books"]), "missing": missing, "stale": todo, "timeline": on_book, "placed": placed}
 
 
 def dump_text(members: DataFrame, paragraphs: DataFrame, say: bool = False, split: bool = False, chapter: int | None = None, max_chars: int = T.MAX_CHARS) -> DataFrame:

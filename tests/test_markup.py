@@ -1,0 +1,42 @@
+import pytest
+
+from folioflow.functions import markup as M
+
+CASES = [
+    ("<p>One <i>two</i> three</p>", [("One two three", "body")]),
+    ("<h1>Head</h1><h5>small</h5>", [("Head", "heading"), ("small", "body")]),
+    ("<div>loose <p>para</p> tail</div>", [("loose", "body"), ("para", "body"), ("tail", "body")]),
+    ("<p>a<br/>b<br/><br/>c</p>", [("a", "body"), ("b", "body"), ("c", "body")]),
+    ("<p>a<i>b<b>c</b></i></p>", [("ab c", "body")]),
+    ("<table><tr><th>N</th><th>V</th></tr><tr><td>x</td><td>1</td></tr><tr><td></td><td>2</td></tr><tr><td>y</td></tr></table>", [("N: x, V: 1", "row"), ("V: 2", "row"), ("y", "row")]),
+    ("<p>See<sup class='noteref'>1</sup> [78] it</p>", [("See it", "body")]),
+    ("<aside epub:type='footnote'><p>no</p></aside><p role='doc-endnotes'>no</p><p>yes</p>", [("yes", "body")]),
+    ("<figure><img src='x'/></figure><figure><figcaption>Cap</figcaption></figure>", [("Cap", "body")]),
+    ("<script>x</script><nav><p>x</p></nav><style>y</style><p>z</p>", [("z", "body")]),
+    ("<p>Chapter One</p><p>Part ivory</p>", [("Chapter One", "heading"), ("Part ivory", "body")]),
+    ("<ul><li>a<li>b</ul><p>c<p>d", [("a", "body"), ("b", "body"), ("c", "body"), ("d", "body")]),
+    ("<span><p>inner</p></span>", [("inner", "body")]),
+    ("<!-- c --><p>&amp;&nbsp;x</p>", [("& x", "body")]),
+    ("<p><b>bold never closed<br><p>next", [("bold never closed", "body"), ("next", "body")]),
+    ("", []), ("plain", [("plain", "body")]),
+]
+
+
+@pytest.mark.parametrize("xhtml, want", CASES)
+def test_paragraphs(xhtml, want):
+    assert M.parsed(f"<html><head><title>t</title></head><body>{xhtml}</body></html>")[0] == want
+    assert M.parsed(xhtml)[0] == want
+
+
+def test_types():
+    assert M.parsed("<body epub:type='bodymatter Chapter'><section role='doc-endnotes'></section><div epub:type='x'></div></body>")[1] == ["bodymatter", "chapter", "endnotes"]
+
+
+def test_over_tables(spark):
+    df = spark.createDataFrame([("1", "<p>a</p><h2>b</h2>", 0), ("2", None, 0), ("3", "", 0)], "doc_key string, xhtml string, para_pos int")
+    got = [(r.doc_key, r.para_pos, r.kind, r.text) for r in M.paragraphs_of(df).orderBy("para_pos").collect()]
+    assert got == [("1", 0, "body", "a"), ("1", 1, "heading", "b")]
+
+
+def test_deep_nesting():
+    assert M.parsed("<div>" * 3000 + "x" + "</div>" * 3000)[0] == [("x", "body")]
