@@ -5,9 +5,12 @@ run a task again; hosted servers are sent seeds and requests that are safe to re
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 import os
 import struct
+import subprocess
 import time
 import urllib.error
 import urllib.request
@@ -23,9 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions.timing import Guard
 from folioflow.sources.config import BatchEngine, HttpEngine
 
 RETRY_STATUS = frozenset((408, 429, 500, 502, 503, 504))
+BUSY_STATUS = 409
+BUSY_WAIT_S = 5.0
+BUSY_MOST_S = 300.0
 
 
 class Engine(Protocol):
@@ -124,6 +131,88 @@ def post(url: str, body: bytes, headers: dict[str, str], timeout: float, retries
     raise AssertionError
 
 
+def request_of(config: HttpEngine, text: str, key: str) -> tuple[str, dict, dict[str, str]]:
+    """(url, body, headers) of one text in the shape the service takes; all ask for raw 16-bit samples."""
+    base, rate = config.url.rstrip("/"), config.sample_rate
+    headers = {"Content-Type": "application/json"}
+    if config.style == "openai":
+        return f"{base}/v1/audio/speech", {"model": config.model, "voice": config.voice, "input": text, "response_format": "pcm"}, headers | ({"Authorization": f"Bearer {key}"} if key else {})
+    if config.style == "deepgram":
+        return f"{base}/v1/speak?model={config.model or config.voice}&encoding=linear16&sample_rate={rate}&container=none", {"text": text}, headers | ({"Authorization": f"Token {key}"} if key else {})
+    if config.style == "elevenlabs":
+        return f"{base}/v1/text-to-speech/{config.voice}?output_format=pcm_{rate}", {"text": text, "model_id": config.model}, headers | ({"xi-api-key": key} if key else {})
+    raise ValueError(f"no request style {config.style!r}")
+
+
+def longest_fitting(fits: Callable[[int], bool], most: int) -> int:
+    """The largest number of characters up to ``most`` that ``fits``, which must hold up to some size and not beyond; 0 if none."""
+    low, high = 0, most
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if fits(middle) else (low, middle - 1)
+    return low
+
+
+def until_free(send: Callable[[], bytes], sleep: Callable = time.sleep, wait: float = BUSY_WAIT_S, most: float = BUSY_MOST_S) -> bytes:
+    """Sends again while a server says it is busy with another client, up to ``most`` seconds in all."""
+    waited = 0.0
+    while True:
+        try:
+            return send()
+        except urllib.error.HTTPError as e:
+            if e.code != BUSY_STATUS or waited >= most:
+                raise
+        sleep(wait)
+        waited += wait
+
+
+@dataclass
+class Server:
+    """A local server in use; ``close`` ends it only if it was started here."""
+
+    process: subprocess.Popen | None = None
+
+    def close(self, grace_s: float = 10.0) -> None:
+        if self.process is None or self.process.poll() is not None:
+            return
+        self.process.terminate()
+        try:
+            self.process.wait(grace_s)
+        except subprocess.TimeoutExpired:
+            self.process.kill()
+            self.process.wait()
+
+    def __enter__(self) -> Server:
+        return self
+
+    def __exit__(self, *exc: object) -> None:
+        self.close()
+
+
+def healthy(url: str, timeout: float = 2.0) -> bool:
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as r:
+            return r.status == 200
+    except OSError:
+        return False
+
+
+def start_or_adopt(command: Sequence[str], health_url: str, start_s: float = 180.0, poll_s: float = 0.5, is_healthy: Callable[[str], bool] = healthy) -> Server:
+    """The server that answers already, or a new one once it answers; one that dies or stays silent is an error."""
+    if is_healthy(health_url):
+        return Server()
+    server = Server(subprocess.Popen(command, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL))
+    until = time.monotonic() + start_s
+    while time.monotonic() < until:
+        if server.process.poll() is not None:
+            raise RuntimeError(f"{command[0]} ended with {server.process.returncode} before it answered")
+        if is_healthy(health_url):
+            return server
+        time.sleep(poll_s)
+    server.close()
+    raise RuntimeError(f"{command[0]} didn't answer within {start_s:g} s")
+
+
 @dataclass(frozen=True)
 class Hosted:
     """A hosted engine: one request a text, raw 16-bit samples back."""
@@ -138,17 +227,16 @@ class Hosted:
 
     def speak(self, texts: Sequence[str], attempt: int = 0) -> list[np.ndarray]:
         key = os.environ.get(self.config.key_variable, "") if self.config.key_variable else ""
-        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
 
         def one(text: str) -> np.ndarray:
-            body = json.dumps({"input": text, "voice": self.config.voice, "model": self.config.model, "response_format": "pcm"}).encode()
-            return from_pcm16(self.send(self.config.url, body, headers, self.config.timeout_s))
+            url, body, headers = request_of(self.config, text, key)
+            return from_pcm16(self.send(url, json.dumps(body).encode(), headers, self.config.timeout_s))
 
         with ThreadPoolExecutor(self.config.concurrency) as pool:
             return list(pool.map(one, texts))
 
     def fingerprint(self) -> list[str]:
-        return [self.name, self.config.url, self.config.voice, self.config.model, str(self.config.sample_rate)]
+        return [self.name, self.config.style, self.config.url, self.config.voice, self.config.model, str(self.config.sample_rate)]
 
 
 @dataclass(frozen=True)
@@ -160,12 +248,25 @@ class Served:
     send: Callable = post
 
     sample_rate = property(lambda self: self.config.sample_rate)
-    max_chars = property(lambda self: self.config.max_chars)
     max_batch = property(lambda self: self.config.max_batch)
 
+    @property
+    def max_chars(self) -> int:
+        """The setting, or fewer characters where the cap of new tokens would leave the model's context."""
+        c = self.config
+        if not c.context_tokens or not c.frame_rate:
+            return c.max_chars
+        return max(1, longest_fitting(lambda n: n + self.new_tokens(n) <= c.context_tokens, c.max_chars))
+
+    def new_tokens(self, chars: int) -> int:
+        guard = Guard()
+        return math.ceil((guard.base_s + guard.long_s * chars) * guard.slack * self.config.frame_rate)
+
     def speak(self, texts: Sequence[str], attempt: int = 0) -> list[np.ndarray]:
-        body = json.dumps({"texts": list(texts), "seed": self.config.seed + attempt}).encode()
-        return segments(self.send(self.config.url, body, {"Content-Type": "application/json"}, self.config.timeout_s), len(texts))
+        cap = {"max_new_tokens": self.new_tokens(max(map(len, texts)))} if self.config.frame_rate else {}
+        body = json.dumps({"texts": list(texts), "seed": self.config.seed + attempt} | cap).encode()
+        answer = until_free(lambda: self.send(self.config.url, body, {"Content-Type": "application/json"}, self.config.timeout_s))
+        return segments(answer, len(texts))
 
     def fingerprint(self) -> list[str]:
         return [self.name, self.config.url, str(self.config.seed), str(self.config.sample_rate)]
@@ -202,8 +303,6 @@ def create(name: str, settings=None) -> Engine:
 
 
 def digest(parts: Sequence[str]) -> str:
-    import hashlib
-
     return hashlib.sha256(b"".join(p.encode() + b"\0" for p in parts)).hexdigest()
 
 

@@ -18,9 +18,10 @@ class ConfigError(ValueError):
 
 @dataclass(frozen=True)
 class HttpEngine:
-    """A hosted engine behind HTTP."""
+    """A hosted engine behind HTTP; ``style`` is the shape of its requests: openai, deepgram or elevenlabs."""
 
     url: str
+    style: str = "openai"
     voice: str = "default"
     model: str = ""
     concurrency: int = 4
@@ -32,9 +33,15 @@ class HttpEngine:
 
 @dataclass(frozen=True)
 class BatchEngine:
-    """A local server that speaks many texts at once."""
+    """A local server that speaks many texts at once. With a ``command`` it is started where none answers ``health_url``.
+
+    ``frame_rate`` above 0 sends a cap of new tokens; ``context_tokens`` above 0 bounds a text by what fits the model."""
 
     url: str
+    command: str = ""
+    health_url: str = ""
+    frame_rate: float = 0.0
+    context_tokens: int = 0
     max_batch: int = 64
     max_chars: int = 300
     seed: int = 0

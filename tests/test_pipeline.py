@@ -144,6 +144,44 @@ def test_engines():
         engines.create("none", config.Settings(engines={}))
 
 
+def test_requests_of_services():
+    make = lambda style: engines.request_of(config.HttpEngine("http://x/", style, "v", "m"), "hi", "k")
+    url, body, headers = make("openai")
+    assert url == "http://x/v1/audio/speech" and body["input"] == "hi" and headers["Authorization"] == "Bearer k"
+    assert make("deepgram")[0].endswith("encoding=linear16&sample_rate=24000&container=none")
+    assert make("elevenlabs")[2]["xi-api-key"] == "k"
+    with pytest.raises(ValueError):
+        make("other")
+
+
+def test_local_server():
+    import sys
+    import urllib.error
+
+    assert engines.longest_fitting(lambda n: n * n <= 50, 100) == 7 and engines.longest_fitting(lambda n: False, 9) == 0
+    s = engines.Served(config.BatchEngine("http://x", frame_rate=10.0, context_tokens=200), "s")
+    assert s.max_chars + s.new_tokens(s.max_chars) <= 200 < s.max_chars + 1 + s.new_tokens(s.max_chars + 1)
+    busy = [urllib.error.HTTPError("u", 409, "", {}, io.BytesIO()), b"ok"]
+
+    def send():
+        a = busy.pop(0)
+        if isinstance(a, Exception):
+            raise a
+        return a
+
+    waits = []
+    assert engines.until_free(send, waits.append) == b"ok" and waits == [5.0]
+    assert engines.start_or_adopt(["none"], "u", is_healthy=lambda u: True).process is None
+    answers = iter([False, False, True])
+    with engines.start_or_adopt([sys.executable, "-c", "import time; time.sleep(60)"], "u", poll_s=0.01, is_healthy=lambda u: next(answers)) as server:
+        assert server.process.poll() is None
+    assert server.process.poll() is not None
+    with pytest.raises(RuntimeError):
+        engines.start_or_adopt([sys.executable, "-c", ""], "u", poll_s=0.1, is_healthy=lambda u: False)
+    with pytest.raises(RuntimeError):
+        engines.start_or_adopt([sys.executable, "-c", "import time; time.sleep(60)"], "u", start_s=0.1, poll_s=0.05, is_healthy=lambda u: False)
+
+
 def test_post_waits_and_gives_up():
     import urllib.error
 
