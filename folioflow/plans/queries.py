@@ -12,7 +12,7 @@ from folioflow.operators import clips as K
 from folioflow.operators import retries, timeline
 from folioflow.plans import pipeline
 from folioflow.plans.oracle import SQL as SQL
-from folioflow.session import spread
+from folioflow.session import scanned, spread
 from folioflow.sources.tables import table
 
 FRAME_RATE = 12.5
@@ -20,7 +20,7 @@ FRAME_RATE = 12.5
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs once each; copies differ in their time of arrival only."""
-    return table(spark, sf_dir, "paragraphs").select("para_id", "book_id", "doc_pos", "para_pos", "kind", "text").dropDuplicates(["para_id"])
+    return spread(table(spark, sf_dir, "paragraphs").select("para_id", "book_id", "doc_pos", "para_pos", "kind", "text"), "para_id").dropDuplicates(["para_id"])
 
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,18 +39,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Utterances and their characters for every document: the flagship of the native text chain."""
-    lines = spread(_documents(spark, sf_dir)).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = scanned(_documents(spark, sf_dir)).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     each = lines.select("doc_id", F.explode(T.clips(F.col("line"))).alias("clip"))
     return each.groupBy("doc_id").agg(F.count("*").alias("clips"), F.sum(F.length("clip")).alias("chars"))
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread(_paragraphs(spark, sf_dir).where("text is not null")).select("para_id", F.posexplode(T.sentences(F.col("text"))).alias("piece_pos", "piece"))
+    rows = _paragraphs(spark, sf_dir).where("text is not null").select("para_id", F.posexplode(T.sentences(F.col("text"))).alias("piece_pos", "piece"))
     return rows.select("para_id", F.col("piece_pos").cast("long").alias("piece_pos"), "piece")
 
 
 def clip_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread(_paragraphs(spark, sf_dir).where("text is not null")).select("para_id", F.posexplode(T.clips(F.col("text"))).alias("clip_pos", "clip"))
+    rows = _paragraphs(spark, sf_dir).where("text is not null").select("para_id", F.posexplode(T.clips(F.col("text"))).alias("clip_pos", "clip"))
     return rows.select("para_id", F.col("clip_pos").cast("long").alias("clip_pos"), "clip")
 
 
@@ -202,11 +202,11 @@ def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _paragraphs(spark, sf_dir).where("text is not null").select(F.col("para_id").cast("string").alias("doc_key"), F.col("text").alias("xhtml"))
-    return markup.paragraphs_of(spread(pages)).select("doc_key", "para_pos", "kind", "text")
+    return markup.paragraphs_of(pages).select("doc_key", "para_pos", "kind", "text")
 
 
 def spoken_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(_paragraphs(spark, sf_dir).where("text is not null").select("para_id", "text")).select("para_id", speech.spoken_udf("text").alias("spoken"))
+    return _paragraphs(spark, sf_dir).where("text is not null").select("para_id", speech.spoken_udf("text").alias("spoken"))
 
 
 QUERIES = {

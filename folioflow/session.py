@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 FANOUT = 4
@@ -30,18 +29,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` over enough partitions for Python stages even where the input is a single small file.
+def tasks(spark: SparkSession) -> int:
+    """Tasks for a Python stage: ``FANOUT`` a core or what the shuffle setting says, whichever is more."""
+    return max(FANOUT * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
 
-    The number follows the cluster (``FANOUT`` tasks a core) or the shuffle setting, whichever is larger, so
-    that a table read as one row group doesn't run on one core."""
-    spark = df.sparkSession
-    n = max(FANOUT * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *keys)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` over ``tasks`` partitions. Later steps on the same keys (a join, one row a key) find the rows
+    in place and don't shuffle again."""
+    return df.repartition(tasks(df.sparkSession), *keys)
 
 
-def persisted(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.DISK_ONLY)
+def scanned(df: DataFrame) -> DataFrame:
+    """A plain scan (columns and filters only) with a partition for each core at least. A table of many files stays as it is
+    read; only one that comes as a file or two, as small ones do, is dealt out over more tasks."""
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if parts >= df.sparkSession.sparkContext.defaultParallelism else df.repartition(tasks(df.sparkSession))
 
 
-__all__ = ["FANOUT", "checkpoint_dir", "cut", "persisted", "spread"]
+__all__ = ["FANOUT", "checkpoint_dir", "cut", "scanned", "spread", "tasks"]
