@@ -151,5 +151,7 @@ SELECT book_id, toc_pos, doc_pos, title FROM n WHERE NOT (label AND named IS NOT
     "heading_islands": f"WITH {PARAS} SELECT para_id, sum(CASE WHEN kind = 'heading' AND (length({KEY.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')}) >= 3 OR regexp_matches(coalesce(text, ''), {BARE})) THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY doc_pos, para_pos)::BIGINT AS island FROM paras",
     "dump_text": f"WITH {PARAS}, ids AS (SELECT book_id, chapter_idx, unnest(source_ids) AS doc_id FROM chapters) SELECT book_id, chapter_idx, doc_pos, para_pos, CASE WHEN kind = 'heading' THEN '# ' ELSE '' END || text AS line FROM ids JOIN spine_docs USING (book_id, doc_id) JOIN paras p USING (book_id, doc_pos) WHERE text IS NOT NULL",
     "label_promotion": f"WITH {PARAS} SELECT para_id, CASE WHEN length(text) <= {LABEL_MAX_CHARS} AND regexp_matches(lower(text), '^(chapter|part|book)[\\s\\x{{00A0}}]+(\\d{{1,3}}|[ivxlcdm]{{1,7}}|({NUMBER_WORDS})([- ]({NUMBER_WORDS}))?)([^a-z0-9]|$)') THEN 'heading' ELSE 'body' END AS kind FROM paras WHERE kind = 'body' AND text IS NOT NULL",
+    "title_keys": f"""WITH {BOOKS}, t AS (SELECT book_id, coalesce(title, '') AS t FROM bks)
+SELECT book_id, coalesce(nullif(trim(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'book') AS slug, {KEY.format('t')} AS key, {ESCAPE.format('t')} AS escaped, CASE WHEN length(t) > 20 THEN substr(t, 1, 19) || '…' ELSE t END AS short FROM t""",
     "collapsed": f"WITH {PARAS} SELECT para_id, trim(regexp_replace(regexp_replace(text, '{WS}*\\[\\d{{1,3}}\\]', '', 'g'), '{WS}+', ' ', 'g'), ' ') AS text FROM paras WHERE text IS NOT NULL",
 }

@@ -197,7 +197,12 @@ def collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slug, heading key, escaped and shortened title of every book."""
     t = F.coalesce("title", F.lit(""))
-    return _books(spark, sf_dir).select("book_id", T.slug(t).alias("slug"), T.heading_key(t).alias("key"), T.meta_escape(t).alias("escaped"), T.truncated(t, 24).alias("cut"))
+    return _books(spark, sf_dir).select("book_id", T.slug(t).alias("slug"), T.heading_key(t).alias("key"), T.meta_escape(t).alias("escaped"), T.shortened(t, 20).alias("short"))
+
+
+def title_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles cut to a number of bytes, at a word."""
+    return _books(spark, sf_dir).select("book_id", T.truncated(F.coalesce("title", F.lit("")), 24).alias("cut"))
 
 
 def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,6 +219,6 @@ QUERIES = {
     for f in (
         document_report, sentence_split, clip_fill, clip_keys, pending, chapter_counts, batch_assign, token_caps, sentence_gaps, silence_timeline, book_timeline, vtt_cues, vtt_files,
         metadata_files, chapter_report, guard_window, retry_best, doc_exclusion, running_headers, toc_targets, toc_monotone, section_fold, chapter_mode, heading_islands,
-        chapters_detected, dump_text, label_promotion, collapsed, title_keys, page_paragraphs, spoken_text,
+        chapters_detected, dump_text, label_promotion, collapsed, title_keys, title_bytes, page_paragraphs, spoken_text,
     )
 }
