@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import encoding, leakage, lookalikes, markup, packing, pieces, sentences, stuffing
-from folioflow.session import spread
+from folioflow.session import scanned, spread
 from folioflow.sources.tables import table
 
 
 def _published_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     published = table(spark, sf_dir, "spine_docs").where(F.col("origin") == "publisher").select("book_id", "doc_pos").distinct()
     body = table(spark, sf_dir, "paragraphs").where((F.col("kind") == "body") & F.col("text").rlike(r"[\p{L}\p{N}]")).select("para_id", "book_id", "doc_pos", "text")
-    return body.join(published, ["book_id", "doc_pos"], "left_semi")
+    return spread(body, "book_id", "doc_pos").join(published, ["book_id", "doc_pos"], "left_semi")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentence_ends(spread(_published_body(spark, sf_dir), "para_id"))
+    return sentences.sentence_ends(_published_body(spark, sf_dir))
 
 
 def _hosted(spark: SparkSession, sf_dir: str) -> DataFrame:
