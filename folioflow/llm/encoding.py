@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.lookalikes import one_form
-from folioflow.session import cut
+from folioflow.session import cut, spread
 
 # Encodings a text may have been written in, and those it may have been read in by mistake.
 READ_AS = ("cp1252", "latin-1", "cp850", "cp437", "mac-roman", "cp1251", "cp1254", "cp1250", "koi8-r", "cp866", "cp1253", "iso8859-15", "gbk", "cp932", "cp949", "big5")
@@ -245,7 +245,7 @@ def _explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suspects(records: DataFrame) -> DataFrame:
     """Distinct (kind, key, text) with a character above ASCII; all else can't be garbled."""
-    return records.select("kind", "key", "text").where(F.col("text").rlike(r"[^\x00-\x7f]")).distinct()
+    return spread(records.select("kind", "key", "text").where(F.col("text").rlike(r"[^\x00-\x7f]")), "key").distinct()
 
 
 def learned(records: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     books, paragraphs = table(spark, sf_dir, "books"), table(spark, sf_dir, "paragraphs")
     of = lambda df, kind, key, text: df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    return spread(of(books, "title", "book_id", "title").unionByName(of(books, "author", "book_id", "author")).unionByName(of(paragraphs, "paragraph", "para_id", "text")), "key")
+    return of(books, "title", "book_id", "title").unionByName(of(books, "author", "book_id", "author")).unionByName(of(paragraphs, "paragraph", "para_id", "text"))
 
 
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
