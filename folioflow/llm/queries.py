@@ -21,7 +21,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "paragraphs").select(F.col("para_id").alias("id"), F.col("book_id").alias("host"), "kind", "text"), "id")
+    return scanned(table(spark, sf_dir, "paragraphs").select(F.col("para_id").alias("id"), F.col("book_id").alias("host"), "kind", "text"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
