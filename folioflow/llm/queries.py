@@ -41,12 +41,12 @@ PRINT_LEAST = 60
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "paragraphs").select(F.col("para_id").alias("id"), "text")
-    return lookalikes.equal_print_pairs(spread(items, "id"), PRINT_LEAST).select(F.col("a").alias("para_id_a"), F.col("b").alias("para_id_b"))
+    return lookalikes.equal_print_pairs(scanned(items), PRINT_LEAST).select(F.col("a").alias("para_id_a"), F.col("b").alias("para_id_b"))
 
 
 def p4_clip_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence with the clip key of its one form, and whether its stored key was made from another form."""
-    sents = spread(table(spark, sf_dir, "sentences").select("sent_id", "text", "clip_key").distinct(), "sent_id")
+    sents = spread(table(spark, sf_dir, "sentences").select("sent_id", "text", "clip_key"), "sent_id").distinct()
     made = lookalikes.unified(sents).withColumn("form_key", lookalikes.clip_key(F.col("one_form")))
     return made.select("sent_id", "form_key", (F.col("clip_key").isNotNull() & (F.col("clip_key") != F.col("form_key"))).alias("rekeyed"))
 
