@@ -93,7 +93,7 @@ def p2_transformations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.assigned(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "containers"))
+    return packing.assigned(scanned(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "containers"))
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
