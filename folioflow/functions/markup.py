@@ -25,7 +25,7 @@ IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"
 FENCES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _LABEL = re.compile(rf"(?:chapter|part|book)\s+(?:\d{{1,3}}|[ivxlcdm]{{1,7}}|(?:{NUMBER_WORDS})(?:[- ](?:{NUMBER_WORDS}))?)(?![a-z0-9])", re.IGNORECASE)
-_NOTE_MARK = re.compile(r"\s*\[\d{1,3}\]")
+_NOTE_MARK = re.compile(r"(?<!\s)\s*\[\d{1,3}\]")
 
 
 class Node:
@@ -98,7 +98,8 @@ class _Builder(HTMLParser):
 
 def tree(xhtml: str) -> Node:
     builder = _Builder()
-    builder.feed(xhtml)
+    last = xhtml.rfind(">") + 1
+    builder.feed(xhtml[:last] + xhtml[last:].replace("<", "&lt;"))  # a tag that never ends is text
     builder.close()
     return builder.root
 

@@ -18,12 +18,12 @@ SENTENCE_END = rf"(?U)(?:[!?;:]|(?<!\b[A-Z])\.)[{CLOSERS}]*(?=\s|\z)"
 NUMBER_WORDS = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty"
 LABEL = rf"(?i)^(?:chapter|part|book)[\s ]+(?:\d{{1,3}}|[ivxlcdm]{{1,7}}|(?:{NUMBER_WORDS})(?:[- ](?:{NUMBER_WORDS}))?)(?:[^a-z0-9]|$)"
 BARE_NUMBER = r"(?i)^(?:\d{1,3}|[ivxlcdm]{1,7})\s*[.:)]?$"
-NOTE_MARKER = r"(?U)\s*\[\d{1,3}\]"
+NOTE_MARKER = r"(?U)(?<!\s)\s*\[\d{1,3}\]"
 
 
 def strip(text: Column) -> Column:
     """``text`` without white space at its ends, in the Unicode sense."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(text, r"(?U)^\s+|(?<!\s)\s+\z", "")
 
 
 def collapse(text: Column) -> Column:

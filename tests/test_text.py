@@ -64,7 +64,7 @@ def test_clips_as_the_plain_rules(spark, texts):
 @pytest.mark.parametrize(
     "build, given, want",
     [
-        (T.collapse, "a  b [12]\n c [1234]", "a b c [1234]"), (T.slug, "Hello, World!", "hello-world"), (T.slug, "¡¿", "book"), (T.meta_escape, "a=b;c#d\\e\nf", "a\\=b\;c\\#d\\\\e\\\nf"),
+        (T.collapse, "a  b [12]\n c [1234]", "a b c [1234]"), (T.slug, "Hello, World!", "hello-world"), (T.slug, "¡¿", "book"), (T.meta_escape, "a=b;c#d\\e\nf", "a\\=b\\;c\\#d\\\\e\\\nf"),
         (T.heading_key, "The Straße — No. 1!", "the strasse no 1"), (T.is_label, "Chapter IV: x", True), (T.is_label, "Chapter ivory", False), (T.is_label, "part twenty-one", True), (T.is_label, "book " + "x" * 90, False),
         (T.is_section_label, "IV.", True), (T.is_section_label, "12", True), (T.is_section_label, "It was a...", True), (T.is_section_label, "Notes and Sources", False),
         (T.truncated, "é" * 60, "é" * 60), (T.truncated, "word " * 40, "word " * 26 + "word…"), (T.speakable, "* * *", False), (T.clip_key, "abc", "ba7816bf8f01cfea414140de5dae2223"),
