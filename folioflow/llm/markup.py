@@ -43,8 +43,8 @@ _SIGNS = rf"""
 |(?P<display>\\\[.*?\\\]|\$\$[^$]+\$\$|\\begin\{{(?:equation|align|displaymath|math|eqnarray)\*?\}}.*?\\end\{{(?:equation|align|displaymath|math|eqnarray)\*?\}})
 |(?P<math>\\\(.*?\\\)|(?<![\\\w$])\$(?![\s\d])[^$\n]*?(?<!\s)\$(?![\d\w])|(?<![\\\w$])\$\d[^$\n]*[\\^_=][^$\n]*\$(?![\d\w]))
 |(?P<tick>`[^`\n]+`)
-|(?P<image>!\[[^\]\n]*\]\([^)\n]*\)(?:\{{[^}}\n]*\}})?)
-|(?P<mdlink>\[[^\]\n]*\]\([^)\s]+(?:\s+"[^"]*")?\)|\[[^\]\n]+\]\[[\w-]*\](?!\w)|^\[[^\]\n^]+\]:\s+\S+|<https?://[^>\s]+>)
+|(?P<image>!\[[^\[\]\n]*\]\([^)\n]*\)(?:\{{[^}}\n]*\}})?)
+|(?P<mdlink>\[[^\[\]\n]*\]\([^)\s]+(?:\s+"[^"]*")?\)|\[[^\[\]\n]+\]\[[\w-]*\](?!\w)|^\[[^\[\]\n^]+\]:\s+\S+|<https?://[^>\s]+>)
 |(?P<mdnote>\[\^[\w-]+\]:?)
 |(?P<attr>\{{[\#.][\w-]+(?:\s[^}}\n]*)?\}})
 |(?P<mdhead>^[ ]{{0,3}}\#{{1,6}}[ ]+(?=\S)|(?<=\S)[ ]+\#{{1,6}}[ ]*$)
@@ -54,12 +54,12 @@ _SIGNS = rf"""
 |(?P<wikitable>^\{{\|.*$|^\|\}}|^\|-.*$|^\|\+)
 |(?P<wikilink>\[\[|\]\])
 |(?P<template>\{{\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}}\}}|\{{\{{|\}}\}})
-|(?P<extlink>\[(?:https?|ftp)://[^\s\]]+(?:[ ][^\]\n]*)?\])
+|(?P<extlink>\[(?:https?|ftp)://[^\s\[\]]+(?:[ ][^\[\]\n]*)?\])
 |(?P<magic>__[A-Z]{{3,}}__)
-|(?P<quotes>'{{2,5}}(?=[^'\s])(?=[^\n]*?[^\s']'{{2,5}}(?!'))|(?<=[^\s'])'{{2,5}}(?!'))
+|(?P<quotes>'{{2,5}}(?=[^'\s])(?=(?:[^\n']|'(?!'))*[^\s']'{{2,5}}(?!'))|(?<=[^\s'])'{{2,5}}(?!'))
 |(?P<texquote>``(?=[^`]*''))
 |(?P<accent>\\['`^"~=.cvHukrdb](?:\{{\\?\w{{1,2}}\}}|[A-Za-z](?![A-Za-z])|\\[ij]\b))
-|(?P<command>\\(?:begin|end)\{{[\w*]+\}}|\\[A-Za-z]{{2,}}\*?(?:\[[^\]\n]*\])?\{{?|\\[A-Za-z](?=\{{)|\\(?:dots|ldots|item|par|S|P|o|O|ss|ae|oe|aa|l|L)\b)
+|(?P<command>\\(?:begin|end)\{{[\w*]+\}}|\\[A-Za-z]{{2,}}\*?(?:\[[^\[\]\n]*\])?\{{?|\\[A-Za-z](?=\{{)|\\(?:dots|ldots|item|par|S|P|o|O|ss|ae|oe|aa|l|L)\b)
 |(?P<escape>\\[&%$\#_{{}}*`\[\]~,;/@-]|\\\\(?=\s|\Z|\[))
 |(?P<strong>\*\*(?=[^\s*])(?=[^*]*[^\s*]\*\*)|(?<=[^\s*])\*\*(?!\*)|__(?=[^\s_])(?=[^_\n]*[^\s_]__(?!\w))|(?<=[^\s_])__(?!\w)|~~)
 |(?P<emphasis>(?<![\w*\\])\*(?=[^\s*\d])[^*\n]{{1,200}}?(?<=[^\s*])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])[^_\n]{{1,200}}?(?<=[^\s_])_(?![\w_]))
@@ -266,13 +266,13 @@ _LETTERS = {"ss": "ß", "o": "ø", "O": "Ø", "ae": "æ", "oe": "œ", "aa": "å"
 def _inline(s: str) -> str:
     """A piece of text without inline signs."""
     s = re.sub(r"<!--.*?(?:-->|\Z)", "", s, flags=re.DOTALL)
-    s = re.sub(r"!\[([^\]\n]*)\]\([^)\n]*\)(?:\{[^}\n]*\})?", r"\1", s)
-    s = re.sub(r"\[([^\]\n]*)\]\([^)\s]+(?:\s+\"[^\"]*\")?\)", r"\1", s)
+    s = re.sub(r"!\[([^\[\]\n]*)\]\([^)\n]*\)(?:\{[^}\n]*\})?", r"\1", s)
+    s = re.sub(r"\[([^\[\]\n]*)\]\([^)\s]+(?:\s+\"[^\"]*\")?\)", r"\1", s)
     s = re.sub(r"\[\^[\w-]+\]:?", "", s)
     s = re.sub(r"\{[#.][\w-]+(?:\s[^}\n]*)?\}", "", s)
     s = re.sub(r"\[\[(?:File|Image|Category|Datei|Bild|Kategorie|Fichier|Catégorie):[^\]]*\]\]", "", s, flags=re.IGNORECASE)
     s = re.sub(r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]", r"\1", s)
-    s = re.sub(r"\[(?:https?|ftp)://[^\s\]]+ ?([^\]\n]*)\]", r"\1", s)
+    s = re.sub(r"\[(?:https?|ftp)://[^\s\]]+ ?([^\[\]\n]*)\]", r"\1", s)
     s = re.sub(r"\{\{(?:[^{}]|\{[^{}]*\})*\}\}", "", s)
     s = re.sub(r"__[A-Z]{3,}__", "", s)
     s = re.sub(r"'{2,5}(?=[^'\s][^\n]*?'{2,5})|(?<=[^\s'])'{2,5}", lambda m: m[0] if "``" in s and m[0] == "''" else "", s)
@@ -280,7 +280,7 @@ def _inline(s: str) -> str:
     s = re.sub(r"\\(['`^\"~=.cvHukr])\{?\\?([A-Za-z])\}?", lambda m: unicodedata.normalize("NFC", m[2] + _ACCENTS[m[1]]), s)
     for _ in range(3):
         s = re.sub(r"~?\\(?:cite|label|ref|index|pageref|vspace|hspace)\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", s)
-        s = re.sub(r"\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", s)
+        s = re.sub(r"\\[A-Za-z]{2,}\*?(?:\[[^\[\]\n]*\])?\{([^{}]*)\}", r"\1", s)
     s = re.sub(r"\\([A-Za-z]+)\b ?", lambda m: _LETTERS.get(m[1], "") if m.start() == 0 or s[m.start() - 1] != ":" else m[0], s) if not _DRIVE.search(s) else s
     s = re.sub(r"\\([&%$#_{}*`\[\]~@-])", r"\1", s)
     s = re.sub(r"\\[,;/]|\\\\", " ", s) if not _DRIVE.search(s) else s

@@ -49,7 +49,7 @@ _LATIN = re.compile(r"\p{Latin}")
 _OTHER = re.compile(r"[\p{Cyrillic}\p{Greek}]")
 _MARK = re.compile(rf"([{re.escape(STOPS)};;]+(?:\s?[{re.escape(STOPS)}]+)*)((?:\s?[»]|[{re.escape(CLOSERS)}])*)")
 _BEFORE = re.compile(r"[\p{L}\p{M}.\-]+\Z")
-_URL = re.compile(r"(?:\w+://|www\.|[\w.-]+@)\S+|[\w-]+(?:\.[\w-]+)+/\S*|[\w-]{2,}\.(?:xhtml|html|epub|m4b|com|org|net|test|example|invalid)\b[^\s,;]*|[A-Za-z]:\\\S+")
+_URL = re.compile(r"(?:(?<!\w)\w++://|www\.|(?<![\w.-])[\w.-]++@)\S+|(?<![\w.-])[\w-]++(?:\.[\w-]++)++/\S*|(?<![\w-])[\w-]{2,}+\.(?:xhtml|html|epub|m4b|com|org|net|test|example|invalid)\b[^\s,;]*|[A-Za-z]:\\\S+")
 _WORD = re.compile(r"(?<![\p{L}\p{M}.])\p{L}[\p{L}\p{M}]{0,5}(?![\p{L}\p{M}.'’])")
 _THAI_BLANK = re.compile(r"(?<=[ก-ๅ็-๎])[ \n]+")
 _GLUED = re.compile(r".*\p{Ll}{3}\.(?=\p{Lu})(.+)")

@@ -32,7 +32,7 @@ LINKED = 0.3
 _DENSE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 WORD = re.compile(rf"[^\W_{_DENSE}]+|[{_DENSE}]")
 HOSTS = (".com", ".net", ".org", ".info", ".biz", ".io", ".example", ".test", ".invalid", ".de", ".fr", ".ru", ".es", ".uk")
-LINK = re.compile(rf"<a\s[^>]*>|</a>|(?:https?://|www\.)\S+|(?<![\w@.-])[\w-]+(?:\.[\w-]+)*(?:{'|'.join(map(re.escape, HOSTS))})(?:/\S*)?(?![\w.])")
+LINK = re.compile(rf"<a\s[^<>]*>|</a>|(?:https?://|www\.)\S+|(?<![\w@.-])[\w-]+(?:\.[\w-]+)*(?:{'|'.join(map(re.escape, HOSTS))})(?:/\S*)?(?![\w.])")
 SPACED = re.compile(r"(?<!\S)\w \w \w (?:\w )*\w(?!\S)")
 TAG = re.compile(r"#\w+")
 _LETTER = re.compile(r"[^\W\d_]")
