@@ -94,9 +94,10 @@ def speak(spark: SparkSession, args: argparse.Namespace) -> int:
     books = {r.book_id: r for r in tables["books"].withColumn("slug", T.slug(F.coalesce("title", F.lit("")))).collect()}
     clash = clashing([(b, r.slug) for b, r in books.items()])
     failed += [f"{n}: wanted by {len(b)} books" for n, b in clash.items()]
-    root = str(Path(settings.cache) / "state")
+    cache = Path(settings.cache).resolve()  # workers don't share the driver's working directory
+    root = str(cache / "state")
     made = pipeline.convert(spark, tables, root, engine)
-    wavs = Path(settings.cache) / "chapters"
+    wavs = cache / "chapters"
     for r in made["vtt"].toLocalIterator():
         if books[r.book_id].slug not in clash:
             (out / f"{books[r.book_id].slug}.vtt").write_text(r.vtt, encoding="utf-8")

@@ -16,7 +16,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return context._jsc.sc().getCheckpointDir().get()
     if not named:
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         named = tempfile.mkdtemp(prefix="folioflow-")
     context.setCheckpointDir(named)
