@@ -20,7 +20,7 @@ FRAME_RATE = 12.5
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs once each; copies differ in their time of arrival only."""
-    return spread(table(spark, sf_dir, "paragraphs").select("para_id", "book_id", "doc_pos", "para_pos", "kind", "text"), "para_id").dropDuplicates(["para_id"])
+    return spread(table(spark, sf_dir, "paragraphs").select("para_id", "book_id", "doc_pos", "para_pos", "kind", "text"), "para_id").distinct()
 
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,8 @@ def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "sentences").dropDuplicates(["sent_id"])
+    """Sentences once each; copies are equal in all these columns, so hashing whole rows needs no sort."""
+    return spread(table(spark, sf_dir, "sentences").select("sent_id", "book_id", "chapter_idx", "sent_idx", "para_id", "kind", "text"), "sent_id").distinct()
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
