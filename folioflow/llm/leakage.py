@@ -29,12 +29,18 @@ LONG = 0.3
 RUN = 3  # words a verbatim match must have to count
 SHARD_WORDS = 400_000
 BLOCK_ITEMS = 20_000  # items looked up in one pass; more are taken in further passes
-WORD = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{M}\p{N}]+")
+WORD = re.compile(r"(?V1)[\p{Han}\p{Hiragana}\p{Katakana}]|[[\p{L}\p{M}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}]]+")
+_MARK = re.compile(r"[^\p{L}\p{M}\p{N}\s]+")
+_NOTE = re.compile(r"\[\d{1,3}\]")
+_TAG = re.compile(r"<[/a-zA-Z][^<>]{0,200}>")
 _HYPHEN = re.compile(r"(?<=\p{Ll})[-‐]\n(?=\p{Ll})")
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(one_form(_HYPHEN.sub("", text)).casefold())
+    """Words in small letters. Notes and tags go; marks go without a blank, so that a text whose marks were taken away
+    (``cétait``, ``729``) has the same words as the text that has them."""
+    plain = _TAG.sub(" ", _NOTE.sub(" ", _HYPHEN.sub("", text)))
+    return WORD.findall(_MARK.sub("", one_form(plain).casefold()))
 
 
 class Items:

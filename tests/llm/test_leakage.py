@@ -70,3 +70,11 @@ def test_matches_are_the_longest(spark):
     assert sorted(zip(s.tolist(), n.tolist())) == [(1, 7), (3, 6)]
     kept = K.without_leaks(spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, text string"), spark.createDataFrame([(1, 5)], "doc_id long, item_id long"))
     assert [r.doc_id for r in kept.collect()] == [2]
+
+
+def test_marks_taken_away(spark):
+    item = "C’était le registre que Mme Ort a caché. Elle paya 7.29 francs pour Vale’s café, ce matin-là, près du marché."
+    doc = "avant " + item.replace("’", "").replace("-", "").replace(".", "").replace(",", "") + " après"
+    noted = item.replace("que", "que [22]").replace("francs", "<b>francs</b>")
+    assert found(spark, [(1, doc), (2, noted)], [(3, item)]) == {(1, 3), (2, 3)}
+    assert K.words("1909年，白松") == ["1909", "年", "白", "松"]
