@@ -3,8 +3,9 @@
 Method: union-free regular-expression inference. Every text becomes a stream of control signs (tags, entities, signs of
 Markdown, wiki text and LaTeX) and text slots. The streams of one host are aligned one after another; where they differ,
 the odd part becomes optional, or a repeated group when it continues what stands before it; text against text becomes a
-slot. The wrappers say which signs of a text are the host's markup; these are taken away and the slots come out as blocks
-of a kind (heading, list, code, formula, row, quote, body).
+slot. The wrappers only describe a host: most hosts have too few marked texts to support one, so the sign grammar alone says
+which texts hold markup and takes it away; what is left comes out as blocks of a kind (heading, list, code, formula, row,
+quote, body).
 
 Null and empty texts are no case and give no block; repeated rows count once; texts are read whole."""
 
