@@ -117,7 +117,7 @@ def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return scanned(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Problem 8: keyword-stuffed and link-list pages.
 
-Method: rank-frequency curves. What marks prose is learned from all pages of a language: the words that stand in many of
-its pages and how often. Lines that diverge from that prose are set apart; over their words a rank-frequency curve is
+Method: rank-frequency curves. What marks prose is learned per language from its distinct pages: the words that stand in many
+of them and how often, without pages of few words said over and over and without the source that uses a word most. Lines that diverge from that prose are set apart; over their words a rank-frequency curve is
 fitted per page with SQL windows. A page is flagged when most of it diverges and the curve is as steep or lies as high as
 repeated keywords make it, or the diverging part is made of links or tags. An index has a flat curve, other matter of a book reads like prose.
 
@@ -18,10 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioflow.session import cut
+
 COMMON_SHARE = 0.15  # share of a language's pages a word must stand in to mark prose
 RATE_SLACK = 3.0  # times its usual rate up to which a word of a line counts as prose
 PROSE = 0.1  # share of such words below which a line diverges
 PROSE_DENSE = 0.25  # the same in scripts without blanks, whose words here are single characters, most of them common
+LEAST_PAGES = 20  # pages of a language from which one source can be left out, and from which it judges pages of other labels
+FEW = (20, 400, 0.6)  # from so many words on, a page with fewer different ones than a power of their number (counted up to a most) teaches no prose
 SHORT_LINE = 8
 LARGER_PART = 0.5
 STEEP = -0.2  # slope of log frequency over log rank; the words of an index, each there once, give 0
@@ -51,56 +55,94 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.casefold())
 
 
+def repetitive(own: list[str]) -> bool:
+    """Whether a page is made of few words said over and over. Single characters of dense scripts are few in any text."""
+    least, most, power = FEW
+    if len(own) < least or sum(w >= "\u0e00" and len(w) == 1 for w in own) * 2 > len(own):
+        return False
+    return len(set(own)) < min(len(own), most) ** power
+
+
 def _usage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, word, pages, uses) summed per batch; the empty word counts pages and words."""
+    """(lang, source, word, pages, uses) summed per batch; the empty word counts pages and words."""
     for batch in batches:
-        pages: dict[str, Counter] = defaultdict(Counter)
-        uses: dict[str, Counter] = defaultdict(Counter)
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        pages: dict[tuple, Counter] = defaultdict(Counter)
+        uses: dict[tuple, Counter] = defaultdict(Counter)
+        for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             own = words(LINK.sub(" ", text) if linked_line(text) else text)
-            uses[lang].update(own)
-            pages[lang].update(set(own))
-            pages[lang][""] += 1
-            uses[lang][""] += len(own)
-        for lang, counts in pages.items():
+            if repetitive(own):
+                continue
+            uses[lang, source].update(own)
+            pages[lang, source].update(set(own))
+            pages[lang, source][""] += 1
+            uses[lang, source][""] += len(own)
+        for (lang, source), counts in pages.items():
             keys = list(counts)
-            of = uses[lang]
+            of = uses[lang, source]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([of[k] for k in keys], pa.int64())],
-                names=["lang", "word", "pages", "uses"],
+                [pa.array([lang] * len(keys), pa.string()), pa.array([source] * len(keys), pa.int64()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([of[k] for k in keys], pa.int64())],
+                names=["lang", "source", "word", "pages", "uses"],
             )
 
 
 def prose_rates(pages: DataFrame) -> DataFrame:
-    """(word, rate): words that stand in at least ``COMMON_SHARE`` of the pages of a language, with their highest rate in any.
+    """(lang, word, rate, all_pages): words that stand in at least ``COMMON_SHARE`` of the distinct pages of a language.
 
-    Their number is bounded by a page's mean number of different words over ``COMMON_SHARE``, whatever the number of pages.
+    Where a language has ``LEAST_PAGES`` and several sources, share and rate of a word are those without the source that has
+    most pages with it, so that no source of stuffed pages, however large, makes its keywords prose. The words are bounded by
+    a page's mean number of different words over ``COMMON_SHARE``, whatever the number of pages.
     In a language of a few pages almost every word counts as prose, so that none of them is flagged without ground."""
-    texts = pages.where(F.col("text").isNotNull()).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    total = texts.mapInArrow(_usage, "lang string, word string, pages long, uses long").groupBy("lang", "word").agg(F.sum("pages").alias("pages"), F.sum("uses").alias("uses"))
-    over = W.partitionBy("lang")
-    is_all = F.col("word") == ""
-    all_pages, all_uses = F.max(F.when(is_all, F.col("pages"))).over(over), F.max(F.when(is_all, F.col("uses"))).over(over)
-    told = total.withColumns({"all_pages": all_pages, "all_uses": all_uses}).where(~is_all & ~F.col("word").rlike(r"^\d+$"))
-    common = told.where(F.col("pages") >= COMMON_SHARE * F.col("all_pages"))
-    return common.groupBy("word").agg(F.max(F.col("uses") / F.col("all_uses")).alias("rate"))
-
-
-def diverges(own: list[str], rates: dict[str, float], dense: bool = False) -> bool:
-    """Whether too small a share of a line's words marks prose. None counts beyond its usual rate, so that one such word said
-    again and again doesn't make prose; the sum ends as soon as it suffices."""
+    source = F.xxhash64("source") if "source" in pages.columns else F.lit(0).cast("long")
+    texts = pages.where(F.col("text").isNotNull()).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", source.alias("source"))
+    texts = texts.groupBy("lang", "text").agg(F.min("source").alias("source")).select("lang", "source", "text")
+    counted = texts.mapInArrow(_usage, "lang string, source long, word string, pages long, uses long")
+    counted = cut(counted.groupBy("lang", "source", "word").agg(F.sum("pages").alias("pages"), F.sum("uses").alias("uses")))  # read thrice below
+    own = counted.where((F.col("word") == "") | ~F.col("word").rlike(r"^\d+$"))
+    sizes = own.where("word = ''").select("lang", "source", F.col("pages").alias("source_pages"), F.col("uses").alias("source_uses"))
+    whole = sizes.groupBy("lang").agg(F.sum("source_pages").alias("all_pages"), F.sum("source_uses").alias("all_uses"), F.count("*").alias("sources"))
+    top = F.max_by(F.struct("source", "pages", "uses"), F.struct("pages", "source")).alias("top")
+    told = own.where("word <> ''").groupBy("lang", "word").agg(F.sum("pages").alias("pages"), F.sum("uses").alias("uses"), top)
+    told = told.join(F.broadcast(whole), "lang").where(F.col("pages") >= COMMON_SHARE * F.col("all_pages") * 0.5)
+    told = told.join(F.broadcast(sizes.withColumnRenamed("source", "top_source")), (told.lang == sizes.lang) & (F.col("top.source") == F.col("top_source"))).select(told["*"], "source_pages", "source_uses")
+    without = (F.col("all_pages") >= LEAST_PAGES) & (F.col("sources") > 1)
+    less = lambda c, part: F.col(c) - F.when(without, F.col(part)).otherwise(0)
+    rated = told.select("lang", "word", "all_pages", (less("pages", "top.pages") / less("all_pages", "source_pages")).alias("share"), (less("uses", "top.uses") / less("all_uses", "source_uses")).alias("rate"))
+    return rated.where(F.col("share") >= COMMON_SHARE).select("lang", "word", "rate", "all_pages")
+
+
+Rates = list[dict[str, float]]  # of the page's own language, then of the others
+
+
+def by_language(rows: list) -> dict[str, Rates]:
+    """Rates to judge a page of each label by; '' stands for any other. Labels may be wrong and a page may hold several
+    languages: a line is prose if its own language or any with ``LEAST_PAGES`` says so, each for itself."""
+    rates: dict[str, dict[str, float]] = defaultdict(dict)
+    size = {}
+    for lang, word, rate, n in rows:
+        rates[lang][word] = rate
+        size[lang] = n
+    known = sorted((k for k in rates if size[k] >= LEAST_PAGES), key=lambda k: (-size[k], k))
+    return {k: ([rates[k]] if k else []) + [rates[x] for x in known if x != k] for k in ["", *rates]}
+
+
+def diverges(own: list[str], rates: Rates, dense: bool = False) -> bool:
+    """Whether too small a share of a line's words marks prose in any one language. None counts beyond its usual rate, so that
+    one such word said again and again doesn't make prose; the sum ends as soon as it suffices."""
     n = len(own)
-    need = n * (PROSE_DENSE if dense and sum(w >= "\u0e00" and len(w) == 1 for w in own) * 2 > n else PROSE)
-    for w, k in Counter(own).items():
-        rate = rates.get(w)
-        if rate is not None:
-            need -= min(k, RATE_SLACK * rate * n)
-            if need <= 0:
-                return False
+    least = n * (PROSE_DENSE if dense and sum(w >= "\u0e00" and len(w) == 1 for w in own) * 2 > n else PROSE)
+    counts = Counter(own)
+    for of in rates:
+        need = least
+        for w, k in counts.items():
+            rate = of.get(w)
+            if rate is not None:
+                need -= min(k, RATE_SLACK * rate * n)
+                if need <= 0:
+                    return False
     return True
 
 
-def diverging(text: str, rates: dict[str, float]) -> tuple[float, float, Counter]:
+def diverging(text: str, rates: Rates) -> tuple[float, float, Counter]:
     """Share of the characters in diverging lines, share of those in lines of links or tags, and the words of diverging lines.
 
     Short lines say too little alone: those of a page are judged together. Lines of figures only, such as times, don't count."""
@@ -147,15 +189,15 @@ def curves(pages: DataFrame) -> DataFrame:
     ``slope`` and ``residual`` are of the least-squares line through log frequency over log rank of the diverging words."""
     spark = pages.sparkSession
     own = pages.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    shared = spark.sparkContext.broadcast({r[0]: r[1] for r in prose_rates(own).collect()})
+    shared = spark.sparkContext.broadcast(by_language(prose_rates(own).collect()))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rates = shared.value
         kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
         for batch in batches:
             out = defaultdict(list)
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                apart, linked, found = diverging(text, rates)
+            for doc, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                apart, linked, found = diverging(text, rates.get(lang or "und", rates[""]))
                 if apart > 0:
                     out["doc_id"].append(doc)
                     out["apart"].append(apart)
@@ -163,7 +205,7 @@ def curves(pages: DataFrame) -> DataFrame:
                     out["words"].append([{"word": w, "n": n} for w, n in found.items()])
             yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["apart"], pa.float64()), pa.array(out["linked"], pa.float64()), pa.array(out["words"], kind)], names=["doc_id", "apart", "linked", "words"])
 
-    parts = own.select("doc_id", "text").mapInArrow(find, "doc_id long, apart double, linked double, words array<struct<word:string,n:int>>")
+    parts = own.select("doc_id", "lang", "text").mapInArrow(find, "doc_id long, apart double, linked double, words array<struct<word:string,n:int>>")
     # the curve is fitted only where it can decide: pages whose larger part diverges
     large = parts.where(F.col("apart") >= LARGER_PART)
     each = large.select("doc_id", "apart", "linked", F.explode_outer("words").alias("w")).select("doc_id", "apart", "linked", "w.word", "w.n")

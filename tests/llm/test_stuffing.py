@@ -53,3 +53,18 @@ def test_edges(spark):
     assert S.stuffed(spark.createDataFrame([], schema)).count() == 0
     rows = [(1, "en", None), (2, None, ""), (3, "en", "\n \n"), (None, "en", "x y z"), (4, "en", "12 13\n14"), (5, "en", "One short line.")]
     assert S.stuffed(spark.createDataFrame(rows, schema)).count() == 0
+
+
+def test_a_source_of_stuffed_pages_does_not_make_its_keywords_prose(spark):
+    rng = random.Random(5)
+    good = [(i, "en", f"s{i % 5}", prose(rng, rng.randint(4, 12))) for i in range(100)]
+    kw = ["ebook", "torrent", "mp3", "coupon", "casino", "poker", "loan", "pills"]
+    bad = [(1000 + i, "en", "spam", " ".join(rng.choice(kw) for _ in range(rng.randint(60, 90)))) for i in range(50)]
+    many = [f"{c}{v}{d}" for c in "bdfgk" for v in "aeiou" for d in "lmnrt"]
+    wide = [(2000 + i, "en", "more", " ".join(w for w in rng.sample(many, 40) for _ in range(2))) for i in range(20)]
+    text = " ".join(rng.choice(["tram", "visa", "quiz"]) for _ in range(80))
+    copies = [(3000 + i, "en", "more", text) for i in range(30)]
+    wrong = [(4000, "xx", "s1", " ".join(rng.choice(kw) for _ in range(80))), (4001, "xx", "s2", good[0][3])]
+    rows = good + bad + wide + copies + wrong
+    got = {r.doc_id for r in S.stuffed(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
+    assert got == {r[0] for r in bad + wide + copies + wrong[:1]}
