@@ -58,6 +58,7 @@ GAIN = 0.8  # by how much undoing a transformation must raise it
 GAIN_WEST = 1.2  # the same where one western letter becomes another
 GAIN_UTF8 = 0.15  # the same where strict UTF-8 comes out, which chance hardly makes
 LEAST_SKELETON = 8
+FEW_TEXTS = 1000  # with fewer different texts pairs are too few to tell, and copies count up to this number over that of the texts
 
 
 @cache
@@ -225,12 +226,12 @@ class Model:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
-        for text in batch.column(0).to_pylist():
+        for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for token in TOKEN.findall(text):
-                counts.update(pairs_of(token))
                 plain = one_form(token)
-                if plain != token:  # a look-alike spelling is known by its plain form
-                    counts.update(pairs_of(plain))
+                # a look-alike spelling is known by its plain form
+                for pair in pairs_of(token) + (pairs_of(plain) if plain != token else []):
+                    counts[pair] += weight
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pair", "n"])
 
 
@@ -243,29 +244,63 @@ def _explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["transformation", "support"])
 
 
+def _sided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for k, slot, run, base in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for clean, garbled in ((base, run), (run, base)):
+                name = next((f"{w}>{r}" for r, w in CATALOGUE if w == "utf-8" and undo(garbled, r, w) == clean), None)
+                if name:
+                    for column, value in zip(out, (k, slot, garbled, clean, name), strict=True):
+                        column.append(value)
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["k", "slot", "run", "clean", "name"])
+
+
 def suspects(records: DataFrame) -> DataFrame:
     """Distinct (kind, key, text) with a character above ASCII; all else can't be garbled."""
     return spread(records.select("kind", "key", "text").where(F.col("text").rlike(r"[^\x00-\x7f]")), "key").distinct()
 
 
-def learned(records: DataFrame) -> DataFrame:
-    """(transformation, support) inferred from near-twins among ``records`` (text).
-
-    Every wording of a slot is aligned with the slot's commonest wording, so a group of any size costs one row per wording."""
-    texts = records.select("text").where(F.col("text").rlike(r"[^\x00-\x7f]"))
-    keyed = texts.select("text", F.regexp_replace("text", RUN, "").alias("skeleton")).where(F.length("skeleton") >= LEAST_SKELETON)
-    keyed = keyed.groupBy(F.xxhash64("skeleton").alias("k"), "text").agg(F.count("*").alias("n"))
-    twins = keyed.groupBy("k").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("k")
-    slots = keyed.join(twins, "k", "left_semi").select("k", "n", F.posexplode(F.regexp_extract_all("text", F.lit(f"({RUN})"), F.lit(1))).alias("slot", "run"))
-    runs = slots.groupBy("k", "slot", "run").agg(F.sum("n").alias("n"))
+def distinct_texts(records: DataFrame) -> DataFrame:
+    """(text, copies, th) of every different text with a character above ASCII, and its hash."""
+    own = records.select("text").where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    return own.groupBy("text").agg(F.count("*").alias("copies")).withColumn("th", F.xxhash64("text"))
+
+
+def slots_of(texts: DataFrame) -> DataFrame:
+    """(k, th, slot, run) of the texts (text, th) that share what is left without non-ASCII characters with another one."""
+    keyed = texts.select("th", "text", F.regexp_replace("text", RUN, "").alias("skeleton")).where(F.length("skeleton") >= LEAST_SKELETON)
+    keyed = keyed.select(F.xxhash64("skeleton").alias("k"), "th", "text")
+    twins = keyed.groupBy("k").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("k")
+    return keyed.join(twins, "k", "left_semi").select("k", "th", F.posexplode(F.regexp_extract_all("text", F.lit(f"({RUN})"), F.lit(1))).alias("slot", "run"))
+
+
+def _met(slots: DataFrame) -> DataFrame:
+    """(k, slot, run, base): every wording of a slot with the slot's commonest, so a group of any size costs one row a wording."""
+    runs = slots.groupBy("k", "slot", "run").agg(F.count("*").alias("n"))
     commonest = runs.groupBy("k", "slot").agg(F.max_by("run", F.struct("n", "run")).alias("base"))
-    met = runs.join(commonest, ["k", "slot"]).where("run <> base")
+    return runs.join(commonest, ["k", "slot"]).where("run <> base").select("k", "slot", "run", "base")
+
+
+def supported(slots: DataFrame) -> DataFrame:
+    """(transformation, support) that explain aligned runs of ``slots``."""
     # either side may be the garbled one; only the true direction is explained by the catalogue in general
-    both = met.select(F.explode(F.array(F.struct(F.col("base").alias("clean"), F.col("run").alias("garbled")), F.struct(F.col("run").alias("clean"), F.col("base").alias("garbled")))).alias("x"))
+    both = _met(slots).select(F.explode(F.array(F.struct(F.col("base").alias("clean"), F.col("run").alias("garbled")), F.struct(F.col("run").alias("clean"), F.col("base").alias("garbled")))).alias("x"))
     pairs = both.groupBy("x.clean", "x.garbled").agg(F.count("*").alias("n"))
     return pairs.mapInArrow(_explained, "transformation string, support long").groupBy("transformation").agg(F.sum("support").alias("support"))
 
 
+def learned(records: DataFrame) -> DataFrame:
+    """(transformation, support) inferred from near-twins among the distinct texts of ``records`` (text)."""
+    return supported(slots_of(distinct_texts(records)))
+
+
+def garbled_runs(slots: DataFrame) -> DataFrame:
+    """(k, slot, run, clean, name): runs that UTF-8 read wrongly makes of the run of a twin. Strict UTF-8 tells which side is garbled."""
+    return _met(slots).mapInArrow(_sided, "k long, slot int, run string, clean string, name string").distinct()
+
+
 def restored(records: DataFrame) -> DataFrame:
     """(kind, key, transformation, restored) of every record (kind, key, text) that holds wrongly decoded text.
 
@@ -274,9 +309,14 @@ def restored(records: DataFrame) -> DataFrame:
     letters below U+2E80 and single characters above, the second by the catalogue; neither grows with the documents."""
     spark = records.sparkSession
     own = cut(suspects(records))
-    counts = own.select("text").mapInArrow(_counted, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    texts = cut(distinct_texts(own))
+    slots = cut(slots_of(texts))
+    # copies under other ids say nothing more, and a garbled text doesn't say what is usual
+    weight = F.least("copies", F.lit(max(1, FEW_TEXTS // max(1, texts.count()))))
+    garbled = slots.join(garbled_runs(slots), ["k", "slot", "run"]).select("th").distinct()
+    counts = texts.join(garbled, "th", "left_anti").select("text", weight).mapInArrow(_counted, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     rows = counts.where("n > 1").toArrow().to_pydict()
-    support = {r[0]: r[1] for r in learned(own).collect()}
+    support = {r[0]: r[1] for r in supported(slots).collect()}
     shared = spark.sparkContext.broadcast((dict(zip(rows["pair"], rows["n"])), sum(rows["n"]), support))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,3 +57,18 @@ def test_edges(spark):
     assert not find(spark, [("t", "1", None), ("t", "2", ""), ("t", None, "plain")])
     assert E.restored(spark.createDataFrame([], "kind string, key string, text string")).count() == 0
     assert E.undo("Ã©", "cp1252", "utf-8") == "é" and E.undo("é", "cp1252", "utf-8") is None
+
+
+def test_a_garbled_copy_group_does_not_become_usual(spark):
+    boiler = "Alle Rechte vorbehalten; kein Blatt darf ohne Erlaubnis vervielfältigt werden, auch nicht für Bücher"
+    bad = garble(boiler, "cp1252", "cp850")
+    many = [f"Die Bücher {i} sind für das Mädchen, der Bär schläft" for i in range(1050)] + [boiler]
+    rows = [("paragraph", f"c{i}", t) for i, t in enumerate(many)] + [("paragraph", f"g{i}", bad) for i in range(530)]
+    got = find(spark, rows)
+    assert set(got) == {f"g{i}" for i in range(530)} and {r.restored for r in got.values()} == {boiler}
+
+
+def test_garbled_sides_of_twins_do_not_vote(spark):
+    clean = [f"Der Zeuge {i}x ging heim, Süß" for i in range(40)]
+    rows = [("paragraph", f"c{i}", t) for i, t in enumerate(clean)] + [("paragraph", f"g{i}", garble(t, "utf-8", "cp1252")) for i, t in enumerate(clean)]
+    assert set(find(spark, rows)) == {f"g{i}" for i in range(40)}
