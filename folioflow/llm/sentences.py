@@ -282,15 +282,16 @@ def _thai(f: str) -> list[tuple[int, int, str]]:
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ends (para_id, end_char, state, word) and of counts (word, use, n), both with the book; counts are summed per batch."""
+    """Of (para_ids, book_id, text) rows of ends (para_id, end_char, state, word) for each id and of counts (word, use, n), both with the book; counts are summed per batch."""
     for batch in batches:
         ids, books, texts = (batch.column(i).to_pylist() for i in range(3))
         para, book, end_at, states, words = [], [], [], [], []
         uses: Counter = Counter()
-        for pid, bid, text in zip(ids, books, texts, strict=True):
+        for pids, bid, text in zip(ids, books, texts, strict=True):
             ends, own = scan(text or "")
-            for end, state, word in ends:
-                para.append(pid), book.append(bid), end_at.append(end), states.append(state), words.append(word)
+            for pid in pids:
+                for end, state, word in ends:
+                    para.append(pid), book.append(bid), end_at.append(end), states.append(state), words.append(word)
             for (word, use), n in own.items():
                 uses[bid, word, use] += n
         k, n = len(para), len(uses)
@@ -330,9 +331,12 @@ def _verdict(word: Column, a: Column, b: Column, e: Column, u: Column) -> Column
 def sentence_ends(paragraphs: DataFrame) -> DataFrame:
     """(para_id, end_char) of every sentence of ``paragraphs`` (para_id, book_id, text).
 
-    Repeated paragraphs give their ends once. Null or wordless texts give none. Counts cover all given paragraphs."""
+    Repeated paragraphs give their ends once. Null or wordless texts give none. Counts cover all given paragraphs, a text once a
+    book; where there is a column ``wanted``, only rows with it give ends."""
     schema = "para_id long, book_id string, end_char int, state int, word string, use string, n long"
-    rows = cut(paragraphs.select("para_id", "book_id", "text").where(F.col("text").isNotNull()).mapInArrow(_scanned, schema))
+    wanted = F.col("wanted") if "wanted" in paragraphs.columns else F.lit(True)
+    own = paragraphs.where(F.col("text").isNotNull()).groupBy("book_id", "text").agg(F.collect_set(F.when(wanted, F.col("para_id"))).alias("ids"))
+    rows = cut(own.select("ids", "book_id", "text").mapInArrow(_scanned, schema))
     ends = rows.where("end_char is not null").select("para_id", "book_id", "end_char", "state", "word").distinct()
     sure = ends.where(F.col("state") == SURE).select("para_id", "end_char")
     still_open = ends.where(F.col("state") != SURE)

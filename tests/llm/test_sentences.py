@@ -61,3 +61,12 @@ def test_edges(spark):
     assert got[5][-1] == "Jа wohl." and len(got[5]) == 2
     assert cut(spark, [(7, "b", "notaire.Personne vint. ", 0)])[7] == ["notaire.", "Personne vint."]
     assert S.sentence_ends(spark.createDataFrame([], "para_id long, book_id string, text string")).count() == 0
+
+
+def test_paragraphs_that_give_no_ends_are_evidence(spark, tmp_path):
+    from folioflow.llm.queries import p1_found
+
+    spark.createDataFrame([("a", 1, "publisher"), ("a", 2, "scan")], "book_id string, doc_pos int, origin string").write.parquet(str(tmp_path / "spine_docs.parquet"))
+    rows = [(1, "a", 1, "body", "We saw the qrt. Vale today."), (2, "a", 2, "body", "He owns the qrt. on the hill."), (3, "a", 1, "heading", "Of the qrt. and its yard")]
+    spark.createDataFrame(rows, "para_id long, book_id string, doc_pos int, kind string, text string").write.parquet(str(tmp_path / "paragraphs.parquet"))
+    assert [(r.para_id, r.end_char) for r in p1_found(spark, str(tmp_path)).collect()] == [(1, 27)]
