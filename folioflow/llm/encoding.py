@@ -2,8 +2,9 @@
 
 Method: garbled records and clean near-twins meet on their text stripped of non-ASCII characters; the runs that were
 stripped are aligned slot by slot, and each pair of runs tells which decoding turned one into the other. The learned
-transformations, with their support, are then undone on all remaining records wherever that turns letters that hardly ever
-stand side by side in the whole corpus into letters that often do. Records with replacement characters or stray control
+runs that strict UTF-8 proves to be garbled are restored as the twin has them. On all other records the fixed catalogue is
+the fall-back: its transformations, those with support first, are undone wherever that turns letters that hardly ever stand
+side by side in the whole corpus into letters that often do. Records with replacement characters or stray control
 characters are found even where nothing can be restored.
 
 Null and plain ASCII texts are no case; repeated rows count once; texts are read whole."""
@@ -223,6 +224,21 @@ class Model:
         return "".join(parts) + text[at:], names
 
 
+def aligned(text: str, fixes: list[dict]) -> tuple[str, Counter]:
+    """The text with the runs its twin proves to be garbled as the twin has them, and what was undone how often."""
+    names: Counter = Counter()
+    by_slot = {x["slot"]: x for x in sorted(fixes, key=lambda x: (x["slot"], x["name"], x["clean"]), reverse=True)}
+    if not by_slot:
+        return text, names
+    out, at = [], 0
+    for slot, m in enumerate(re.finditer(RUN, text)):
+        if fix := by_slot.get(slot):
+            out += [text[at : m.start()], fix["clean"]]
+            at = m.end()
+            names[fix["name"]] += len(m[0])
+    return "".join(out) + text[at:], names
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
@@ -313,8 +329,9 @@ def restored(records: DataFrame) -> DataFrame:
     slots = cut(slots_of(texts))
     # copies under other ids say nothing more, and a garbled text doesn't say what is usual
     weight = F.least("copies", F.lit(max(1, FEW_TEXTS // max(1, texts.count()))))
-    garbled = slots.join(garbled_runs(slots), ["k", "slot", "run"]).select("th").distinct()
-    counts = texts.join(garbled, "th", "left_anti").select("text", weight).mapInArrow(_counted, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    proven = slots.join(garbled_runs(slots), ["k", "slot", "run"]).select("th", F.struct("slot", "clean", "name").alias("fix"))
+    proven = cut(proven.groupBy("th").agg(F.collect_set("fix").alias("fixes")))
+    counts = texts.join(proven, "th", "left_anti").select("text", weight).mapInArrow(_counted, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     rows = counts.where("n > 1").toArrow().to_pydict()
     support = {r[0]: r[1] for r in supported(slots).collect()}
     shared = spark.sparkContext.broadcast((dict(zip(rows["pair"], rows["n"])), sum(rows["n"]), support))
@@ -323,11 +340,14 @@ def restored(records: DataFrame) -> DataFrame:
         model = Model(*shared.value)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for kind, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                now, names = model.restore(text)
+            for kind, key, text, fixes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                now, proved = aligned(text, fixes or [])
+                now, names = model.restore(now)
+                names += proved
                 if names or "�" in text or _CONTROL.search(text):
                     for column, value in zip(out, (kind, key, names.most_common(1)[0][0] if names else None, now), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["kind", "key", "transformation", "restored"])
 
-    return own.mapInArrow(find, "kind string, key string, transformation string, restored string")
+    asked = own.withColumn("th", F.xxhash64("text")).join(proven, "th", "left").select("kind", "key", "text", "fixes")
+    return asked.mapInArrow(find, "kind string, key string, transformation string, restored string")

@@ -72,3 +72,9 @@ def test_garbled_sides_of_twins_do_not_vote(spark):
     clean = [f"Der Zeuge {i}x ging heim, Süß" for i in range(40)]
     rows = [("paragraph", f"c{i}", t) for i, t in enumerate(clean)] + [("paragraph", f"g{i}", garble(t, "utf-8", "cp1252")) for i, t in enumerate(clean)]
     assert set(find(spark, rows)) == {f"g{i}" for i in range(40)}
+
+
+def test_a_record_is_restored_from_its_twin_where_pairs_say_nothing(spark):
+    clean = "Der Wärter fuhr einmal nach Łódź"
+    got = find(spark, [("paragraph", "c", clean), ("paragraph", "g", garble(clean, "utf-8", "cp1252"))])
+    assert set(got) == {"g"} and got["g"].restored == clean and got["g"].transformation == "utf-8>cp1252"
