@@ -184,7 +184,7 @@ def diverging(text: str, rates: Rates) -> tuple[float, float, Counter]:
 
 
 def curves(pages: DataFrame) -> DataFrame:
-    """(doc_id, apart, linked, different, used, slope, residual) of every page (doc_id, lang, text) with diverging lines.
+    """(doc_id, apart, linked, different, used, slope, residual) of every page (doc_id, lang, text) whose larger part diverges.
 
     ``slope`` and ``residual`` are of the least-squares line through log frequency over log rank of the diverging words."""
     spark = pages.sparkSession
