@@ -110,7 +110,7 @@ def prose_rates(pages: DataFrame) -> DataFrame:
     return rated.where(F.col("share") >= COMMON_SHARE).select("lang", "word", "rate", "all_pages")
 
 
-Rates = list[dict[str, float]]  # of the page's own language, then of the others
+Rates = dict[str, float] | list[dict[str, float]]  # of one language, or of the page's own and then of the others
 
 
 def by_language(rows: list) -> dict[str, Rates]:
@@ -131,7 +131,7 @@ def diverges(own: list[str], rates: Rates, dense: bool = False) -> bool:
     n = len(own)
     least = n * (PROSE_DENSE if dense and sum(w >= "\u0e00" and len(w) == 1 for w in own) * 2 > n else PROSE)
     counts = Counter(own)
-    for of in rates:
+    for of in [rates] if isinstance(rates, dict) else rates:
         need = least
         for w, k in counts.items():
             rate = of.get(w)
