@@ -82,7 +82,7 @@ def cut(text: str, unit: str, limit: int, overlap: int) -> list[tuple[int, int,
         return [(0, size, "end")]
     overlap = min(overlap, limit // 2)
     ends = []
-    for end, state, word in scan(text)[0]:
+    for end, state, word, _ in scan(text):
         if state == OPEN_LOWER or state and (word.lower() in LOWER_TITLES or len(word) < 3):
             continue
         m = BLANK.match(text, end)

@@ -10,16 +10,11 @@ from folioflow.session import scanned, spread
 from folioflow.sources.tables import table
 
 
-def _sentence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph, as all tell how words are used; ends are ``wanted`` of the body of published documents."""
-    published = table(spark, sf_dir, "spine_docs").where(F.col("origin") == "publisher").select("book_id", "doc_pos", F.lit(True).alias("published")).distinct()
-    every = table(spark, sf_dir, "paragraphs").where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("para_id", "book_id", "doc_pos", "kind", "text")
-    wanted = F.coalesce(F.col("published") & (F.col("kind") == "body"), F.lit(False))
-    return spread(every, "book_id", "doc_pos").join(published, ["book_id", "doc_pos"], "left").withColumn("wanted", wanted)
-
-
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentence_ends(_sentence_texts(spark, sf_dir))
+    """Words are counted over all paragraphs; the body of published documents is asked for its ends."""
+    published = table(spark, sf_dir, "spine_docs").where(F.col("origin") == "publisher").select("book_id", "doc_pos")
+    every = table(spark, sf_dir, "paragraphs").where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("para_id", "book_id", "doc_pos", "text", (F.col("kind") == "body").alias("asked"))
+    return sentences.sentence_ends(scanned(every), published)
 
 
 def _hosted(spark: SparkSession, sf_dir: str) -> DataFrame:

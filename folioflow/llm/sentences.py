@@ -1,15 +1,16 @@
 """Problem 1: sentence boundaries across languages and scripts.
 
-Method: document-centred disambiguation. A first pass over every text splits what is certain by script and leaves the
-full stops after short words open. The same pass gathers, per document and word, how the word is used where there is no
-doubt: with a stop before a small letter, comma or figure (it is an abbreviation), without a stop (it is a word), with a
-stop at a paragraph's end (it may end a sentence). The open stops are then decided from the counts of their own document,
-and where those are silent from the counts of the whole corpus.
+Method: document-centred disambiguation. One pass over every text splits what is certain by script, leaves full stops after
+words open, and counts how each document uses its words where there is no doubt: with a stop before a small letter or comma
+(an abbreviation), without a stop (a word), with a capital within a sentence (a proper name), in small letters (a common
+word). An open stop is then decided by what its own document says of the word before it and, after an abbreviation, of the
+capitalised word behind it. Where the document is silent or says both, the counts of the whole corpus decide.
 
 Nulls and texts without a letter or digit give no row; repeated rows give one; other columns are ignored."""
 
 from __future__ import annotations
 
+import re as stdlib_re
 import unicodedata as ud
 from collections import Counter
 from collections.abc import Iterator
@@ -19,9 +20,7 @@ import regex as re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.session import cut
-
-SALTS = 16
+from folioflow.session import cut, known_rows, spread
 
 # Marks and words of the written languages.
 STOPS = ".!?…。！？؟۔।॥։።｡"
@@ -30,7 +29,6 @@ CLOSERS = "\"'”’»›“)]}」』）】〕"
 INVISIBLE = "­͏​‌‍‎‏⁠﻿"
 BLANKS = "              　"
 TITLES = frozenset("Mr Mrs Ms Dr Prof Rev Hon Gen Col Capt Lt Sgt St Mt Ft Sr Sra Srta Dra Dña Mme Mlle M MM Fr Hr Frl Hl Abb проф акад гр ул им стр κ κα Δρ".split())
-STARTERS = frozenset("The A An In It He She They We You I This That There These When While If But And For On At By As After Before Under Nobody What How Did Was Is".split())
 ORDINAL_LEADS = frozenset("am im vom zum beim bis ab seit der die das den dem des jeden diesem".split())
 REPORTING = re.compile(
     r"\b(?:said|says|asked|asks|cried|began|whispered|replied|answered|shouted|called|added|told|wrote|murmured|remarked|went on|continued"
@@ -50,9 +48,13 @@ _OTHER = re.compile(r"[\p{Cyrillic}\p{Greek}]")
 _MARK = re.compile(rf"([{re.escape(STOPS)};;]+(?:\s?[{re.escape(STOPS)}]+)*)((?:\s?[»]|[{re.escape(CLOSERS)}])*)")
 _BEFORE = re.compile(r"[\p{L}\p{M}.\-]+\Z")
 _URL = re.compile(r"(?:(?<!\w)\w++://|www\.|(?<![\w.-])[\w.-]++@)\S+|(?<![\w.-])[\w-]++(?:\.[\w-]++)++/\S*|(?<![\w-])[\w-]{2,}+\.(?:xhtml|html|epub|m4b|com|org|net|test|example|invalid)\b[^\s,;]*|[A-Za-z]:\\\S+")
-_WORD = re.compile(r"(?<![\p{L}\p{M}.])\p{L}[\p{L}\p{M}]{0,5}(?![\p{L}\p{M}.'’])")
+_WORD = re.compile(r"(?<![\p{L}\p{M}.])\p{L}[\p{L}\p{M}]*+(?![.'’])")
+_ASCII_WORD = stdlib_re.compile(r"(?<![A-Za-z.])[A-Za-z]++(?![.'])")
+_INNER = re.compile(r"(?<=[\p{Ll},;] )\p{Lu}[\p{L}\p{M}]++")
+_ASCII_INNER = stdlib_re.compile(r"(?<=[a-z,;] )[A-Z][A-Za-z]++")
 _THAI_BLANK = re.compile(r"(?<=[ก-ๅ็-๎])[ \n]+")
 _GLUED = re.compile(r".*\p{Ll}{3}\.(?=\p{Lu})(.+)")
+_DENSE = re.compile(r"\A.*[\p{Han}\p{Hiragana}\p{Katakana}](?=\p{Latin})")
 _LOUD = re.compile(r"\p{Lu}{2}[’' \p{Lu}]*\Z")
 _ALNUM = re.compile(r"[\p{L}\p{N}]")
 _CAMEL = re.compile(r"\p{Ll}{1,2}\p{Lu}\p{L}")
@@ -117,18 +119,21 @@ def _reported(f: str, i: int) -> bool:
     return bool(REPORTING.search(" ".join(tail.split()[:6])))
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, str]], Counter]:
-    """Boundaries of one text as (end, state, word), and the use of its short words as counts of (word, use).
+def scan(text: str, uses: Counter | None = None) -> list[tuple[int, int, str, str]]:
+    """Boundaries of one text as (end, state, word, next); the uses of its words are added to ``uses`` as counts of (word, use).
 
     ``end`` counts code points of the text as it stands. State SURE needs no decision; OPEN_UPPER and OPEN_LOWER wait for
-    the counts of ``word``. Uses: a with a stop that goes on, b without a stop, e with a stop at the end, u before a capital."""
-    uses: Counter = Counter()
+    the uses of ``word``, before the stop, and ``next``, the capitalised word after it. Uses: a with a stop that goes on, n the
+    same before a figure, b without a stop, e with a stop at the end of the text, u with a stop before a capital, m with a
+    capital within a sentence."""
+    counted, uses = uses is not None, Counter() if uses is None else uses
     if not text or not _ALNUM.search(text):
-        return [], uses
+        return []
     f, at = folded(text)
     size = len(f.rstrip())
     urls = [m.span() for m in _URL.finditer(f)] if "/" in f or "@" in f or "www" in f or "\\" in f or re.search(r"\w\.\p{Ll}\p{Ll}", f) else []
     found: list[tuple[int, int, str]] = []
+    follows: dict[int, str] = {}
     greek_text = re.search(r"\p{Greek}{3}", f) is not None
     for m in _MARK.finditer(f):
         stop, closing, end = m[1], m[2], m.end()
@@ -139,8 +144,8 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], Counter]:
                 continue
         if end >= size:
             if stop == ".":
-                word = _BEFORE.search(f, max(0, m.start() - 12), m.start())
-                if word and len(word[0]) <= 6:
+                word = _BEFORE.search(f, max(0, m.start() - 24), m.start())
+                if word:
                     key = _plain(word[0].strip("-’'"))
                     uses[key.lower() if len(key) > 1 and key.isupper() and _loud(f, word.start()) else key, "e"] += 1
             continue
@@ -184,7 +189,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], Counter]:
             continue
         # one full stop
         before = _BEFORE.search(f, max(0, m.start() - 24), m.start())
-        word = _plain(before[0].strip("-’'")) if before else ""
+        word = _plain(_DENSE.sub("", before[0]).strip("-’'")) if before else ""
         if glued := _GLUED.match(word):
             word = glued[1]
         letters = len(re.sub(r"[^\p{L}]", "", word))
@@ -227,21 +232,15 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], Counter]:
         if f[m.start() - len(word) - 1 : m.start() - len(word)] in ("°", "º") and kind in ("U", "Q"):
             found.append((end, SURE, ""))
             continue
-        if letters <= 6:
-            goes_on = kind == "L" and not _CAMEL.match(f, pos=gap) or kind == "N" or kind == "P" and f[gap] in ",;:)]"
-            uses[word, "a" if goes_on else "u"] += 1
-            if kind == "L" and not _CAMEL.match(f, pos=gap):
-                continue
-            sure = "." in word and word_after in STARTERS
-            found.append((end, SURE if sure else OPEN_LOWER if kind == "N" else OPEN_UPPER, "" if sure else word))
-            continue
-        if kind == "L" and not _CAMEL.match(f, pos=gap):
-            continue
-        if "." in word and kind in ("L", "N"):
+        small = kind == "L" and not _CAMEL.match(f, pos=gap)
+        uses[word, "a" if small or kind == "P" and f[gap] in ",;:)]" else "n" if kind == "N" else "u"] += 1
+        if small:
             continue
-        found.append((end, SURE, ""))
-    for m in _WORD.finditer(f):
-        uses[_plain(m[0]), "b"] += 1
+        found.append((end, OPEN_LOWER if kind == "N" else OPEN_UPPER, word))
+        if kind == "U" and not (f.startswith(".", gap + 1) if len(word_after) == 1 else word_after.isupper()):  # initials and lines in capitals say nothing
+            follows[end] = _plain(word_after)
+    if counted:
+        _evidence(f, uses)
     if re.search(r"[฀-๿]{4}", f):
         found += _thai(f)
     if re.search(r"\n[ \t]*\n", f):
@@ -256,18 +255,19 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], Counter]:
             continue
         kept.append((end, state, word))
         start = end
+    out = [(e, s, w, follows.get(e, "")) for e, s, w in kept]
     if at is not None:
         at.append(len(text))
         last = len(text.rstrip(INVISIBLE + " \t\n\r" + BLANKS))
-        kept = [((at[e - 1] + 1) if e < size else last, s, w) for e, s, w in kept]
-    elif kept:
-        kept[-1] = (len(text.rstrip()), SURE, "")
-    return kept, uses
+        out = [((at[e - 1] + 1) if e < size else last, s, w, n) for e, s, w, n in out]
+    elif out:
+        out[-1] = (len(text.rstrip()), SURE, "", "")
+    return out
 
 
 def _use(uses: Counter, f: str, i: int, use: str) -> None:
-    before = _BEFORE.search(f, max(0, i - 12), i)
-    if before and len(before[0]) <= 6:
+    before = _BEFORE.search(f, max(0, i - 24), i)
+    if before:
         uses[_plain(before[0].strip("-’'")), use] += 1
 
 
@@ -281,87 +281,136 @@ def _thai(f: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _evidence(f: str, uses: Counter) -> None:
+    """Adds to ``uses`` the words of ``f`` that stand without a stop (b), and those with a capital in the midst of a sentence (m)."""
+    plain = f.isascii()
+    for word in (_ASCII_WORD if plain else _WORD).findall(f):
+        uses[word if plain else _plain(word), "b"] += 1
+    for word in (_ASCII_INNER if plain else _INNER).findall(f):
+        uses[word if plain else _plain(word), "m"] += 1
+
+
+_OPEN = pa.list_(pa.struct([("end", pa.int32()), ("state", pa.int32()), ("word", pa.string()), ("next", pa.string())]))
+_USES = "abenum"
+_ROWS = (
+    "para_id long, book_id string, doc_pos int, sure array<int>, open array<struct<end:int,state:int,word:string,next:string>>, "
+    "doc long, word string, a int, b int, e int, n int, u int, m int"
+)
+
+
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (para_ids, book_id, text) rows of ends (para_id, end_char, state, word) for each id and of counts (word, use, n), both with the book; counts are summed per batch."""
+    """Of (para_id, book_id, doc_pos, asked, doc, text) rows: the ends of each text that is asked for, as one row, and the uses of
+    the words of all texts, summed per batch and document, each (doc, word) one row."""
     for batch in batches:
-        ids, books, texts = (batch.column(i).to_pylist() for i in range(3))
-        para, book, end_at, states, words = [], [], [], [], []
-        uses: Counter = Counter()
-        for pids, bid, text in zip(ids, books, texts, strict=True):
-            ends, own = scan(text or "")
-            for pid in pids:
-                for end, state, word in ends:
-                    para.append(pid), book.append(bid), end_at.append(end), states.append(state), words.append(word)
-            for (word, use), n in own.items():
-                uses[bid, word, use] += n
-        k, n = len(para), len(uses)
-        keys = list(uses)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(para + [None] * n, pa.int64()),
-                pa.array(book + [x[0] for x in keys], pa.string()),
-                pa.array(end_at + [None] * n, pa.int32()),
-                pa.array(states + [None] * n, pa.int32()),
-                pa.array(words + [x[1] for x in keys], pa.string()),
-                pa.array([None] * k + [x[2] for x in keys], pa.string()),
-                pa.array([None] * k + list(uses.values()), pa.int64()),
-            ],
-            names=["para_id", "book_id", "end_char", "state", "word", "use", "n"],
-        )
-
-
-def _counts(df: DataFrame, *keys: str) -> DataFrame:
-    of = lambda use: F.sum(F.when(F.col("use") == use, F.col("n")).otherwise(0)).alias(f"n_{use}")
-    return df.groupBy(*keys).agg(of("a"), of("b"), of("e"), of("u"))
-
-
-def _verdict(word: Column, a: Column, b: Column, e: Column, u: Column) -> Column:
-    """1 an abbreviation that never ends a sentence, 2 one that may, 0 a word, null where the counts are silent."""
+        ids, books, places, asked, docs, texts = (batch.column(i).to_pylist() for i in range(6))
+        kept: tuple[list, ...] = ([], [], [], [], [])
+        counts: dict[int, Counter] = {}
+        for pid, book, place, want, doc, text in zip(ids, books, places, asked, docs, texts, strict=True):
+            uses = counts.setdefault(doc, Counter())
+            ends = scan(text or "", uses)
+            if want and ends:
+                sure = [e for e, state, _, _ in ends if state == SURE]
+                still = [{"end": e, "state": state, "word": w, "next": n} for e, state, w, n in ends if state != SURE]
+                for column, value in zip(kept, (pid, book, place, sure, still), strict=True):
+                    column.append(value)
+        told: dict[tuple[int, str], list[int]] = {}
+        for doc, uses in counts.items():
+            for (word, use), n in uses.items():
+                if word:
+                    told.setdefault((doc, word), [0] * 6)[_USES.index(use)] += n
+        k, n = len(kept[0]), len(told)
+        none = lambda size, kind: pa.nulls(size, kind)
+        join = lambda x, y: pa.chunked_array([x, y]).combine_chunks()
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), _OPEN)
+        own = [join(pa.array(c, t), none(n, t)) for c, t in zip(kept, kinds, strict=True)]
+        evidence = [join(none(k, pa.int64()), pa.array([d for d, _ in told], pa.int64())), join(none(k, pa.string()), pa.array([w for _, w in told], pa.string()))]
+        sums = list(zip(*told.values())) or [()] * 6
+        evidence += [join(none(k, pa.int32()), pa.array(c, pa.int32())) for c in sums]
+        yield pa.RecordBatch.from_arrays(own + evidence, names=[c.split()[0] for c in ("para_id", "book_id", "doc_pos", "sure", "open", "doc", "word", *_USES)])
+
+
+def _by_document(a: Column, b: Column, n: Column) -> Column:
+    """What a document's own unambiguous uses of a word say: 1 an abbreviation, 0 a word; null where it has none or both.
+    A stop before a figure proves nothing, but leaves doubt."""
+    return F.when((a > 0) & (b == 0), 1).when((a + n == 0) & (b > 0), 0)
+
+
+def _by_corpus(word: Column, a: Column, b: Column, e: Column, u: Column) -> Column:
+    """The same from the uses of all documents together, where either use may prevail and a figure goes on; 2 an abbreviation that may end a sentence."""
     stops = a + e + u
     return (
         F.when((a > 0) & (stops * 2 >= b) & (e == 0), 1)
         .when((a >= 3) & (e == 0) & (a >= 8 * u), 1)
         .when((a > 0) & (e > 0) & (a * 8 >= e) & (stops >= 2 * b), 2)
         .when((a == 0) & (e == 0) & (u >= 3) & (b == 0) & ((F.length(word) <= 4) | word.contains(".")), 1)
-        .when(b > 0, 0)
-        .when(e > 0, 0)
+        .when((b > 0) | (e > 0), 0)
     )
 
 
-def sentence_ends(paragraphs: DataFrame) -> DataFrame:
+def _name(lower: Column, inner: Column) -> Column:
+    """True where a capitalised word is a proper name by its uses within sentences, false where it is a common word, null where there are none."""
+    return F.when(inner > lower, True).when(lower > 0, False)
+
+
+def verdicts(evidence: DataFrame) -> DataFrame:
+    """(doc, word, says, ends) of every word a document writes before a stop, unless it is a plain word: ``says`` as in
+    ``_by_corpus``, taken from the document, then from the corpus, then from the word's length. Whether an abbreviation may end
+    a sentence only the corpus knows; ``ends`` tells whether the word is seen at the end of a text anywhere.
+
+    ``evidence`` (doc, word, a, b, e, n, u) must be hashed by ``word``: its sums per word and per document then need no shuffle."""
+    uses = ("a", "b", "e", "n", "u")
+    corpus = evidence.groupBy("word").agg(*[F.sum(c).alias(f"all_{c}") for c in uses]).where("all_a + all_e + all_n + all_u > 0")
+    by_corpus = _by_corpus(F.col("word"), F.col("all_a") + F.col("all_n"), *[F.col(f"all_{c}") for c in ("b", "e", "u")])
+    corpus = corpus.select("word", by_corpus.alias("by_corpus"), (F.col("all_e") > 0).alias("ends"))
+    own = evidence.where("a + e + n + u > 0").join(corpus, "word")
+    by_doc = _by_document(F.col("a"), F.col("b"), F.col("n"))
+    by_doc = F.when((by_doc == 1) & F.col("ends"), 2).otherwise(by_doc)
+    says = F.coalesce(by_doc, "by_corpus", F.when(F.length("word") <= 2, 1).otherwise(0))
+    return own.select("doc", "word", says.alias("says"), "ends").where((F.col("says") != 0) | F.col("word").contains("."))
+
+
+def names(evidence: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc, next, name) of the capitalised words ``asked`` (doc, next): whether the document, then the corpus, uses them as proper names."""
+    both = asked.select(F.explode(F.array("next", F.lower("next"))).alias("word")).distinct()
+    used = known_rows(evidence, both, "word", how="left_semi")
+    is_lower = F.lower("word") == F.col("word")
+    sums = (F.sum(F.when(is_lower, F.col("b")).otherwise(0)).alias("lower"), F.sum("m").alias("inner"))
+    own = used.groupBy("doc", F.lower("word").alias("folded")).agg(*sums)
+    whole = own.groupBy("folded").agg(_name(F.sum("lower"), F.sum("inner")).alias("by_corpus"))
+    wanted = asked.withColumn("folded", F.lower("next"))
+    found = wanted.join(own, ["doc", "folded"], "left").join(whole, "folded", "left")
+    return found.select("doc", "next", F.coalesce(_name(F.col("lower"), F.col("inner")), "by_corpus").alias("name"))
+
+
+def sentence_ends(paragraphs: DataFrame, published: DataFrame | None = None) -> DataFrame:
     """(para_id, end_char) of every sentence of ``paragraphs`` (para_id, book_id, text).
 
-    Repeated paragraphs give their ends once. Null or wordless texts give none. Counts cover all given paragraphs, a text once a
-    book; where there is a column ``wanted``, only rows with it give ends."""
-    schema = "para_id long, book_id string, end_char int, state int, word string, use string, n long"
-    wanted = F.col("wanted") if "wanted" in paragraphs.columns else F.lit(True)
-    own = paragraphs.where(F.col("text").isNotNull()).groupBy("book_id", "text").agg(F.collect_set(F.when(wanted, F.col("para_id"))).alias("ids"))
-    rows = cut(own.select("ids", "book_id", "text").mapInArrow(_scanned, schema))
-    ends = rows.where("end_char is not null").select("para_id", "book_id", "end_char", "state", "word").distinct()
-    sure = ends.where(F.col("state") == SURE).select("para_id", "end_char")
-    still_open = ends.where(F.col("state") != SURE)
-    # evidence only for words that stand before a stop somewhere; words are summed per document first, then over the corpus
-    per_doc = _counts(rows.where("use is not null"), "book_id", "word").where("word <> ''")
-    corpus = (
-        per_doc.groupBy("word")
-        .agg(*[F.sum(c).alias(c) for c in ("n_a", "n_b", "n_e", "n_u")])
-        .where("n_a + n_e + n_u > 0")
-        .select("word", _verdict(*map(F.col, ("word", "n_a", "n_b", "n_e", "n_u"))).alias("corpus_says"), (F.col("n_e") > 0).alias("ends_somewhere"), (F.col("n_a") < 3).alias("corpus_weak"))
-    )
-    doc = per_doc.where("n_a + n_e + n_u > 0").select("book_id", "word", F.when((F.col("n_a") + F.col("n_u") + F.col("n_e") + F.col("n_b")) >= 2, _verdict(*map(F.col, ("word", "n_a", "n_b", "n_e", "n_u")))).alias("doc_says"), ((F.col("n_a") == 0) & (F.col("n_b") > 0)).alias("doc_word"))
-    known = doc.join(corpus, "word", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    asked = still_open.withColumn("salt", F.pmod(F.hash("para_id"), F.lit(SALTS)))
-    joined = asked.join(known, ["book_id", "word", "salt"], "left")
+    Words are counted over all given paragraphs. Only rows with ``asked`` (a column of the paragraphs; all rows where it is
+    missing), and of documents (book_id, doc_pos) that are in ``published`` where that is given, give ends. Null or wordless
+    texts give none; repeated paragraphs give theirs once; of several texts under one id the one whose ends come last counts.
+    Texts are read in place and never shuffled: counts and ends are."""
+    has = lambda c, other: F.col(c) if c in paragraphs.columns else F.lit(other)
+    own = paragraphs.where(F.col("text").isNotNull())
+    own = own.select("para_id", "book_id", has("doc_pos", 0).cast("int").alias("doc_pos"), F.coalesce(has("asked", True), F.lit(False)).alias("asked"), F.xxhash64("book_id").alias("doc"), "text")
+    rows = cut(own.mapInArrow(_scanned, _ROWS))
+    evidence = rows.where("doc is not null").select("doc", "word", *_USES)
+    evidence = spread(evidence, "word").groupBy("word", "doc").agg(*[F.sum(c).alias(c) for c in _USES])
+    ends = rows.where("sure is not null").select("para_id", "book_id", "doc_pos", "sure", "open")
+    if published is not None:
+        ends = known_rows(ends, published.select("book_id", "doc_pos").distinct(), "book_id", "doc_pos", how="left_semi")
+    ends = ends.groupBy("para_id").agg(F.max(F.struct("sure", "open", F.xxhash64("book_id").alias("doc"))).alias("x")).select("para_id", "x.*")
+    sure = ends.select("para_id", F.explode("sure").alias("end_char"))
+    still_open = ends.select("para_id", "doc", F.explode("open").alias("x")).select("para_id", "doc", F.col("x.end").alias("end_char"), "x.state", "x.word", "x.next")
+    said = known_rows(still_open, cut(verdicts(evidence)), "doc", "word", how="left")
     title = F.lower("word").isin(*sorted({x.lower() for x in TITLES})) & (F.col("state") == OPEN_UPPER)
-    dotted = F.col("word").contains(".")
-    # the corpus has the last word where the document's own counts are few; an abbreviation seen at an end anywhere may end here
-    says = F.when(title, 1).when(F.col("corpus_says") == 2, 2).otherwise(F.coalesce(F.when(F.col("doc_says") == 0, F.when((F.col("corpus_says") == 1) & ~(F.col("doc_word") & F.col("corpus_weak")), 1).otherwise(0)), F.col("corpus_says"), F.col("doc_says"), F.when(F.length("word") <= 2, 1).otherwise(0)))
-    decided = joined.withColumn("says", says).where(
-        F.when(F.col("state") == OPEN_LOWER, (F.col("says") == 0) | (F.col("says") == 2)).otherwise(
-            F.when(F.col("says") == 1, F.lit(False)).when(F.col("says") == 2, F.lit(True)).otherwise(~dotted | F.col("ends_somewhere"))
-        )
-    )
-    return sure.unionByName(decided.select("para_id", "end_char")).distinct()
+    plain = said.where(F.col("says").isNull() & ~title).select("para_id", "end_char")  # a word that is no abbreviation ends its sentence
+    doubtful = cut(said.where(F.col("says").isNotNull() & ~title))
+    asked = doubtful.where((F.col("state") == OPEN_UPPER) & (F.col("next") != "")).select("doc", "next").distinct()
+    told = known_rows(doubtful, names(evidence, asked), "doc", "next", how="left")
+    common = ~F.coalesce("name", F.lit(True))  # a common word with a capital starts a sentence
+    ended = F.when(F.col("says") == 1, common).when(F.col("says") == 2, True).otherwise(F.col("ends") | common)
+    decided = told.where(F.when(F.col("state") == OPEN_LOWER, F.col("says") != 1).otherwise(ended))
+    return sure.unionByName(plain).unionByName(decided.select("para_id", "end_char"))
 
 
-__all__ = ["folded", "scan", "sentence_ends"]
+__all__ = ["folded", "names", "scan", "sentence_ends", "verdicts"]

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FANOUT = 4
+BROADCAST_ROWS = 200_000
+SALTS = 16
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -47,4 +50,21 @@ def scanned(df: DataFrame) -> DataFrame:
     return df if parts >= df.sparkSession.sparkContext.defaultParallelism else df.repartition(tasks(df.sparkSession))
 
 
-__all__ = ["FANOUT", "checkpoint_dir", "cut", "scanned", "spread", "tasks"]
+def small(df: DataFrame) -> bool:
+    """Whether ``df`` has at most ``BROADCAST_ROWS`` rows; counting stops there."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def known_rows(rows: DataFrame, known: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``known`` (few rows a key) on ``keys``. A ``known`` of at most ``BROADCAST_ROWS`` rows goes to all
+    executors, and ``rows`` stay where they are. A larger one is salted, so that a key that a third of ``rows`` share is no
+    hot task. Both ways give the same rows."""
+    known = cut(known)
+    if small(known):
+        return rows.join(F.broadcast(known), list(keys), how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    spread_out = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread_out, [*keys, "_salt"], how).drop("_salt")
+
+
+__all__ = ["FANOUT", "checkpoint_dir", "cut", "known_rows", "scanned", "small", "spread", "tasks"]
