@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import encoding, leakage, lookalikes, markup, packing, pieces, sentences, stuffing
-from folioflow.session import scanned, spread
+from folioflow.session import cut, known_rows, scanned, spread
 from folioflow.sources.tables import table
 
 
@@ -82,11 +82,14 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_restored(spark, sf_dir).select("record_kind", "record_key").distinct()
+    records = _records(spark, sf_dir)
+    found = encoding.garbled_texts(cut(encoding.distinct_texts(records))).select("th")
+    own = records.where(F.col("text").rlike(r"[^\x00-\x7f]")).select(F.col("kind").alias("record_kind"), F.col("key").alias("record_key"), F.md5("text").alias("th"))
+    return known_rows(own, found, "th", how="left_semi").drop("th").distinct()
 
 
 def p2_transformations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.learned(encoding.suspects(_records(spark, sf_dir)))
+    return encoding.learned(_records(spark, sf_dir))
 
 
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

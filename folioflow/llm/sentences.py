@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import re as stdlib_re
 import unicodedata as ud
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex as re
@@ -59,6 +60,9 @@ _LOUD = re.compile(r"\p{Lu}{2}[’' \p{Lu}]*\Z")
 _ALNUM = re.compile(r"[\p{L}\p{N}]")
 _CAMEL = re.compile(r"\p{Ll}{1,2}\p{Lu}\p{L}")
 
+_CASED = re.compile(r"\p{Lu}")
+_re = lru_cache(maxsize=None)(re.compile)  # looks up a pattern faster than the module does
+Uses = dict[str, Counter]
 SURE, OPEN_UPPER, OPEN_LOWER = 0, 1, 2
 
 
@@ -68,6 +72,8 @@ def folded(text: str) -> tuple[str, list[int] | None]:
     if _INVISIBLE.search(text):
         at = [i for i, c in enumerate(text) if c not in INVISIBLE]
         text = "".join(text[i] for i in at)
+    if text.isascii():
+        return text, at
     text = text.translate(WIDE)
     if _LATIN.search(text) and _OTHER.search(text):
         text = _MIXED.sub(_one_script, text)
@@ -99,7 +105,7 @@ def _next_word(f: str, i: int) -> tuple[str, str]:
         return "", ""
     c = f[i]
     if c.isalpha():
-        m = re.match(r"[\p{L}\p{M}]+", f, pos=i)
+        m = _re(r"[\p{L}\p{M}]+").match(f, i)
         word = m[0] if m else c
         return ("L" if c.islower() else "U" if c.isupper() else "O"), word
     if c.isdigit():
@@ -113,45 +119,45 @@ def _next_word(f: str, i: int) -> tuple[str, str]:
 
 def _reported(f: str, i: int) -> bool:
     """Whether a clause that reports the speech before ``i`` follows: its verb stands before the next stop, within a few words."""
-    tail = ud.normalize("NFC", re.match(r"[—–―-]?[^.!?。！？؟।;；:，,「“«\n]{0,60}", f, pos=i)[0]).lower()
-    if re.search(r"[぀-ヿ一-鿿]", tail[:4]):
+    tail = ud.normalize("NFC", _re(r"[—–―-]?[^.!?。！？؟।;；:，,「“«\n]{0,60}").match(f, i)[0]).lower()
+    if _re(r"[぀-ヿ一-鿿]").search(tail[:4]):
         return bool(REPORTING_CJK.search(tail[:24]))
     return bool(REPORTING.search(" ".join(tail.split()[:6])))
 
 
-def scan(text: str, uses: Counter | None = None) -> list[tuple[int, int, str, str]]:
-    """Boundaries of one text as (end, state, word, next); the uses of its words are added to ``uses`` as counts of (word, use).
+def scan(text: str, uses: Uses | None = None) -> list[tuple[int, int, str, str]]:
+    """Boundaries of one text as (end, state, word, next); the uses of its words are added to ``uses``, by use.
 
     ``end`` counts code points of the text as it stands. State SURE needs no decision; OPEN_UPPER and OPEN_LOWER wait for
     the uses of ``word``, before the stop, and ``next``, the capitalised word after it. Uses: a with a stop that goes on, n the
     same before a figure, b without a stop, e with a stop at the end of the text, u with a stop before a capital, m with a
     capital within a sentence."""
-    counted, uses = uses is not None, Counter() if uses is None else uses
+    counted, uses = uses is not None, defaultdict(Counter) if uses is None else uses
     if not text or not _ALNUM.search(text):
         return []
     f, at = folded(text)
     size = len(f.rstrip())
-    urls = [m.span() for m in _URL.finditer(f)] if "/" in f or "@" in f or "www" in f or "\\" in f or re.search(r"\w\.\p{Ll}\p{Ll}", f) else []
+    urls = [m.span() for m in _URL.finditer(f)] if "/" in f or "@" in f or "www" in f or "\\" in f or _re(r"\w\.\p{Ll}\p{Ll}").search(f) else []
     found: list[tuple[int, int, str]] = []
     follows: dict[int, str] = {}
-    greek_text = re.search(r"\p{Greek}{3}", f) is not None
+    greek_text = _re(r"\p{Greek}{3}").search(f) is not None
     for m in _MARK.finditer(f):
         stop, closing, end = m[1], m[2], m.end()
         if any(a <= m.start() < b - 1 for a, b in urls):
             continue
         if stop[0] in ";;":
-            if not greek_text or not re.search(r"\p{Greek}[\p{L}\p{M}]*[»”]?\s?\Z", f[max(0, m.start() - 20) : m.start()]):
+            if not greek_text or not _re(r"\p{Greek}[\p{L}\p{M}]*[»”]?\s?\Z").search(f[max(0, m.start() - 20) : m.start()]):
                 continue
         if end >= size:
             if stop == ".":
                 word = _BEFORE.search(f, max(0, m.start() - 24), m.start())
                 if word:
                     key = _plain(word[0].strip("-’'"))
-                    uses[key.lower() if len(key) > 1 and key.isupper() and _loud(f, word.start()) else key, "e"] += 1
+                    uses["e"][key.lower() if len(key) > 1 and key.isupper() and _loud(f, word.start()) else key] += 1
             continue
         if "《" in f and f.rfind("《", 0, m.start()) > f.rfind("》", 0, m.start()):
             continue
-        gap = re.match(r"\s*", f, pos=end).end()
+        gap = _re(r"\s*").match(f, end).end()
         blank = gap > end
         kind, word_after = _next_word(f, gap)
         if closing and closing[-1] in "“\"'’" and not blank and kind in ("U", "L", "O", "N") and stop[0] not in CJK_STOPS and closing[-1] in "“":
@@ -167,14 +173,14 @@ def scan(text: str, uses: Counter | None = None) -> list[tuple[int, int, str, st
                     continue
                 if stop[-1] in "！？" and _reported(f, gap):
                     continue
-                if stop[-1] == "。" and re.match(r"[^。！？「“，]{1,12}(?:说|道|言った|聞いた)[。，]", f, pos=end) and kind != "Q":
+                if stop[-1] == "。" and _re(r"[^。！？「“，]{1,12}(?:说|道|言った|聞いた)[。，]").match(f, end) and kind != "Q":
                     continue
             found.append((end, SURE, ""))
             continue
         if stop[0] in "؟۔।॥։።" or stop[0] in "!?;;" or any(c in "!?" for c in stop):
             if kind == "L" and not _CAMEL.match(f, pos=gap):
                 continue
-            if kind == "D" and (re.match(r"[—–―-]\s?\p{Ll}", f, pos=gap) or f[gap + 1 : gap + 9].isupper() and _reported(f, gap + 1)):
+            if kind == "D" and (_re(r"[—–―-]\s?\p{Ll}").match(f, gap) or f[gap + 1 : gap + 9].isupper() and _reported(f, gap + 1)):
                 continue
             if not blank and kind not in ("U", "Q") and stop[0] not in "؟۔।॥":
                 continue
@@ -184,7 +190,7 @@ def scan(text: str, uses: Counter | None = None) -> list[tuple[int, int, str, st
             continue
         if stop.startswith("…") or stop.startswith("..") or len(stop.replace(" ", "")) > 1:
             loud = f[max(0, m.start() - 12) : m.start()].strip()
-            if kind in ("U", "Q") and not (closing and _reported(f, gap)) and (blank or closing) and (closing or not m.start() or f[m.start() - 1] != " ") and re.search(r"[\p{L}\p{N}]\Z", loud):
+            if kind in ("U", "Q") and not (closing and _reported(f, gap)) and (blank or closing) and (closing or not m.start() or f[m.start() - 1] != " ") and _re(r"[\p{L}\p{N}]\Z").search(loud):
                 found.append((end, SURE, ""))
             continue
         # one full stop
@@ -192,11 +198,11 @@ def scan(text: str, uses: Counter | None = None) -> list[tuple[int, int, str, st
         word = _plain(_DENSE.sub("", before[0]).strip("-’'")) if before else ""
         if glued := _GLUED.match(word):
             word = glued[1]
-        letters = len(re.sub(r"[^\p{L}]", "", word))
+        letters = len(_re(r"[^\p{L}]").sub("", word))
         if letters > 1 and word.isupper() and (len(word_after) > 1 and word_after.isupper() or _loud(f, m.start() - len(word))):
             word = word.lower()  # a line in capitals
         if not blank:
-            if kind == "U" and not closing and letters >= 3 and "." not in word and re.match(r"\p{Lu}(?:\p{Ll}|[’' ]|\.-?\p{Lu}\.)", f, pos=end) and re.search(r"\p{Ll}\Z", word):
+            if kind == "U" and not closing and letters >= 3 and "." not in word and _re(r"\p{Lu}(?:\p{Ll}|[’' ]|\.-?\p{Lu}\.)").match(f, end) and _re(r"\p{Ll}\Z").search(word):
                 found.append((end, SURE, ""))
             elif closing and kind in ("U", "Q", "O"):
                 found.append((end, SURE, ""))
@@ -206,12 +212,12 @@ def scan(text: str, uses: Counter | None = None) -> list[tuple[int, int, str, st
                 found.append((end, SURE, ""))
             continue
         if closing and "." not in word and letters > 3:
-            if kind == "L" and not _CAMEL.match(f, pos=gap) or kind == "D" and re.match(r"[—–―-]\s?\p{Ll}", f, pos=gap):
+            if kind == "L" and not _CAMEL.match(f, pos=gap) or kind == "D" and _re(r"[—–―-]\s?\p{Ll}").match(f, gap):
                 continue
             found.append((end, SURE, ""))
             continue
         if not word:
-            number = re.search(r"(?:(\p{L}+)\s)?(?<![\p{L}\p{N}.,/])(\d{1,2})\Z", f[max(0, m.start() - 16) : m.start()])
+            number = _re(r"(?:(\p{L}+)\s)?(?<![\p{L}\p{N}.,/])(\d{1,2})\Z").search(f[max(0, m.start() - 16) : m.start()])
             if number and number[1] and number[1].lower() in ORDINAL_LEADS and kind in ("U", "L"):
                 continue
             if kind in ("U", "Q", "O", "N", "D") or kind == "L" and _CAMEL.match(f, pos=gap):
@@ -219,7 +225,7 @@ def scan(text: str, uses: Counter | None = None) -> list[tuple[int, int, str, st
             elif kind == "P" and f[gap] not in ",;:)]":
                 found.append((end, SURE, ""))
             continue
-        if kind == "D" and re.match(r"[—–―-]\s?\p{Ll}", f, pos=gap):
+        if kind == "D" and _re(r"[—–―-]\s?\p{Ll}").match(f, gap):
             continue
         if letters == 1 and "." not in word and word.isupper() and not closing:
             if kind == "U" and not (f[max(0, m.start() - 3) : m.start() - 1].strip() in ("°", "º")):
@@ -233,7 +239,7 @@ def scan(text: str, uses: Counter | None = None) -> list[tuple[int, int, str, st
             found.append((end, SURE, ""))
             continue
         small = kind == "L" and not _CAMEL.match(f, pos=gap)
-        uses[word, "a" if small or kind == "P" and f[gap] in ",;:)]" else "n" if kind == "N" else "u"] += 1
+        uses["a" if small or kind == "P" and f[gap] in ",;:)]" else "n" if kind == "N" else "u"][word] += 1
         if small:
             continue
         found.append((end, OPEN_LOWER if kind == "N" else OPEN_UPPER, word))
@@ -241,10 +247,10 @@ def scan(text: str, uses: Counter | None = None) -> list[tuple[int, int, str, st
             follows[end] = _plain(word_after)
     if counted:
         _evidence(f, uses)
-    if re.search(r"[฀-๿]{4}", f):
+    if _re(r"[฀-๿]{4}").search(f):
         found += _thai(f)
-    if re.search(r"\n[ \t]*\n", f):
-        found += [(len(f[: m.start()].rstrip()), SURE, "") for m in re.finditer(r"\n[ \t]*\n\s*", f)]
+    if _re(r"\n[ \t]*\n").search(f):
+        found += [(len(f[: m.start()].rstrip()), SURE, "") for m in _re(r"\n[ \t]*\n\s*").finditer(f)]
     spans = {end: (state, word) for end, state, word in sorted(found, key=lambda x: -x[1]) if 0 < end < size}
     ends = [(e, *spans[e]) for e in sorted(spans)] + [(size, SURE, "")]
     kept, start = [], 0
@@ -265,10 +271,10 @@ def scan(text: str, uses: Counter | None = None) -> list[tuple[int, int, str, st
     return out
 
 
-def _use(uses: Counter, f: str, i: int, use: str) -> None:
+def _use(uses: Uses, f: str, i: int, use: str) -> None:
     before = _BEFORE.search(f, max(0, i - 24), i)
     if before:
-        uses[_plain(before[0].strip("-’'")), use] += 1
+        uses[use][_plain(before[0].strip("-’'"))] += 1
 
 
 def _thai(f: str) -> list[tuple[int, int, str]]:
@@ -276,18 +282,21 @@ def _thai(f: str) -> list[tuple[int, int, str]]:
     found = []
     for m in _THAI_BLANK.finditer(f):
         rest = f[m.end() : m.end() + 60]
-        if re.match(r"[ก-ๅ]", rest) or re.match(r"[“\"«‘(]", rest) or re.match(r"\p{Latin}[\p{L}’'-]*(?:[ ,]+[\p{Latin}\d’'-]+){3}", rest):
+        if _re(r"[ก-ๅ]").match(rest) or _re(r"[“\"«‘(]").match(rest) or _re(r"\p{Latin}[\p{L}’'-]*(?:[ ,]+[\p{Latin}\d’'-]+){3}").match(rest):
             found.append((m.start(), SURE, ""))
     return found
 
 
-def _evidence(f: str, uses: Counter) -> None:
+def _evidence(f: str, uses: Uses) -> None:
     """Adds to ``uses`` the words of ``f`` that stand without a stop (b), and those with a capital in the midst of a sentence (m)."""
-    plain = f.isascii()
-    for word in (_ASCII_WORD if plain else _WORD).findall(f):
-        uses[word if plain else _plain(word), "b"] += 1
-    for word in (_ASCII_INNER if plain else _INNER).findall(f):
-        uses[word if plain else _plain(word), "m"] += 1
+    if f.isascii():
+        uses["b"].update(_ASCII_WORD.findall(f))
+        uses["m"].update(_ASCII_INNER.findall(f))
+    else:
+        f = f if ud.is_normalized("NFKC", f) else ud.normalize("NFKC", f)
+        uses["b"].update(_WORD.findall(f))
+        if _CASED.search(f):
+            uses["m"].update(_INNER.findall(f))
 
 
 _OPEN = pa.list_(pa.struct([("end", pa.int32()), ("state", pa.int32()), ("word", pa.string()), ("next", pa.string())]))
@@ -304,9 +313,9 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, books, places, asked, docs, texts = (batch.column(i).to_pylist() for i in range(6))
         kept: tuple[list, ...] = ([], [], [], [], [])
-        counts: dict[int, Counter] = {}
+        counts: dict[int, Uses] = {}
         for pid, book, place, want, doc, text in zip(ids, books, places, asked, docs, texts, strict=True):
-            uses = counts.setdefault(doc, Counter())
+            uses = counts.get(doc) or counts.setdefault(doc, defaultdict(Counter))
             ends = scan(text or "", uses)
             if want and ends:
                 sure = [e for e, state, _, _ in ends if state == SURE]
@@ -315,9 +324,13 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     column.append(value)
         told: dict[tuple[int, str], list[int]] = {}
         for doc, uses in counts.items():
-            for (word, use), n in uses.items():
-                if word:
-                    told.setdefault((doc, word), [0] * 6)[_USES.index(use)] += n
+            for place, use in enumerate(_USES):
+                for word, n in uses[use].items():
+                    row = told.get((doc, word))
+                    if row is None:
+                        row = told[doc, word] = [0] * 6
+                    row[place] = n
+            told.pop((doc, ""), None)
         k, n = len(kept[0]), len(told)
         none = lambda size, kind: pa.nulls(size, kind)
         join = lambda x, y: pa.chunked_array([x, y]).combine_chunks()
