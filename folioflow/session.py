@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FANOUT = 4
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 SALTS = 16
 
 
@@ -51,12 +51,14 @@ def scanned(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame) -> bool:
-    """Whether ``df`` has at most ``BROADCAST_ROWS`` rows; counting stops there."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Whether the rows of ``df``, as counted, take at most ``BROADCAST_BYTES``."""
+    texts = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    n, *sizes = df.agg(F.count("*"), *texts).first()
+    return n * 8 * len(df.columns) + sum(sizes) <= BROADCAST_BYTES
 
 
 def known_rows(rows: DataFrame, known: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``known`` (few rows a key) on ``keys``. A ``known`` of at most ``BROADCAST_ROWS`` rows goes to all
+    """``rows`` joined with ``known`` (few rows a key) on ``keys``. A ``known`` of at most ``BROADCAST_BYTES``, as counted, goes to all
     executors, and ``rows`` stay where they are. A larger one is salted, so that a key that a third of ``rows`` share is no
     hot task. Both ways give the same rows."""
     known = cut(known)
