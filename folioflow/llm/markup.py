@@ -1,11 +1,12 @@
 """Problem 3: markup left in texts.
 
 Method: union-free regular-expression inference. Every text becomes a stream of control signs (tags, entities, signs of
-Markdown, wiki text and LaTeX) and text slots. The streams of one host are aligned one after another; where they differ,
-the odd part becomes optional, or a repeated group when it continues what stands before it; text against text becomes a
-slot. The wrappers only describe a host: most hosts have too few marked texts to support one, so the sign grammar alone says
-which texts hold markup and takes it away; what is left comes out as blocks of a kind (heading, list, code, formula, row,
-quote, body).
+Markdown, wiki text and LaTeX) and text slots. The streams of one host, which is the way its documents came in, are taken
+one after another, the commonest first: one that a wrapper of the host makes counts for it; one that shares most of its
+signs with a wrapper is aligned with it, the odd part becoming optional, or a repeated group when it continues what stands
+before it; any other starts a wrapper. A text holds markup if wrappers that ``LEAST_TEXTS`` different texts of
+its host stand behind make its stream, one or several in a chain, sign by sign in order. Signs no such wrapper makes belong to the printed line and stay.
+Texts with markup come out as blocks of a kind (heading, list, code, formula, row, quote, body).
 
 Null and empty texts are no case and give no block; repeated rows count once; texts are read whole."""
 
@@ -14,15 +15,14 @@ from __future__ import annotations
 import html
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from folioflow.session import cut
+from folioflow.session import cut, known_rows, spread
 
 # Names of HTML elements.
 TAGS = (
@@ -31,7 +31,9 @@ TAGS = (
     " nowiki object ol option p param pre q ref references rp rt ruby s samp script section select small source span strike strong style sub summary sup svg table"
     " tbody td textarea tfoot th thead time title tr tt u ul var video wbr"
 )
-SALTS = 16
+LEAST_TEXTS = 2  # different texts of a host that must stand behind a wrapper: a text alone doesn't support itself
+ALIKE = 0.6  # share of the longer of two streams that must be common for one wrapper to take both
+PART = 2000  # different streams of a host that one task folds into wrappers; the parts' wrappers are then merged
 
 #: Control signs in the order they are tried; a sign that holds code, a formula or an address is one token.
 _SIGNS = rf"""
@@ -183,7 +185,7 @@ def align(a: Wrapper, b: Wrapper) -> Wrapper | None:
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if same(a[i], b[j]) else 0)
-    if best[0][0] * 2 < min(n, m):
+    if best[0][0] < ALIKE * max(n, m) or not (_flat(tuple(a)) & _flat(tuple(b)) - {TEXT}):
         return None
     out, i, j = [], 0, 0
     while i < n or j < m:
@@ -204,28 +206,75 @@ def align(a: Wrapper, b: Wrapper) -> Wrapper | None:
         elif out and isinstance(out[-1], tuple) and out[-1] == ("+", plain(x)):
             continue
         else:
-            out.append(("?", plain(x)))
+            out.append(("?", (x,)))
     return tuple(out)
 
 
-def inferred(streams: list[Wrapper], known: list[Wrapper] | None = None) -> list[Wrapper]:
-    """Wrappers of one host: each stream is aligned with the first wrapper that takes it, or starts another."""
-    wrappers = list(known or [])
-    for s in sorted(set(streams), key=lambda x: (len(x), str(x))):
-        for k, w in enumerate(wrappers):
-            both = align(w, s)
-            if both is not None:
-                wrappers[k] = folded(both)
-                break
-        else:
-            wrappers.append(s)
-    return wrappers
+def accepts(wrapper: Wrapper, stream: Wrapper) -> bool:
+    """Whether ``wrapper`` makes ``stream``, in order and to its end. A repeated group of the stream stands for two rounds."""
+    tokens = _unrolled(stream)
+    return set(tokens) <= _flat(wrapper) and len(tokens) in _reached(wrapper, tokens, frozenset((0,)))
+
+
+def _unrolled(items: Wrapper) -> tuple[str, ...]:
+    out: list[str] = []
+    for x in items:
+        out += _unrolled(x[1]) * 2 if isinstance(x, tuple) else (x,)
+    return tuple(out)
 
 
-def accepts(wrapper: Wrapper, s: list[str]) -> bool:
-    """Whether a stream is made by ``wrapper``."""
-    signs_of = _flat(wrapper)
-    return all(x in signs_of for x in s)
+def _reached(items: Wrapper, tokens: tuple[str, ...], starts: frozenset) -> frozenset:
+    """Places of the stream that ``items`` can lead to from ``starts``; all ways are followed at once, so none is gone twice."""
+    for x in items:
+        if not starts:
+            break
+        if not isinstance(x, tuple):
+            starts = frozenset(i + 1 for i in starts if i < len(tokens) and tokens[i] == x)
+        elif x[0] == "?":
+            starts |= _reached(x[1], tokens, starts)
+        else:
+            now = every = _reached(x[1], tokens, starts)
+            while now:
+                now = _reached(x[1], tokens, now) - every
+                every |= now
+            starts = every
+    return starts
+
+
+def chained(wrappers: list[Wrapper], stream: Wrapper) -> bool:
+    """Whether ``wrappers``, one after another, make ``stream``; two neighbours may share the text between them."""
+    tokens = _unrolled(stream)
+    own = [w for w in wrappers if _flat(w) & set(tokens) - {TEXT}]
+    if not set(tokens) <= frozenset().union(*map(_flat, own)):
+        return False
+    every: frozenset = frozenset()
+    now = frozenset((0,))
+    while now:
+        every |= now
+        ends = frozenset().union(*(_reached(w, tokens, now) for w in own))
+        now = (ends | {e - 1 for e in ends if e > 1 and tokens[e - 1] == TEXT}) - every
+    return len(tokens) in every
+
+
+def inferred(streams: list[tuple[Wrapper, int]]) -> list[tuple[Wrapper, int]]:
+    """(wrapper, texts) of one host from its (stream or wrapper, texts), the commonest first."""
+    made: list[list] = []
+    for s, n in sorted(streams, key=lambda x: (-x[1], len(x[0]), str(x[0]))):
+        own = _flat(s)
+        near = [w for w in made if 2 * len(own & _flat(w[0])) > len(own)]
+        hit = next((w for w in near if accepts(w[0], s)), None)
+        if hit is None:
+            for w in near:
+                both = align(w[0], s)
+                both = both and folded(both)
+                if both and accepts(both, s) and accepts(both, w[0]):
+                    w[0], hit = both, w
+                    break
+        if hit is None:
+            made.append([s, n])
+        else:
+            hit[1] += n
+    return [(w, n) for w, n in made]
 
 
 @cache
@@ -244,6 +293,7 @@ def _write(wrapper: Wrapper) -> str:
     return " ".join(f"( {_write(x[1])} ){x[0]}" if isinstance(x, tuple) else x.replace(" ", "_") for x in wrapper)
 
 
+@lru_cache(maxsize=20_000)
 def _read(text: str) -> Wrapper:
     stack: list[list] = [[]]
     for word in text.split(" "):
@@ -389,70 +439,86 @@ def _lines(text: str, kind: str | None, put) -> None:
 
 def _streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(i, h, _write(folded(s))) for i, h, t in pdf.itertuples(index=False) if (s := stream(t)) and any(x != TEXT for x in s)]
-        yield pd.DataFrame(rows, columns=["id", "host", "stream"])
+        each = map(stream, pdf["text"])
+        made = [_write(folded(s)) if any(x != TEXT for x in s) else None for s in each]
+        yield pdf.assign(stream=made)[lambda x: x["stream"].notna()].drop(columns="text")
 
 
 def _infer_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Wrappers of each run of equal (host, salt); the input is sorted by them, one run is held at a time."""
+    """Wrappers of each run of equal (host, part); the input is sorted by them, one run is held at a time."""
     now, own = None, []
-    out: list[tuple[str, str]] = []
+    names = ["host", "stream", "texts"]
     for pdf in batches:
-        for host, salt, s in pdf[["host", "salt", "stream"]].itertuples(index=False):
-            if (host, salt) != now:
-                out += [(now[0], _write(w)) for w in inferred(own)] if now else []
-                now, own = (host, salt), []
-            own.append(_read(s))
+        out: list[tuple[str, str, int]] = []
+        for host, part, s, n in pdf[["host", "part", "stream", "texts"]].itertuples(index=False):
+            if (host, part) != now:
+                out += [(now[0], _write(w), k) for w, k in inferred(own)] if now else []
+                now, own = (host, part), []
+            own.append((_read(s), n))
         if out:
-            yield pd.DataFrame(out, columns=["host", "stream"])
-            out = []
+            yield pd.DataFrame(out, columns=names)
     if now:
-        yield pd.DataFrame([(now[0], _write(w)) for w in inferred(own)], columns=["host", "stream"])
+        yield pd.DataFrame([(now[0], _write(w), k) for w, k in inferred(own)], columns=names)
 
 
 def streams(items: DataFrame) -> DataFrame:
-    """(id, host, stream) of every text (id, host, text) with at least one control sign; repeats inside a stream are folded."""
-    own = items.select("id", F.coalesce("host", F.lit("")).alias("host"), "text").where(F.col("text").isNotNull())
+    """``items`` (id, text, further columns) with at least one control sign: their columns without ``text``, its hash ``th`` and
+    its ``stream``, in which repeats are folded."""
+    own = items.where(F.col("text").isNotNull()).withColumn("th", F.xxhash64("text"))
     # texts without any of these characters can't hold a sign
     own = own.where(F.col("text").rlike(r"[<&\\$`*_\[{=|>#+~]|''|(?m)^\s{0,3}(?:-|\d{1,3}[.)]) |--"))
-    return own.mapInPandas(_streams, "id long, host string, stream string")
+    kept = ", ".join(f"{c} {kind}" for c, kind in own.dtypes if c != "text")
+    return own.mapInPandas(_streams, f"{kept}, stream string")
+
+
+def distinct_streams(found: DataFrame) -> DataFrame:
+    """(host, stream, texts): every stream of a host and how many different texts have it, from ``found`` (host, stream, th)."""
+    known = found.select(F.coalesce("host", F.lit("")).alias("host"), "stream", "th").distinct()
+    return known.groupBy("host", "stream").agg(F.count("*").alias("texts"))
 
 
-def wrappers(found: DataFrame) -> DataFrame:
-    """(host, wrapper) inferred from ``streams``; distinct streams of a host are folded in salted parts, the parts then merged."""
-    distinct = found.groupBy("host", "stream").agg(F.count("*").alias("n"))
-    parts = distinct.withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(SALTS)))
-    part = parts.repartition("host", "salt").sortWithinPartitions("host", "salt").select("host", "salt", "stream").mapInPandas(_infer_sorted, "host string, stream string")
-    whole = part.distinct().withColumn("salt", F.lit(0)).repartition("host").sortWithinPartitions("host").select("host", "salt", "stream")
-    return whole.mapInPandas(_infer_sorted, "host string, stream string").withColumnRenamed("stream", "wrapper")
+def wrappers(distinct: DataFrame) -> DataFrame:
+    """(host, wrapper, texts) inferred from ``distinct_streams``; those of a host are folded in parts, the parts' wrappers then merged."""
+    of = "host string, stream string, texts long"
+    parts = distinct.groupBy("host").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    split = distinct.join(F.broadcast(parts), "host").withColumn("part", F.pmod(F.xxhash64("stream"), F.col("parts")))
+    part = spread(split, "host", "part").sortWithinPartitions("host", "part").select("host", "part", "stream", "texts").mapInPandas(_infer_sorted, of)
+    whole = spread(part.withColumn("part", F.lit(0)), "host").sortWithinPartitions("host").select("host", "part", "stream", "texts")
+    return whole.mapInPandas(_infer_sorted, of).withColumnRenamed("stream", "wrapper")
+
+
+def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        keep = [chained([_read(w) for w in ws], _read(s)) for s, ws in zip(pdf["stream"], pdf["wrappers"], strict=True)]
+        yield pdf.loc[keep, ["host", "stream"]]
 
 
-def marked(items: DataFrame) -> DataFrame:
-    """(id, host) of every item whose stream one of its host's wrappers makes with at least one sign.
+def supported(distinct: DataFrame) -> DataFrame:
+    """(host, stream) of the ``distinct_streams`` that wrappers of their host with ``LEAST_TEXTS`` texts behind each make, one or several in a chain."""
+    strong = wrappers(distinct).where(F.col("texts") >= LEAST_TEXTS).groupBy("host").agg(F.collect_set("wrapper").alias("wrappers"))
+    return distinct.join(F.broadcast(strong), "host").select("host", "stream", "wrappers").mapInPandas(_judged, "host string, stream string")
 
-    Wrappers of a host come as one row, so a host that a third of all texts share is joined, not gathered."""
-    found = cut(streams(items))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def signs_of(ws: pd.Series) -> pd.Series:
-        return ws.map(lambda w: sorted(_flat(_read(w))))
+def marked(found: DataFrame) -> DataFrame:
+    """``found`` (``streams`` with a ``host``) without those whose stream no supported wrapper of their host makes.
 
-    vocabulary = wrappers(found).select("host", F.explode(signs_of("wrapper")).alias("sign")).groupBy("host").agg(F.collect_set("sign").alias("signs"))
-    split = F.filter(F.split("stream", " "), lambda x: ~x.isin("(", ")?", ")+"))
-    # hosts are many and small, their sign sets bounded by the grammar; the join shuffles streams, not texts
-    joined = found.withColumn("own", F.array_distinct(split)).join(vocabulary, "host")
-    return joined.where((F.size(F.array_except("own", "signs")) == 0) & (F.size(F.array_except("own", F.array(F.lit(TEXT)))) > 0)).select("id", "host").distinct()
+    Only the different streams of a host are matched; what is decided goes back to the texts by host and stream."""
+    found = cut(found.withColumn("host", F.coalesce("host", F.lit(""))))
+    return known_rows(found, supported(cut(distinct_streams(found))), "host", "stream", how="left_semi")
 
 
 def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for i, kind, text in pdf.itertuples(index=False):
-            rows += [(i, k, b, t) for k, (b, t) in enumerate(blocks(text, kind))]
+        for i, kind, text, markup in pdf.itertuples(index=False):
+            each = blocks(text, kind) if markup else [(kind or "body", text)] if text.strip() else []
+            rows += [(i, k, b, t) for k, (b, t) in enumerate(each)]
         yield pd.DataFrame(rows, columns=["id", "block_idx", "kind", "text"])
 
 
-def cleaned(items: DataFrame) -> DataFrame:
-    """(id, block_idx, kind, text): every item (id, kind, text) as clean blocks; items without markup keep their text and kind."""
+def cleaned(items: DataFrame, held: DataFrame) -> DataFrame:
+    """(id, block_idx, kind, text): every item (id, kind, text) as blocks. Items in ``held`` (id), as ``marked`` gives them, come
+    out clean; all others keep their text, with whatever signs are printed in it, and their kind."""
     own = items.select("id", "kind", "text").where(F.col("text").isNotNull()).dropDuplicates(["id"])
-    return own.mapInPandas(_clean, "id long, block_idx int, kind string, text string")
+    told = known_rows(own, held.select("id").distinct().withColumn("markup", F.lit(True)), "id", how="left")
+    return told.select("id", "kind", "text", F.coalesce("markup", F.lit(False)).alias("markup")).mapInPandas(_clean, "id long, block_idx int, kind string, text string")

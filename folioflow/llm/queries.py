@@ -17,20 +17,24 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_ends(scanned(every), published)
 
 
-def _hosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned(table(spark, sf_dir, "paragraphs").select(F.col("para_id").alias("id"), F.col("book_id").alias("host"), "kind", "text"))
+def _hosted_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of the paragraphs, hosted by the way their document came in. They are joined with it, texts are not."""
+    paragraphs = table(spark, sf_dir, "paragraphs").select(F.col("para_id").alias("id"), "book_id", "doc_pos", "text")
+    origins = table(spark, sf_dir, "spine_docs").groupBy("book_id", "doc_pos").agg(F.min("origin").alias("host"))
+    return known_rows(cut(markup.streams(scanned(paragraphs))), origins, "book_id", "doc_pos", how="left").select("id", "host", "stream", "th")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.marked(_hosted(spark, sf_dir)).select(F.col("id").alias("para_id")).distinct()
+    return markup.marked(_hosted_streams(spark, sf_dir)).select(F.col("id").alias("para_id")).distinct()
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.cleaned(_hosted(spark, sf_dir)).withColumnRenamed("id", "para_id")
+    paragraphs = table(spark, sf_dir, "paragraphs").select(F.col("para_id").alias("id"), "kind", "text")
+    return markup.cleaned(paragraphs, markup.marked(_hosted_streams(spark, sf_dir))).withColumnRenamed("id", "para_id")
 
 
 def p3_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.wrappers(markup.streams(_hosted(spark, sf_dir))).withColumnRenamed("host", "book_id")
+    return markup.wrappers(cut(markup.distinct_streams(_hosted_streams(spark, sf_dir)))).withColumnRenamed("host", "origin")
 
 
 PRINT_LEAST = 60

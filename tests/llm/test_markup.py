@@ -49,18 +49,52 @@ def test_alignment_makes_optional_and_repeated_groups():
     assert M._read(M._write(a)) == a
 
 
+@pytest.mark.parametrize(
+    "wrapper, stream, made",
+    [
+        ("#text <a> #text", "#text <a> #text", True),
+        ("#text <a> #text", "<a> #text #text", False),
+        ("<ul> ( <li> #text )+ </ul>", "<ul> <li> #text <li> #text <li> #text </ul>", True),
+        ("<ul> ( <li> #text )+ </ul>", "<ul> <li> #text </ul> <li>", False),
+        ("( ( a )? ( b )? )+ c", "a b a a b " * 40 + "c", True),
+        ("( ( a )? ( b )? )+ c", "a b a a b " * 40 + "d", False),
+        ("<p> ( #text <br> )? #text </p>", "<p> #text </p>", True),
+    ],
+)
+def test_a_wrapper_makes_streams_in_order(wrapper, stream, made):
+    assert M.accepts(M._read(wrapper), M._read(stream.strip())) is made
+
+
+def test_inferred_wrappers_make_all_they_were_inferred_from():
+    streams = [M.folded(M.stream(t)) for t in MARKED]
+    made = M.inferred([(x, 1) for x in streams])
+    assert len(made) < len(streams) and sum(n for _, n in made) == len(streams)
+    assert all(any(M.accepts(w, x) for w, _ in made) for x in streams)
+
+
+def test_only_signs_that_other_texts_of_the_host_support_are_markup(spark):
+    rows = [(k, "a", f"text {k} <b>bold</b> more", "x") for k in range(3)] + [(10, "b", "text <b>bold</b> more", "x"), (11, "a", "text <b>bold</b> and <b>more</b> here", "x"), (12, "a", "see `n` here", "x")]
+    df = spark.createDataFrame(rows, "id long, host string, text string, kind string")
+    held = M.marked(M.streams(df.drop("kind")))
+    assert sorted(r.id for r in held.collect()) == [0, 1, 2, 11]  # 10 stands alone in its host, 12 has a stream of its own
+    clean = {r.id: r.text for r in M.cleaned(df, held).collect()}
+    assert clean[0] == "text 0 bold more" and clean[10] == "text <b>bold</b> more" and clean[12] == "see `n` here"
+
+
 def test_wrappers_over_tables(spark):
-    rows = [(1, "h", "<p>x</p>", "k"), (2, "h", "<p>x<br>y</p>", "k"), (3, "h", "plain", "k"), (4, None, "**b** x", "k"), (5, "h", None, "k"), (6, "h", "", "k"), (1, "h", "<p>x</p>", "k")]
-    df = spark.createDataFrame(rows, "id long, host string, text string, stream string")
-    assert sorted(r.id for r in M.marked(df).collect()) == [1, 2, 4]
-    found = {r.host: r.wrapper for r in M.wrappers(M.streams(df)).collect()}
-    assert set(found) == {"h", ""} and "( <br> )?" in found["h"] or "<br>" in found["h"]
-    clean = M.cleaned(df.withColumnRenamed("stream", "kind")).collect()
-    assert {(r.id, r.text) for r in clean} == {(1, "x"), (2, "x\ny"), (3, "plain"), (4, "b x")}
+    rows = [(1, "h", "<p>x</p>", "k"), (2, "h", "<p>x<br>y</p>", "k"), (3, "h", "plain", "k"), (4, None, "**b** x", "k"), (5, "h", None, "k"), (6, "h", "", "k"), (1, "h", "<p>x</p>", "k"), (7, "h", "<p>z</p>", "k")]
+    df = spark.createDataFrame(rows, "id long, host string, text string, kind string")
+    found = M.streams(df)
+    assert sorted({r.id for r in M.marked(found).collect()}) == [1, 2, 7]
+    made = M.wrappers(M.distinct_streams(found)).collect()
+    assert {(r.host, r.texts) for r in made} == {("h", 3), ("", 1)}
+    assert all(M.accepts(M._read(r.wrapper), M.folded(M.stream(t))) for r in made if r.host for t in ("<p>x</p>", "<p>x<br>y</p>"))
+    clean = M.cleaned(df, M.marked(found)).collect()
+    assert {(r.id, r.text) for r in clean} == {(1, "x"), (2, "x\ny"), (3, "plain"), (4, "**b** x"), (7, "z")}
     empty = spark.createDataFrame([], "id long, host string, text string, kind string")
-    assert M.marked(empty).count() == 0 and M.cleaned(empty).count() == 0
+    assert M.marked(M.streams(empty)).count() == 0 and M.cleaned(empty, M.marked(M.streams(empty))).count() == 0
 
 
 def test_long_text(spark):
-    text = "<p>" + "word & more < less " * 20000 + "</p>"
-    assert M.marked(spark.createDataFrame([(1, "h", text)], "id long, host string, text string")).count() == 1
+    rows = [(k, "h", "<p>" + f"word {k} & more < less " * 20000 + "</p>") for k in range(3)]
+    assert M.marked(M.streams(spark.createDataFrame(rows, "id long, host string, text string"))).count() == 3
