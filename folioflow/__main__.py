@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 from folioflow.operators import chapters as C
-from folioflow.operators import encode, engines, state, timeline
+from folioflow.operators import clips, encode, engines, state, timeline
 from folioflow.plans import pipeline
 from folioflow.sources import config, epub
 
@@ -96,28 +96,44 @@ def speak(spark: SparkSession, args: argparse.Namespace) -> int:
     failed += [f"{n}: wanted by {len(b)} books" for n, b in clash.items()]
     cache = Path(settings.cache).resolve()  # workers don't share the driver's working directory
     root = str(cache / "state")
-    made = pipeline.convert(spark, tables, root, engine)
-    wavs = cache / "chapters"
+    with engines.ready(engine):
+        made = pipeline.convert(spark, tables, root, engine)
+    fp16 = engines.digest(engine.fingerprint())[:16]
+    wavs = cache / "chapters" / fp16
     for r in made["vtt"].toLocalIterator():
         if books[r.book_id].slug not in clash:
             (out / f"{books[r.book_id].slug}.vtt").write_text(r.vtt, encoding="utf-8")
-    fp16 = engines.digest(engine.fingerprint())[:16]
-    paths = encode.chapter_wavs(made["placed"], state.clips(spark, root, fp16), str(wavs), engine.sample_rate)
+    # chapter files that are there and whose plan hasn't changed stay as they are
+    there = [(p.stem[:16], int(p.stem[17:])) for p in wavs.glob("*.wav")]
+    short = F.substring("book_id", 1, 16).alias("b16")
+    kept = spark.createDataFrame(there, "b16 string, chapter_idx int").join(made["stale"].select(short, "chapter_idx"), ["b16", "chapter_idx"], "left_anti")
+    wanted = made["placed"].withColumn("b16", short).join(kept, ["b16", "chapter_idx"], "left_anti")
+    encode.chapter_wavs(wanted, state.clips(spark, root, fp16), str(wavs), engine.sample_rate)
+    paths = made["timeline"].select("book_id", "chapter_idx", F.format_string(f"{wavs}/%s-%04d.wav", F.substring("book_id", 1, 16), "chapter_idx").alias("path"))
     if shutil.which("ffmpeg") is None:
-        print(f"ffmpeg is not installed; {len(paths)} chapter files are in {wavs}", file=sys.stderr)
+        print(f"ffmpeg is not installed; {paths.count()} chapter files are in {wavs}", file=sys.stderr)
         return _end(failed)
-    listing = spark.createDataFrame([(Path(p).name.split("-")[0], int(Path(p).stem.split("-")[1]), p) for p in paths], "b16 string, chapter_idx int, path string")
-    full = listing.join(tables["books"].select("book_id", F.substring("book_id", 1, 16).alias("b16")), "b16")
-    lists = {r.book_id: r.listing for r in timeline.concat_list(full).collect()}
-    for r in made["metadata"].toLocalIterator():
+    lists = timeline.concat_list(paths).join(paths.groupBy("book_id").agg(F.collect_list("path").alias("paths")), "book_id")
+    lists = lists.join(made["timeline"].groupBy("book_id").agg(F.sum("samples").alias("samples")), "book_id")
+    ready = [r for r in made["metadata"].join(lists, "book_id").toLocalIterator() if books[r.book_id].slug not in clash]
+    digests = {r.book_id: encode.settings_digest(metadata=r.metadata, engine=fp16) for r in ready}
+    stamped = {r.book_id: r.digest for r in state.stamps(spark, root).collect()}
+    for r in ready:
         book = books[r.book_id]
-        if r.book_id not in lists or book.slug in clash:
+        target = out / f"{book.slug}.m4b"
+        if stamped.get(r.book_id) == digests[r.book_id] and encode.is_current(target, [Path(p) for p in r.paths], len(r.paths)):
+            print(f"{target} is up to date")
             continue
-        with tempfile.TemporaryDirectory() as work:
+        one = lambda digest, book_id=r.book_id: spark.createDataFrame([(book_id, digest)], "book_id string, digest string")
+        state.stamp(one(""), root)  # an encode that breaks off leaves no stamp
+        tell = clips.Progress(r.samples / engine.sample_rate, lambda percent, slug=book.slug: print(f"{slug}: {percent} %", file=sys.stderr))
+        with tempfile.TemporaryDirectory(dir=cache) as work:
             try:
-                encode.write_m4b(lists[r.book_id], r.metadata, bytes(book.cover) if book.cover else None, book.cover_mime, out / f"{book.slug}.m4b", engine.sample_rate, Path(work))
+                encode.write_m4b(r.listing, r.metadata, bytes(book.cover) if book.cover else None, book.cover_mime, target, engine.sample_rate, Path(work), tell)
             except encode.EncodeError as e:  # the other books still get theirs
                 failed.append(f"{book.slug}: {e}")
+                continue
+        state.stamp(one(digests[r.book_id]), root)
     return _end(failed)
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 from folioflow.functions import timing
+from folioflow.operators.engines import Engine, spoken
+from folioflow.operators.retries import settled
 
 BATCH = 64
 
@@ -68,6 +73,15 @@ def batch_caps(batched: DataFrame, frame_rate: float = 12.5) -> DataFrame:
     return batched.groupBy("batch").agg(F.count("*").alias("clips"), most.alias("most_chars"), timing.max_new_tokens(most, frame_rate).alias("new_tokens"))
 
 
+def heard(missing: DataFrame, engine: Engine, guard: timing.Guard = timing.Guard()) -> DataFrame:
+    """The clip kept of each text of ``missing`` (key, text, batch): the first take, or, where an engine is told to try again, the
+    best of all takes of those that miss their duration. Retries are batched anew, longest first."""
+    takes = spoken(missing, engine)
+    if engine.retries < 1:
+        return takes
+    return settled(takes, lambda again: spoken(batches(again, engine.max_batch), engine), replace(guard, retries=engine.retries))
+
+
 def chapter_plans(sentences: DataFrame, fingerprint: str, rate: int = timing.RATE, gaps: timing.Gaps = timing.Gaps()) -> DataFrame:
     """(book_id, chapter_idx, fingerprint, sample_rate, clip_keys, gap_after): what each chapter should consist of, in order."""
     rows = with_gaps(sentences.where(F.col("text").isNotNull()), gaps)
@@ -82,13 +96,16 @@ def stale(plans: DataFrame, manifests: DataFrame) -> DataFrame:
     return plans.join(manifests.select(*keys).distinct(), keys, "left_anti")
 
 
-def progress(total: int, done: list[int], step_percent: int = 10) -> list[bool]:
-    """For each count of ``done`` in turn, whether a step of ``step_percent`` or the end was just reached."""
-    out, step, over = [], 0, False
-    for n in done:
-        now = n * 100 / (total * step_percent) if total else float("inf")
-        hit = not over and (n >= total or int(now) > step)
-        over = over or n >= total
-        step = max(step, int(min(now, 1e9)))
-        out.append(hit)
-    return out
+class Progress:
+    """Tells each time another step of the whole is done, and once at the end."""
+
+    def __init__(self, total: float, tell: Callable[[int], None], step_percent: int = 10):
+        self.total, self.tell, self.step = total, tell, step_percent
+        self.told = 0
+
+    def __call__(self, done: float) -> None:
+        percent = min(100, int(done * 100 / self.total)) if self.total > 0 else 100
+        reached = 100 if percent == 100 else percent - percent % self.step
+        if reached > self.told:
+            self.told = reached
+            self.tell(reached)

@@ -9,6 +9,7 @@ import hashlib
 import json
 import math
 import os
+import shlex
 import struct
 import subprocess
 import time
@@ -17,7 +18,10 @@ import urllib.request
 import wave
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 from dataclasses import dataclass
+from datetime import UTC
+from email.utils import parsedate_to_datetime
 from io import BytesIO
 from typing import Protocol
 
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.timing import Guard
 from folioflow.sources.config import BatchEngine, HttpEngine
 
-RETRY_STATUS = frozenset((408, 429, 500, 502, 503, 504))
+RETRY_STATUS = frozenset((408, 429))  # and all from 500 on
 BUSY_STATUS = 409
 BUSY_WAIT_S = 5.0
 BUSY_MOST_S = 300.0
@@ -42,9 +46,10 @@ class Engine(Protocol):
     sample_rate: int
     max_batch: int
     max_chars: int
+    retries: int
 
-    def speak(self, texts: Sequence[str], attempt: int = 0) -> list[np.ndarray]:
-        """One float32 array for each text, in order."""
+    def speak(self, texts: Sequence[str], attempt: int = 0, capped: bool = True) -> list[np.ndarray]:
+        """One float32 array for each text, in order; another ``attempt`` gives another take, without a cap where it isn't ``capped``."""
 
     def fingerprint(self) -> list[str]:
         """The parts that decide how a text sounds."""
@@ -59,9 +64,10 @@ class Silence:
     sample_rate: int = 24_000
     max_batch: int = 64
     max_chars: int = 125
+    retries: int = 0
     name: str = "silence"
 
-    def speak(self, texts: Sequence[str], attempt: int = 0) -> list[np.ndarray]:
+    def speak(self, texts: Sequence[str], attempt: int = 0, capped: bool = True) -> list[np.ndarray]:
         return [np.zeros(int(seconds_of(t) * self.sample_rate), dtype=np.float32) for t in texts]
 
     def fingerprint(self) -> list[str]:
@@ -75,9 +81,10 @@ class Tone:
     max_chars: int = 125
     hertz: float = 440.0
     level: float = 0.2
+    retries: int = 0
     name: str = "tone"
 
-    def speak(self, texts: Sequence[str], attempt: int = 0) -> list[np.ndarray]:
+    def speak(self, texts: Sequence[str], attempt: int = 0, capped: bool = True) -> list[np.ndarray]:
         made = []
         for t in texts:
             at = np.arange(int(seconds_of(t) * self.sample_rate)) / self.sample_rate
@@ -107,10 +114,18 @@ def to_wav(pcm: bytes, rate: int) -> bytes:
 
 
 def retry_after(value: str | None, most: float = 60.0) -> float | None:
+    """Seconds a server asks to wait, given as a number or as a date; None where it says nothing that can be read."""
+    if not value:
+        return None
     try:
-        return min(max(float(value), 0.0), most) if value else None
+        seconds = float(value)
     except ValueError:
-        return None
+        try:
+            when = parsedate_to_datetime(value)
+        except ValueError:
+            return None
+        seconds = (when if when.tzinfo else when.replace(tzinfo=UTC)).timestamp() - time.time()
+    return min(max(seconds, 0.0), most)
 
 
 def post(url: str, body: bytes, headers: dict[str, str], timeout: float, retries: int = 5, opener: Callable = urllib.request.urlopen, sleep: Callable = time.sleep) -> bytes:
@@ -120,7 +135,7 @@ def post(url: str, body: bytes, headers: dict[str, str], timeout: float, retries
             with opener(urllib.request.Request(url, body, headers), timeout=timeout) as r:
                 return r.read()
         except urllib.error.HTTPError as e:
-            if e.code not in RETRY_STATUS or n == retries:
+            if e.code not in RETRY_STATUS and e.code < 500 or n == retries:
                 raise
             wait = retry_after(e.headers.get("Retry-After") if e.headers else None)
         except (urllib.error.URLError, TimeoutError, ConnectionError):
@@ -131,6 +146,22 @@ def post(url: str, body: bytes, headers: dict[str, str], timeout: float, retries
     raise AssertionError
 
 
+def ask_local(url: str, body: bytes, headers: dict[str, str], timeout: float, resends: int = 1, opener: Callable = urllib.request.urlopen) -> bytes:
+    """Posts to a server on this machine, without waiting. Only a dropped connection is tried again: after a timeout the server
+    may still be at work, and a second request would make it do the batch twice."""
+    while True:
+        try:
+            with opener(urllib.request.Request(url, body, headers), timeout=timeout) as r:
+                return r.read()
+        except urllib.error.HTTPError:
+            raise
+        except (urllib.error.URLError, ConnectionError) as e:
+            cause = e.reason if isinstance(e, urllib.error.URLError) else e
+            if not isinstance(cause, ConnectionError) or resends < 1:
+                raise
+        resends -= 1
+
+
 def request_of(config: HttpEngine, text: str, key: str) -> tuple[str, dict, dict[str, str]]:
     """(url, body, headers) of one text in the shape the service takes; all ask for raw 16-bit samples."""
     base, rate = config.url.rstrip("/"), config.sample_rate
@@ -224,8 +255,9 @@ class Hosted:
     sample_rate = property(lambda self: self.config.sample_rate)
     max_chars = property(lambda self: self.config.max_chars)
     max_batch = property(lambda self: self.config.concurrency)
+    retries = property(lambda self: 0)
 
-    def speak(self, texts: Sequence[str], attempt: int = 0) -> list[np.ndarray]:
+    def speak(self, texts: Sequence[str], attempt: int = 0, capped: bool = True) -> list[np.ndarray]:
         key = os.environ.get(self.config.key_variable, "") if self.config.key_variable else ""
 
         def one(text: str) -> np.ndarray:
@@ -245,25 +277,30 @@ class Served:
 
     config: BatchEngine
     name: str
-    send: Callable = post
+    send: Callable = ask_local
 
     sample_rate = property(lambda self: self.config.sample_rate)
     max_batch = property(lambda self: self.config.max_batch)
+    retries = property(lambda self: self.config.retries)
 
     @property
     def max_chars(self) -> int:
-        """The setting, or fewer characters where the cap of new tokens would leave the model's context."""
+        """The setting, or fewer characters where voice, text and the cap of new tokens would leave the model's context. A text
+        takes a token for each byte, four for the widest character."""
         c = self.config
         if not c.context_tokens or not c.frame_rate:
             return c.max_chars
-        return max(1, longest_fitting(lambda n: n + self.new_tokens(n) <= c.context_tokens, c.max_chars))
+        fits = longest_fitting(lambda n: c.voice_tokens + 4 * n + self.new_tokens(n) <= c.context_tokens, c.max_chars)
+        if not fits:
+            raise ValueError(f"{self.name}: the voice leaves no room in a context of {c.context_tokens} tokens")
+        return fits
 
     def new_tokens(self, chars: int) -> int:
         guard = Guard()
         return math.ceil((guard.base_s + guard.long_s * chars) * guard.slack * self.config.frame_rate)
 
-    def speak(self, texts: Sequence[str], attempt: int = 0) -> list[np.ndarray]:
-        cap = {"max_new_tokens": self.new_tokens(max(map(len, texts)))} if self.config.frame_rate else {}
+    def speak(self, texts: Sequence[str], attempt: int = 0, capped: bool = True) -> list[np.ndarray]:
+        cap = {"max_new_tokens": self.new_tokens(max(map(len, texts)))} if self.config.frame_rate and capped else {}
         body = json.dumps({"texts": list(texts), "seed": self.config.seed + attempt} | cap).encode()
         answer = until_free(lambda: self.send(self.config.url, body, {"Content-Type": "application/json"}, self.config.timeout_s))
         return segments(answer, len(texts))
@@ -302,40 +339,52 @@ def create(name: str, settings=None) -> Engine:
     return (Served if isinstance(config, BatchEngine) else Hosted)(config, name)
 
 
+def ready(engine: Engine):
+    """A context in which the engine answers: the local server it names runs, started here where none does."""
+    command, health = (getattr(getattr(engine, "config", None), c, "") for c in ("command", "health_url"))
+    return start_or_adopt(shlex.split(command), health) if command and health else nullcontext()
+
+
 def digest(parts: Sequence[str]) -> str:
     return hashlib.sha256(b"".join(p.encode() + b"\0" for p in parts)).hexdigest()
 
 
-SPOKEN = "fp16 string, clip_key string, sample_rate int, n_samples long, pcm binary, attempt int, seconds double"
+SPOKEN = "fp16 string, key string, text string, attempt int, capped boolean, seconds double, sample_rate int, n_samples long, n_trimmed long, pcm binary"
 
 
 def spoken(batched: DataFrame, engine: Engine) -> DataFrame:
-    """Clips of (key, text, batch, attempt), spoken batch by batch: a batch is one request and stays in one task."""
+    """Clips of (key, text, batch, attempt, capped), spoken batch by batch: a batch is one request and stays in one task. A clip
+    is kept whole; ``n_trimmed`` is its length without quiet ends, which is what a chapter takes of it."""
     fp16 = digest(engine.fingerprint())[:16]
 
     def speak(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for (_, attempt), group in pdf.groupby(["batch", "attempt"], sort=True):
-                clips = engine.speak(group["text"].tolist(), int(attempt))
+            for (_, attempt, capped), group in pdf.groupby(["batch", "attempt", "capped"], sort=True):
+                texts = group["text"].tolist()
+                clips = engine.speak(texts, int(attempt), bool(capped))
                 if len(clips) != len(group):
                     raise ValueError(f"{engine.name} gave {len(clips)} clips for {len(group)} texts")
-                yield pd.DataFrame({"fp16": fp16, "clip_key": group["key"].tolist(), "sample_rate": engine.sample_rate, "n_samples": [len(c) for c in clips], "pcm": [to_pcm16(c) for c in clips], "attempt": int(attempt), "seconds": [len(c) / engine.sample_rate for c in clips]})
+                rate = engine.sample_rate
+                sizes, pcm = [len(c) for c in clips], [to_pcm16(c) for c in clips]
+                told = {"fp16": fp16, "key": group["key"].tolist(), "text": texts, "attempt": int(attempt), "capped": bool(capped), "seconds": [n / rate for n in sizes], "sample_rate": rate}
+                yield pd.DataFrame(told | {"n_samples": sizes, "n_trimmed": [len(trimmed(from_pcm16(p), rate)) for p in pcm], "pcm": pcm})
 
-    ready = batched.select("key", "text", "batch", F.coalesce("attempt", F.lit(0)).alias("attempt") if "attempt" in batched.columns else F.lit(0).alias("attempt"))
-    return ready.repartition("batch").sortWithinPartitions("batch").mapInPandas(speak, SPOKEN)
+    given = lambda c, other: F.coalesce(c, F.lit(other)) if c in batched.columns else F.lit(other)
+    asked = batched.select("key", "text", "batch", given("attempt", 0).alias("attempt"), given("capped", True).alias("capped"))
+    return asked.repartition("batch").sortWithinPartitions("batch").mapInPandas(speak, SPOKEN)
 
 
 def trimmed(samples: np.ndarray, rate: int, frame_s: float = 0.010, floor_db: float = -40.0, pad_s: float = 0.050) -> np.ndarray:
     """``samples`` without quiet ends: frames far below the loudest go, a pad stays; silence and broken input stay as they are."""
-    frame = int(rate * frame_s)
-    if frame < 1 or len(samples) < frame or not np.isfinite(samples).all():
+    frame = max(1, round(rate * frame_s))
+    if len(samples) < frame or not np.isfinite(samples).all():
         return samples
     padded = np.pad(samples.astype(np.float64), (0, -len(samples) % frame)).reshape(-1, frame)
     rms = np.sqrt((padded**2).mean(axis=1))
     loud = np.flatnonzero(rms >= rms.max() * 10 ** (floor_db / 20)) if rms.max() > 0 else []
     if not len(loud):
         return samples
-    pad = int(rate * pad_s)
+    pad = round(rate * pad_s)
     return samples[max(0, loud[0] * frame - pad) : min(len(samples), (loud[-1] + 1) * frame + pad)]
 
 

@@ -41,7 +41,8 @@ def unsettled(takes: DataFrame, guard: timing.Guard = timing.Guard()) -> DataFra
 
 
 def settled(first: DataFrame, speak: Callable[[DataFrame], DataFrame], guard: timing.Guard = timing.Guard()) -> DataFrame:
-    """Best takes after at most ``retries`` + 1 further rounds. ``speak`` takes (key, text, attempt, capped) and adds seconds.
+    """Best takes after at most ``retries`` + 1 further rounds, with all their columns and a ``note``. ``speak`` takes (key, text,
+    attempt, capped) and adds the other columns of ``first``.
 
     Each round is written to the shared folder, so that a lost executor doesn't make earlier rounds run again."""
     takes = cut(first)
@@ -50,4 +51,4 @@ def settled(first: DataFrame, speak: Callable[[DataFrame], DataFrame], guard: ti
         if again.isEmpty():
             break
         takes = cut(takes.unionByName(speak(again).select(*takes.columns)))
-    return best_takes(takes, guard)
+    return takes.join(best_takes(takes, guard).select("key", "attempt", "note"), ["key", "attempt"])

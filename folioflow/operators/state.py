@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-CLIPS = "fp16 string, clip_key string, sample_rate int, n_samples long, pcm binary"
+CLIPS = "fp16 string, clip_key string, sample_rate int, n_samples long, n_trimmed long, pcm binary"
 MANIFESTS = "fp string, book_id string, chapter_idx int, manifest string, written_at timestamp"
 STAMPS = "book_id string, digest string, written_at timestamp"
 MANIFEST = "sample_rate int, clip_keys array<string>, gap_after array<double>, offsets array<struct<start:double,end:double>>, duration double"
@@ -30,12 +30,14 @@ def clips(spark: SparkSession, root: str, fp16: str) -> DataFrame:
 
 
 def clip_index(spark: SparkSession, root: str, fp16: str) -> DataFrame:
-    """(key, n_samples) of an engine's clips, without reading audio."""
-    return _read(spark, f"{root}/clips", CLIPS).where((F.col("fp16") == fp16) & (F.col("n_samples") > 0)).select(F.col("clip_key").alias("key"), "n_samples").dropDuplicates(["key"])
+    """(key, n_samples) of an engine's clips, without reading audio; the samples are those a chapter takes, without quiet ends."""
+    rows = _read(spark, f"{root}/clips", CLIPS).where((F.col("fp16") == fp16) & (F.col("n_samples") > 0))
+    return rows.select(F.col("clip_key").alias("key"), F.coalesce("n_trimmed", "n_samples").alias("n_samples")).dropDuplicates(["key"])
 
 
 def store_clips(rows: DataFrame, root: str) -> None:
-    rows.write.mode("append").partitionBy("fp16").parquet(f"{root}/clips")
+    """Appends clips as ``engines.spoken`` gives them."""
+    rows.select("fp16", F.col("key").alias("clip_key"), "sample_rate", "n_samples", "n_trimmed", "pcm").write.mode("append").partitionBy("fp16").parquet(f"{root}/clips")
 
 
 def manifests(spark: SparkSession, root: str, fp: str) -> DataFrame:

@@ -41,8 +41,8 @@ def convert(spark: SparkSession, tables: dict[str, DataFrame], root: str, engine
     wanted = sents.join(todo.select("book_id", "chapter_idx"), ["book_id", "chapter_idx"], "left_semi")
     missing = cut(K.batches(K.pending(K.first_uses(wanted), state.clip_index(spark, root, fp16)), engine.max_batch))
     if not missing.isEmpty():
-        new = E.spoken(missing, engine)
-        state.store_clips(new.select("fp16", "clip_key", "sample_rate", "n_samples", "pcm"), root)
+        with E.ready(engine):
+            state.store_clips(K.heard(missing, engine), root)
     index = state.clip_index(spark, root, fp16)
     placed = timeline.offsets(K.with_gaps(sents.withColumn("key", T.clip_key(F.col("text"))).join(index, "key"), gaps), rate)
     lengths = timeline.chapter_lengths(placed, chapters, rate)

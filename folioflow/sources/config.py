@@ -35,13 +35,16 @@ class HttpEngine:
 class BatchEngine:
     """A local server that speaks many texts at once. With a ``command`` it is started where none answers ``health_url``.
 
-    ``frame_rate`` above 0 sends a cap of new tokens; ``context_tokens`` above 0 bounds a text by what fits the model."""
+    ``frame_rate`` above 0 sends a cap of new tokens; ``context_tokens`` above 0 bounds a text by what fits the model beside the
+    ``voice_tokens`` of its voice. Takes that miss their duration are spoken again up to ``retries`` times."""
 
     url: str
     command: str = ""
     health_url: str = ""
     frame_rate: float = 0.0
     context_tokens: int = 0
+    voice_tokens: int = 0
+    retries: int = 2
     max_batch: int = 64
     max_chars: int = 300
     seed: int = 0

@@ -15,7 +15,7 @@ def speak_batch(batch: DataFrame, root: str, engine: E.Engine) -> None:
     """Appends the clips of one micro-batch. Keys are hashes of the text, so a batch that runs again adds nothing that is read."""
     fp16 = E.digest(engine.fingerprint())[:16]
     missing = K.batches(K.pending(K.first_uses(batch), state.clip_index(batch.sparkSession, root, fp16)), engine.max_batch)
-    state.store_clips(E.spoken(missing, engine).select("fp16", "clip_key", "sample_rate", "n_samples", "pcm"), root)
+    state.store_clips(K.heard(missing, engine), root)
 
 
 def start(spark: SparkSession, source: str, root: str, engine: E.Engine, checkpoint: str) -> StreamingQuery:

@@ -47,8 +47,14 @@ def test_plans_and_manifests(spark):
 
 
 def test_progress():
-    assert K.progress(10, [1, 2, 2, 10, 10]) == [True, True, False, True, False]
-    assert K.progress(1000, list(range(0, 100))) == [False] * 100
+    told = []
+    step = K.Progress(200, told.append)
+    for done in (0, 5, 19, 20, 21, 90, 199, 200, 200):
+        step(done)
+    assert told == [10, 40, 90, 100]
+    empty = []
+    K.Progress(0, empty.append)(0)
+    assert empty == [100]
 
 
 def test_timeline(spark):

@@ -1,8 +1,12 @@
+import dataclasses
 import io
+import json
 import zipfile
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioflow import __main__ as cli
 from folioflow.operators import encode, engines, state
@@ -96,7 +100,7 @@ def test_command_line(spark, tmp_path, book, capsys, monkeypatch):
 
 def test_state_survives_repeats_and_broken_rows(spark, tmp_path):
     root = str(tmp_path)
-    rows = spark.createDataFrame([("f", "k", 8000, 2, b"\0\0\1\0"), ("f", "bad", 8000, 5, b"\0"), ("f", "none", 8000, 0, b"")], state.CLIPS)
+    rows = spark.createDataFrame([("f", "k", 8000, 2, None, b"\0\0\1\0"), ("f", "bad", 8000, 5, 5, b"\0"), ("f", "none", 8000, 0, 0, b"")], state.CLIPS.replace("clip_key", "key"))
     for _ in range(2):
         state.store_clips(rows, root)
     assert [r.clip_key for r in state.clips(spark, root, "f").collect()] == ["k"]
@@ -159,8 +163,16 @@ def test_local_server():
     import urllib.error
 
     assert engines.longest_fitting(lambda n: n * n <= 50, 100) == 7 and engines.longest_fitting(lambda n: False, 9) == 0
-    s = engines.Served(config.BatchEngine("http://x", frame_rate=10.0, context_tokens=200), "s")
-    assert s.max_chars + s.new_tokens(s.max_chars) <= 200 < s.max_chars + 1 + s.new_tokens(s.max_chars + 1)
+    s = engines.Served(config.BatchEngine("http://x", frame_rate=10.0, context_tokens=300, voice_tokens=40), "s")
+    needs = lambda n: 40 + 4 * n + s.new_tokens(n)
+    assert needs(s.max_chars) <= 300 < needs(s.max_chars + 1)
+    with pytest.raises(ValueError):
+        _ = engines.Served(config.BatchEngine("http://x", frame_rate=10.0, context_tokens=30, voice_tokens=40), "s").max_chars
+    sent = []
+    answer = (1).to_bytes(4, "little") + (2).to_bytes(4, "little") + b"\0\0"
+    s = engines.Served(config.BatchEngine("http://x", frame_rate=10.0), "s", lambda url, body, *a: sent.append(json.loads(body)) or answer)
+    s.speak(["ab"]), s.speak(["ab"], 1), s.speak(["ab"], 3, capped=False)
+    assert [x["seed"] for x in sent] == [0, 1, 3] and ["max_new_tokens" in x for x in sent] == [True, True, False]
     busy = [urllib.error.HTTPError("u", 409, "", {}, io.BytesIO()), b"ok"]
 
     def send():
@@ -202,6 +214,115 @@ def test_post_waits_and_gives_up():
         engines.post("http://x", b"", {}, 1, opener=opener, sleep=waits.append)
 
 
+def test_local_requests_are_not_sent_again_after_a_timeout():
+    import urllib.error
+
+    def opener(*answers):
+        left = list(answers)
+
+        def open_(request, timeout):
+            a = left.pop(0)
+            if isinstance(a, Exception):
+                raise a
+            return a
+
+        return open_, left
+
+    ask = lambda o: engines.ask_local("http://x", b"", {}, 1, opener=o)
+    assert ask(opener(ConnectionResetError(), io.BytesIO(b"ok"))[0]) == b"ok"
+    assert ask(opener(urllib.error.URLError(ConnectionResetError()), io.BytesIO(b"ok"))[0]) == b"ok"
+    for fault in (TimeoutError(), urllib.error.URLError(TimeoutError()), urllib.error.HTTPError("u", 503, "", {}, io.BytesIO())):
+        o, left = opener(fault, io.BytesIO(b"ok"))
+        with pytest.raises(Exception):
+            ask(o)
+        assert len(left) == 1
+    with pytest.raises(ConnectionResetError):
+        ask(opener(ConnectionResetError(), ConnectionResetError(), io.BytesIO(b"ok"))[0])
+
+
+def test_waits_that_servers_ask_for():
+    from datetime import UTC, datetime, timedelta
+    from email.utils import format_datetime
+
+    soon = format_datetime(datetime.now(UTC) + timedelta(seconds=20), usegmt=True)
+    assert 15 < engines.retry_after(soon) <= 20 and engines.retry_after("Mon, 01 Jan 2001 00:00:00 GMT") == 0.0
+    assert engines.retry_after("3") == 3.0 and engines.retry_after("900") == 60.0 and engines.retry_after("soon") is None and engines.retry_after(None) is None
+
+
+def test_convert_keeps_the_best_takes_and_trims_them(spark, tmp_path):
+    @dataclasses.dataclass(frozen=True)
+    class Runaway:
+        """A stand-in whose first takes run on: texts with ``Two`` until the second attempt, those with ``never`` as long as they are capped."""
+
+        sample_rate: int = 8000
+        max_batch: int = 2
+        max_chars: int = 125
+        retries: int = 2
+        name: str = "runaway"
+
+        def speak(self, texts, attempt=0, capped=True):
+            def one(text):
+                bad = "Two" in text and attempt < 2 or "never" in text and capped
+                voice = np.full(60 * 8000 if bad else 800 * (attempt + 1), 0.5, dtype=np.float32)
+                return np.concatenate([np.zeros(4000, dtype=np.float32), voice, np.zeros(8000, dtype=np.float32)])
+
+            return [one(t) for t in texts]
+
+        def fingerprint(self):
+            return [self.name]
+
+    path = make_epub(tmp_path / "r.epub", chapters=("One", "Two"))
+    t = epub.tables(epub.read_epubs(spark, str(path)))
+    root, engine = str(tmp_path / "state"), Runaway()
+    made = pipeline.convert(spark, t, root, engine)
+    fp16 = engines.digest(engine.fingerprint())[:16]
+    rows = made["placed"].join(state.clips(spark, root, fp16).select(F.col("clip_key").alias("key"), F.col("n_samples").alias("whole")), "key").collect()
+    assert rows
+    for r in rows:
+        take = 800 * (3 if "Two" in r.text else 1)
+        assert r.whole == take + 12000 and r.n_samples == take + 2 * 400  # the pad stays on both sides
+    again = pipeline.convert(spark, t, root, engine)
+    assert again["missing"].count() == 0 and again["stale"].count() == 0
+
+
+def test_a_second_run_encodes_nothing(spark, tmp_path, book, monkeypatch, capsys):
+    monkeypatch.chdir(tmp_path)
+    calls = []
+
+    def tool(args, progress=None):
+        calls.append(args[0])
+        if args[0] == "ffprobe":
+            return json.dumps({"chapters": [1, 2]})
+        Path(args[-1]).write_bytes(b"audio")
+        if progress:
+            progress(0.5), progress(1e9)
+        return ""
+
+    monkeypatch.setattr(encode, "run", tool)
+    monkeypatch.setattr(cli.shutil, "which", lambda name: name)
+    line = ["convert", book, "--engine", "silence", "-o", str(tmp_path / "out")]
+    assert cli.main(line) == 0 and calls == ["ffmpeg", "ffmpeg"] and "100 %" in capsys.readouterr().err
+    assert cli.main(line) == 0 and calls[2:] == ["ffprobe"] and "up to date" in capsys.readouterr().out
+    monkeypatch.setattr(encode, "BITRATE", "64k")
+    assert cli.main(line) == 0 and calls[3:] == ["ffmpeg", "ffmpeg"]
+    (tmp_path / "out" / "a-book.m4b").unlink()
+    assert cli.main(line) == 0 and calls[5:] == ["ffmpeg", "ffmpeg"]
+
+
+def test_tools_that_fail_tell_why(tmp_path):
+    import sys
+
+    with pytest.raises(encode.EncodeError, match="no room"):
+        encode.run([sys.executable, "-c", "import sys; print('out_time_us=5'); sys.exit('no room')"])
+    assert encode.run([sys.executable, "-c", "print('hi')"]) == "hi\n"
+    seen = []
+    script = tmp_path / "tool"
+    script.write_text(f"#!{sys.executable}\nprint('out_time_us=2500000')\n")
+    script.chmod(0o755)
+    encode.run([str(script)], seen.append)
+    assert seen == [2.5]
+
+
 def test_assembly_and_trimming():
     samples, at, seconds = engines.assembled([np.ones(8), np.ones(4)], [0.5, 0.26], 8)
     assert at == [(0.0, 1.0), (1.5, 2.0)] and len(samples) == 18 and seconds == 2.25
@@ -215,7 +336,7 @@ def test_assembly_and_trimming():
 def test_encode_adapter(tmp_path):
     assert encode.encode_args("a", "m", "o", 24000)[-6:] == ["aac", "-b:a", "96k", "-f", "mp4", "o"]
     assert "attached_pic" in encode.encode_args("a", "m", "o", 24000, "c.jpg")
-    assert len(encode.settings_digest()) == 64 and encode.cover_suffix("image/PNG") == ".png" and encode.cover_suffix(None) == ".jpg"
+    assert encode.settings_digest(engine="a") != encode.settings_digest(engine="b") and encode.cover_suffix("image/PNG") == ".png" and encode.cover_suffix(None) == ".jpg"
     assert encode.position("out_time_us=1500000\n") == 1.5 and encode.position("out_time_us=N/A") is None
     out, src = tmp_path / "o.m4b", tmp_path / "c.wav"
     assert not encode.is_current(out, [], 1)
