@@ -129,7 +129,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stuffing.curves(_pages(spark, sf_dir)).select("doc_id", "different", "used", *[F.round(c, 6).alias(c) for c in ("apart", "linked", "slope", "residual")])
+    """The curve of every page, and how it differs from those of its like."""
+    fitted = stuffing.compared(cut(stuffing.curves(_pages(spark, sf_dir))))
+    return fitted.select("doc_id", "lang", "band", "words", *[F.round(c, 6).alias(c) for c in ("apart", "linked", *stuffing.MEASURES, "steeper", "rougher", "higher")])
 
 
 QUERIES = {

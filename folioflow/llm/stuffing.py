@@ -1,14 +1,17 @@
 """Problem 8: keyword-stuffed and link-list pages.
 
-Method: rank-frequency curves. What marks prose is learned per language from its distinct pages: the words that stand in many
-of them and how often, without pages of few words said over and over and without the source that uses a word most. Lines that diverge from that prose are set apart; over their words a rank-frequency curve is
-fitted per page with SQL windows. A page is flagged when most of it diverges and the curve is as steep or lies as high as
-repeated keywords make it, or the diverging part is made of links or tags. An index has a flat curve, other matter of a book reads like prose.
+Method: rank-frequency curves. A curve is fitted to the words of every page that don't mark prose, with SQL windows: its slope,
+its residual and its height, the mean uses of a word. Each is compared with the pages of the same language and comparable length, by their median
+and the spread of their middle half. What marks prose is learned per language from its distinct pages: the words that stand
+in many of them and how often, without pages of few words said over and over and without the source that uses a word most.
+A page is flagged when most of it diverges from that prose and its curve is steeper, less of a line or higher than that of
+its like, or the diverging part is made of links or tags. An index has a flat curve, other matter of a book reads like prose.
 
 Null and empty texts are no case; repeated rows count once; texts are read whole, of any length."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioflow.session import cut
+from folioflow.session import cut, known_rows
 
 COMMON_SHARE = 0.15  # share of a language's pages a word must stand in to mark prose
 RATE_SLACK = 3.0  # times its usual rate up to which a word of a line counts as prose
@@ -28,8 +31,9 @@ LEAST_PAGES = 20  # pages of a language from which one source can be left out, a
 FEW = (20, 400, 0.6)  # from so many words on, a page with fewer different ones than a power of their number (counted up to a most) teaches no prose
 SHORT_LINE = 8
 LARGER_PART = 0.5
-STEEP = -0.2  # slope of log frequency over log rank; the words of an index, each there once, give 0
-REPEATED = 2.0  # mean uses of a diverging word: a curve that is flat but lies this high is made of a few keywords in turn
+EXTREME = 0.5  # by how many spreads a curve must be steeper, less straight or higher than those of its like
+REPEATED = 2.0  # mean uses of a word from which a curve is high whatever its like are
+LEAST_SPREAD = 0.02  # no spread counts as less, so that pages much alike don't make small differences extreme
 LINKED = 0.3
 
 #: Characters of scripts without blanks, each a word of its own.
@@ -143,7 +147,8 @@ def diverges(own: list[str], rates: Rates, dense: bool = False) -> bool:
 
 
 def diverging(text: str, rates: Rates) -> tuple[float, float, Counter]:
-    """Share of the characters in diverging lines, share of those in lines of links or tags, and the words of diverging lines.
+    """Share of the characters in diverging lines, share of those in lines of links or tags, and how often
+    the page uses each word that doesn't mark prose.
 
     Short lines say too little alone: those of a page are judged together. Lines of figures only, such as times, don't count."""
     whole = apart = linked = 0
@@ -164,6 +169,7 @@ def diverging(text: str, rates: Rates) -> tuple[float, float, Counter]:
         size = len(line)
         whole += size
         own = words(rest)
+        found.update(own)
         if len(own) >= 2 * SHORT_LINE and not diverges(own, rates, dense):
             continue
         own = [w for w in own if not w.isdigit()]
@@ -175,57 +181,81 @@ def diverging(text: str, rates: Rates) -> tuple[float, float, Counter]:
         elif diverges(own, rates, dense):
             apart += size
             linked += size * marked
-            found.update(own)
     if short_size and (not short or diverges(short, rates, dense)):
         apart += short_size
         linked += short_linked
-        found.update(short)
-    return apart / whole if whole else 0.0, linked / apart if apart else 0.0, found
+    known = [rates] if isinstance(rates, dict) else rates
+    return apart / whole if whole else 0.0, linked / apart if apart else 0.0, Counter({w: n for w, n in found.items() if not w.isdigit() and not any(w in of for of in known)})
+
+
+MEASURES = ("slope", "residual", "height")
 
 
 def curves(pages: DataFrame) -> DataFrame:
-    """(doc_id, apart, linked, different, used, slope, residual) of every page (doc_id, lang, text) whose larger part diverges.
+    """(doc_id, lang, band, words, apart, linked, slope, residual, height) of every page (doc_id, lang, text).
 
-    ``slope`` and ``residual`` are of the least-squares line through log frequency over log rank of the diverging words."""
+    A page comes out of Python as its histogram, how many words it uses how often, so that each point of its curve is a row,
+    not each word. Words used equally often share their mean rank. The line is fitted through log frequency over log rank, each
+    point with the number of its words as weight. ``band`` is the length in words as a power of two."""
     spark = pages.sparkSession
     own = pages.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     shared = spark.sparkContext.broadcast(by_language(prose_rates(own).collect()))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rates = shared.value
-        kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
+        kind = pa.list_(pa.struct([("n", pa.int32()), ("k", pa.int32())]))
         for batch in batches:
             out = defaultdict(list)
             for doc, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 apart, linked, found = diverging(text, rates.get(lang or "und", rates[""]))
-                if apart > 0:
-                    out["doc_id"].append(doc)
-                    out["apart"].append(apart)
-                    out["linked"].append(linked)
-                    out["words"].append([{"word": w, "n": n} for w, n in found.items()])
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["apart"], pa.float64()), pa.array(out["linked"], pa.float64()), pa.array(out["words"], kind)], names=["doc_id", "apart", "linked", "words"])
-
-    parts = own.select("doc_id", "lang", "text").mapInArrow(find, "doc_id long, apart double, linked double, words array<struct<word:string,n:int>>")
-    # the curve is fitted only where it can decide: pages whose larger part diverges
-    large = parts.where(F.col("apart") >= LARGER_PART)
-    each = large.select("doc_id", "apart", "linked", F.explode_outer("words").alias("w")).select("doc_id", "apart", "linked", "w.word", "w.n")
-    ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc_nulls_last("n"), "word")))
-    x, y = F.log(F.col("rank").cast("double")), F.log(F.col("n").cast("double"))
-    fitted = ranked.groupBy("doc_id").agg(
-        F.max("apart").alias("apart"),
-        F.max("linked").alias("linked"),
-        F.count("word").alias("different"),
-        F.sum("n").alias("used"),
-        F.regr_slope(y, x).alias("slope"),
-        F.regr_syy(y, x).alias("syy"),
-        F.regr_r2(y, x).alias("r2"),
-    )
-    residual = F.sqrt(F.greatest(F.col("syy") * (1 - F.coalesce("r2", F.lit(1.0))), F.lit(0.0)) / F.greatest("different", F.lit(1)))
-    # a single word said many times has no slope: it is as steep as can be
-    steep = F.when((F.col("different") < 2) & (F.col("used") > 2), F.lit(-99.0)).otherwise(F.coalesce("slope", F.lit(0.0)))
-    return fitted.select("doc_id", "apart", "linked", "different", "used", steep.alias("slope"), residual.alias("residual"))
+                out["doc_id"].append(doc)
+                out["lang"].append(lang or "und")
+                out["apart"].append(apart)
+                out["linked"].append(linked)
+                out["points"].append([{"n": n, "k": k} for n, k in Counter(found.values()).items()])
+            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["lang"], pa.string()), pa.array(out["apart"], pa.float64()), pa.array(out["linked"], pa.float64()), pa.array(out["points"], kind)], names=["doc_id", "lang", "apart", "linked", "points"])
+
+    parts = own.select("doc_id", "lang", "text").mapInArrow(find, "doc_id long, lang string, apart double, linked double, points array<struct<n:int,k:int>>")
+    page = ("doc_id", "lang", "apart", "linked")
+    # one row a page, by the key that the window and the sums need as well: one shuffle serves all
+    once = parts.groupBy("doc_id").agg(F.max(F.struct("apart", "linked", "lang", "points")).alias("x")).select("doc_id", "x.*")
+    each = once.select(*page, F.explode_outer("points").alias("p")).select(*page, F.coalesce("p.n", F.lit(1)).alias("n"), F.coalesce("p.k", F.lit(0)).alias("k"))
+    upto = F.sum("k").over(W.partitionBy("doc_id").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0))
+    points = each.select(*page, "n", "k", F.log(F.greatest(upto - (F.col("k") - 1) / 2, F.lit(1.0))).alias("x"), F.log(F.col("n").cast("double")).alias("y"))
+    weighted = lambda c, name: F.sum(F.col("k") * c).alias(name)
+    x, y = F.col("x"), F.col("y")
+    sums = points.groupBy("doc_id").agg(
+        *[F.max(c).alias(c) for c in page[1:]], F.sum("k").alias("w"), F.sum(F.col("n") * F.col("k")).alias("words"),
+        weighted(x, "wx"), weighted(y, "wy"), weighted(x * x, "wxx"), weighted(x * y, "wxy"), weighted(y * y, "wyy"),
+    )
+    w = F.greatest("w", F.lit(1))
+    sxx, sxy, syy = (F.greatest(F.col(p) / w - F.col(a) * F.col(b) / w / w, F.lit(0.0) if p != "wxy" else F.lit(-1e9)) for p, a, b in (("wxx", "wx", "wx"), ("wxy", "wx", "wy"), ("wyy", "wy", "wy")))
+    slope = F.when(sxx > 1e-9, sxy / sxx).otherwise(0.0)  # a single point has no slope, only a height
+    fitted = sums.withColumns({"slope": slope, "residual": F.sqrt(F.greatest(syy - slope * sxy, F.lit(0.0))), "height": F.log(F.greatest(F.col("words") / w, F.lit(1.0)))})
+    return fitted.select(*page[:2], F.floor(F.log2(F.greatest("words", F.lit(1)))).cast("int").alias("band"), "words", *page[2:], *MEASURES)
+
+
+def _usual(fitted: DataFrame, *keys: str) -> DataFrame:
+    """Median and spread of each measure by ``keys``, from sketches that are merged before and after the shuffle."""
+    quartiles = [F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(c) for c in MEASURES]
+    known = fitted.groupBy(*keys).agg(F.count("*").alias("pages"), *quartiles)
+    each = [F.struct(F.col(c)[1].alias("median"), F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(LEAST_SPREAD)).alias("spread")).alias(c) for c in MEASURES]
+    return known.select(*keys, "pages", F.struct(*each).alias("like"))
+
+
+def compared(fitted: DataFrame) -> DataFrame:
+    """``curves`` with ``steeper``, ``rougher`` and ``higher``: by how many spreads a page differs from the pages of its language
+    and length band, where there are ``LEAST_PAGES`` of them; else from those of its band in all languages, else from all pages."""
+    by_lang = _usual(fitted, "lang", "band").where(F.col("pages") >= LEAST_PAGES).select("lang", "band", F.col("like").alias("own"))
+    by_band = _usual(fitted, "band").where(F.col("pages") >= LEAST_PAGES).select("band", F.col("like").alias("of_band"))
+    every = _usual(fitted).select(F.col("like").alias("of_all"))
+    joined = known_rows(known_rows(fitted, by_lang, "lang", "band", how="left"), by_band, "band", how="left").join(F.broadcast(every))
+    like = F.coalesce("own", "of_band", "of_all")
+    apart = lambda c: (F.col(c) - like[c]["median"]) / like[c]["spread"]
+    return joined.select(*fitted.columns, (-apart("slope")).alias("steeper"), apart("residual").alias("rougher"), apart("height").alias("higher"))
 
 
 def stuffed(pages: DataFrame) -> DataFrame:
-    """``curves`` of the pages that consist of repeated keywords, bare links or tags in their larger part."""
-    return curves(pages).where((F.col("apart") >= LARGER_PART) & ((F.col("slope") <= STEEP) | (F.col("used") >= REPEATED * F.col("different")) | (F.col("linked") >= LINKED)))
+    """``compared`` curves of the pages that consist of repeated keywords, bare links or tags in their larger part."""
+    extreme = (F.greatest("steeper", "rougher", "higher") >= EXTREME) | (F.col("height") >= math.log(REPEATED) - 1e-9)
+    return compared(cut(curves(pages))).where((F.col("apart") >= LARGER_PART) & (extreme | (F.col("linked") >= LINKED)))

@@ -39,13 +39,22 @@ def test_curve_is_the_least_squares_line(spark):
     import numpy as np
 
     plain, _, _ = pages()
-    words = ["zip"] * 40 + ["zap"] * 20 + ["zop"] * 10 + ["zup"] * 5
-    rows = [(i, "en", t) for i, t in enumerate(plain)] + [(999, "en", " ".join(words))]
+    words = ["zip"] * 40 + ["zap"] * 20 + ["zop"] * 10 + ["zup"] * 5 + ["zep"] * 5
+    rows = [(i, "en", t) for i, t in enumerate(plain)] + [(999, "en", " ".join(words)), (999, "en", " ".join(words))]
     r = next(x for x in S.curves(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect() if x.doc_id == 999)
-    x, y = np.log([1, 2, 3, 4]), np.log([40, 20, 10, 5])
+    x, y = np.log([1, 2, 3, 4.5, 4.5]), np.log([40, 20, 10, 5, 5])  # equal uses share their mean rank
     slope, base = np.polyfit(x, y, 1)
-    assert abs(r.slope - slope) < 1e-9 and abs(r.residual - np.sqrt(((y - base - slope * x) ** 2).mean())) < 1e-9
-    assert (r.different, r.used) == (4, 75)
+    assert abs(r.slope - slope) < 1e-9 and abs(r.residual - np.sqrt(((y - base - slope * x) ** 2).mean())) < 1e-6
+    assert (r.words, r.band) == (80, 6) and abs(r.height - np.log(80 / 5)) < 1e-9
+
+
+def test_a_page_is_compared_with_its_like(spark):
+    schema = "doc_id long, lang string, band int, words long, apart double, linked double, slope double, residual double, height double"
+    like = [(i, "aa", 6, 80, 0.0, 0.0, -0.2 - 0.001 * (i % 5), 0.1, 0.1) for i in range(25)]
+    other = [(100 + i, "bb", 6, 80, 0.0, 0.0, -0.8 - 0.001 * (i % 5), 0.1, 0.1) for i in range(25)]
+    asked = [(900, "aa", 6, 80, 1.0, 0.0, -0.8, 0.1, 0.1), (901, "bb", 6, 80, 1.0, 0.0, -0.8, 0.1, 0.1), (902, "cc", 6, 80, 1.0, 0.0, -0.8, 0.1, 0.1)]
+    got = {r.doc_id: r.steeper for r in S.compared(spark.createDataFrame(like + other + asked, schema)).collect()}
+    assert len(got) == 53 and got[900] > 10 and abs(got[901]) < 1 and 0 <= got[902] < 10  # an unknown language is compared with all
 
 
 def test_edges(spark):
