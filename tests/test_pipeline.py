@@ -263,7 +263,7 @@ def test_convert_keeps_the_best_takes_and_trims_them(spark, tmp_path):
         def speak(self, texts, attempt=0, capped=True):
             def one(text):
                 bad = "Two" in text and attempt < 2 or "never" in text and capped
-                voice = np.full(60 * 8000 if bad else 800 * (attempt + 1), 0.5, dtype=np.float32)
+                voice = np.full(60 * 8000 if bad else 480 * len(text) + 80 * attempt, 0.5, dtype=np.float32)
                 return np.concatenate([np.zeros(4000, dtype=np.float32), voice, np.zeros(8000, dtype=np.float32)])
 
             return [one(t) for t in texts]
@@ -279,8 +279,8 @@ def test_convert_keeps_the_best_takes_and_trims_them(spark, tmp_path):
     rows = made["placed"].join(state.clips(spark, root, fp16).select(F.col("clip_key").alias("key"), F.col("n_samples").alias("whole")), "key").collect()
     assert rows
     for r in rows:
-        take = 800 * (3 if "Two" in r.text else 1)
-        assert r.whole == take + 12000 and r.n_samples == take + 2 * 400  # the pad stays on both sides
+        take = 480 * len(r.text) + 80 * (2 if "Two" in r.text else 0)
+        assert r.whole == take + 12000 and r.n_samples == -(-take // 80) * 80 + 2 * 400  # the pad stays on both sides
     again = pipeline.convert(spark, t, root, engine)
     assert again["missing"].count() == 0 and again["stale"].count() == 0
 
