@@ -11,6 +11,7 @@ into whole containers and one rest, which is packed like any other; a kind witho
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 
 from folioflow.session import cut
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+TOKENIZER = os.environ.get("FOLIOFLOW_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")  # a path all executors have
 GROUP = 4096
 TOKENS_A_SEGMENT = 16  # a container takes one segment for so many tokens of its capacity, at least MIN_SEGMENTS
 MIN_SEGMENTS = 4
-LOSS_SHARE = 1.0  # share of the capacity that loss-bearing tokens may fill
+LOSS_SHARE = 1.0  # share of the capacity that loss-bearing tokens may fill; below 1 it binds, and space is left for prompts
 #: Fixed value: the public pattern the vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ANSWER = re.compile(r"\A\s*Q:.*?\n(?=A:|->)", re.DOTALL)
@@ -61,30 +62,36 @@ def sized(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def packed(demands: np.ndarray, limits: np.ndarray) -> list[list[int]]:
-    """Containers as lists of item rows. ``demands`` has a row per item, none of which exceeds ``limits``."""
-    size = demands / limits
-    scarce = size.mean(axis=0) if len(size) else np.zeros(len(limits))
-    left_over = np.arange(len(size))
+    """Containers as lists of item rows. ``demands`` has a row per item, none of which exceeds ``limits``.
+
+    Items with the same demands are alike to the heuristic, so it looks at each such class once, however many items it has."""
+    if not len(demands):
+        return []
+    kinds, of, counts = np.unique(demands, axis=0, return_inverse=True, return_counts=True)
+    members = [list(x) for x in np.split(np.argsort(of.ravel(), kind="stable")[::-1], np.cumsum(counts[::-1])[:-1])][::-1]
+    size = kinds / limits
+    scarce = (size * counts[:, None]).sum(axis=0) / counts.sum()
     containers = []
-    while len(left_over):
+    while len(size):
         left, own = np.ones(len(limits)), []
-        items = size[left_over]
-        alive = np.ones(len(left_over), dtype=bool)
-        while True:
-            fits = alive & (items <= left + 1e-12).all(axis=1)
-            if not fits.any():
+        alive = np.arange(len(size))
+        while len(alive):
+            alive = alive[(size[alive] <= left + 1e-12).all(axis=1)]
+            if not len(alive):
                 break
-            score = np.where(fits, items @ (scarce * left), -1.0)
-            k = int(score.argmax())
-            own.append(int(left_over[k]))
-            alive[k] = False
-            left = left - items[k]
+            k = int(alive[(size[alive] @ (scarce * left)).argmax()])
+            own.append(int(members[k].pop()))
+            left = left - size[k]
+            if not members[k]:
+                alive = alive[alive != k]
         containers.append(own)
-        left_over = left_over[alive]
+        there = np.array([bool(m) for m in members])
+        if not there.all():
+            size, members = size[there], [m for m in members if m]
     return containers
 
 
-SCHEMA = "container_kind string, container_id long, position int, doc_id long, start_token int, end_token int"
+SCHEMA = "container_kind string, container_id long, position int, doc_id long, start_token int, end_token int, loss_tokens int"
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -94,45 +101,60 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     tokens = pdf["end_token"].to_numpy() - pdf["start_token"].to_numpy()
     # the first item needs no separator: with one more of them in the capacity, every item brings its own
     demands = np.column_stack([tokens + separator, np.ones(len(pdf)), pdf["loss_tokens"].to_numpy()]).astype(float)
-    limits = np.array([capacity + separator, max(MIN_SEGMENTS, capacity // TOKENS_A_SEGMENT), max(1.0, LOSS_SHARE * capacity)], dtype=float)
+    limits = np.array([capacity + separator, first["segments"], first["loss_most"]], dtype=float)
     made = packed(demands, limits)
     order = [i for own in made for i in own]
-    out = pdf.loc[order, ["container_kind", "doc_id", "start_token", "end_token"]].reset_index(drop=True)
+    out = pdf.loc[order, ["container_kind", "doc_id", "start_token", "end_token", "loss_tokens"]].reset_index(drop=True)
     out["container_id"] = np.repeat(np.arange(len(made)), [len(x) for x in made]) + int(first["part"]) * (1 << 20)
     out["position"] = [k for own in made for k in range(len(own))]
     return out[[c.split()[0] for c in SCHEMA.split(", ")]]
 
 
-def assigned(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Every document assigned to containers of every kind: (container_kind, container_id, position, doc_id, start_token, end_token).
+def limited(containers: DataFrame, tokens_a_segment: int, loss_share: float) -> DataFrame:
+    """(container_kind, capacity_tokens, separator_tokens, segments, loss_most): the simultaneous limits of each usable kind."""
+    kinds = containers.where("capacity_tokens > 0 and container_kind is not null").dropDuplicates(["container_kind"])
+    segments = F.greatest(F.lit(MIN_SEGMENTS), F.floor(F.col("capacity_tokens") / tokens_a_segment)).cast("int")
+    return kinds.select("container_kind", "capacity_tokens", F.coalesce("separator_tokens", F.lit(0)).alias("separator_tokens"), segments.alias("segments"), F.greatest(F.lit(1), F.floor(F.col("capacity_tokens") * loss_share)).cast("int").alias("loss_most"))
 
-    ``containers`` is the small table of kinds (container_kind, capacity_tokens, separator_tokens). Texts are counted once;
-    only ids and sizes are shuffled."""
+
+def assigned(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER, tokens_a_segment: int = TOKENS_A_SEGMENT, loss_share: float = LOSS_SHARE) -> DataFrame:
+    """Every document assigned to containers of every kind: (container_kind, container_id, position, doc_id, start_token, end_token, loss_tokens).
+
+    ``containers`` is the small table of kinds (container_kind, capacity_tokens, separator_tokens). A container takes one segment
+    for every ``tokens_a_segment`` tokens of its capacity, and ``loss_share`` of its capacity in loss-bearing tokens; a text
+    that bears more is cut by that limit. Texts are counted once; only ids and sizes are shuffled."""
     sizes = cut(sized(documents, tokenizer))
     parts = max(1, -(-sizes.count() // GROUP))
-    kinds = containers.where("capacity_tokens > 0 and container_kind is not null").dropDuplicates(["container_kind"]).select("container_kind", "capacity_tokens", F.coalesce("separator_tokens", F.lit(0)).alias("separator_tokens"))
-    fixed = kinds.collect()  # a fixed table of three rows
+    fixed = limited(containers, tokens_a_segment, loss_share).collect()  # a fixed table of three rows
     if not fixed:
         return documents.sparkSession.createDataFrame([], SCHEMA)
-    of_kind: Column = F.array(*[F.struct(F.lit(r[0]).alias("container_kind"), F.lit(r[1]).alias("capacity_tokens"), F.lit(r[2]).alias("separator_tokens")) for r in fixed])
+    names = ("container_kind", "capacity_tokens", "separator_tokens", "segments", "loss_most")
+    of_kind: Column = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(names, r, strict=True)]) for r in fixed])
     each = sizes.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).select("*", F.explode(of_kind).alias("k")).select("doc_id", "tokens", "loss_tokens", "part", "k.*")
-    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("tokens") / F.col("capacity_tokens")) - 1, F.lit(0)).cast("int"))
-    cut_up = each.withColumn("i", F.explode(pieces)).withColumn("start_token", F.col("i") * F.col("capacity_tokens"))
-    cut_up = cut_up.withColumn("end_token", F.least("tokens", F.col("start_token") + F.col("capacity_tokens")))
+    # a text within both limits is whole; one beyond either is cut at the smaller, so that no piece exceeds any
+    whole = (F.col("tokens") <= F.col("capacity_tokens")) & (F.col("loss_tokens") <= F.col("loss_most"))
+    each = each.withColumn("step", F.when(whole, F.col("capacity_tokens")).otherwise(F.least("capacity_tokens", "loss_most")))
+    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("tokens") / F.col("step")) - 1, F.lit(0)).cast("int"))
+    cut_up = each.withColumn("i", F.explode(pieces)).withColumn("start_token", F.col("i") * F.col("step"))
+    cut_up = cut_up.withColumn("end_token", F.least("tokens", F.col("start_token") + F.col("step")))
     share = F.col("loss_tokens") - (F.col("tokens") - F.col("end_token"))  # loss-bearing tokens stand at the end
     cut_up = cut_up.withColumn("loss_tokens", F.greatest(F.lit(0), F.least(share, F.col("end_token") - F.col("start_token"))))
     return cut_up.groupBy("container_kind", "part").applyInPandas(_pack, SCHEMA)
 
 
-def fill(packs: DataFrame, containers: DataFrame) -> DataFrame:
-    """(container_kind, containers, items, tokens, filled): how well each kind is filled, separators counted."""
-    each = packs.groupBy("container_kind", "container_id").agg(F.count("*").alias("items"), F.sum(F.col("end_token") - F.col("start_token")).alias("tokens"))
-    known = containers.select("container_kind", "capacity_tokens", "separator_tokens").dropDuplicates(["container_kind"])
-    of = each.join(F.broadcast(known), "container_kind")
+def fill(packs: DataFrame, containers: DataFrame, tokens_a_segment: int = TOKENS_A_SEGMENT, loss_share: float = LOSS_SHARE) -> DataFrame:
+    """(container_kind, containers, items, tokens, filled, least_containers): how well each kind is filled, separators counted.
+    No packing can do with fewer than ``least_containers``, which is what the scarcest of the three limits asks for."""
+    each = packs.groupBy("container_kind", "container_id").agg(F.count("*").alias("items"), F.sum(F.col("end_token") - F.col("start_token")).alias("tokens"), F.sum("loss_tokens").alias("loss"))
+    of = each.join(F.broadcast(limited(containers, tokens_a_segment, loss_share)), "container_kind")
     used = F.col("tokens") + (F.col("items") - 1) * F.col("separator_tokens")
+    taken = F.sum(F.col("tokens") + F.col("items") * F.col("separator_tokens"))
+    most = lambda c: F.max(c)
+    least = F.greatest(F.ceil(taken / (most("capacity_tokens") + most("separator_tokens"))), F.ceil(F.sum("items") / most("segments")), F.ceil(F.sum("loss") / most("loss_most")))
     return of.groupBy("container_kind").agg(
         F.count("*").alias("containers"),
         F.sum("items").alias("items"),
         F.sum("tokens").alias("tokens"),
         F.round(F.sum(used) / F.sum("capacity_tokens"), 6).alias("filled"),
+        least.alias("least_containers"),
     )

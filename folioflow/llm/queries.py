@@ -104,6 +104,16 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p6_pack(spark, sf_dir), table(spark, sf_dir, "containers"))
 
 
+TIGHT = {"tokens_a_segment": 100, "loss_share": 0.75}  # limits on segments and loss-bearing tokens that bind
+
+
+def p6_tight_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fill under limits that all bind, as for instruction data."""
+    kinds = table(spark, sf_dir, "containers")
+    packs = packing.assigned(scanned(table(spark, sf_dir, "documents").select("doc_id", "text")), kinds, **TIGHT)
+    return packing.fill(packs, kinds, **TIGHT)
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(scanned(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"))
 
@@ -148,6 +158,7 @@ QUERIES = {
     "p5_pieces": p5_pieces,
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,
+    "p6_tight_fill": p6_tight_fill,
     "p7_found": p7_found,
     "p7_matches": p7_matches,
     "p7_kept": p7_kept,
