@@ -1,8 +1,8 @@
 """Problem 7: evaluation passages inside training texts.
 
 Method: training suffix arrays. The corpus is cut into shards; in each, the suffixes of the word stream are sorted, and
-every suffix of every test item is looked up by binary search. Each hit is extended to the longest verbatim match with its
-place. The matches of one document and item are then put in order within one place of the document; a document that holds
+every suffix of every test item is looked up by binary search, which gives its longest verbatim match and, from what
+neighbours in the array share, all others with their places. The matches of one document and item are then put in order within one place of the document; a document that holds
 at least half of an item's words so is affected and can be removed.
 
 Words are compared without case, punctuation, blanks and look-alike spellings; Chinese and Japanese by character. Null and
@@ -10,6 +10,7 @@ empty texts hold nothing; empty items leak nowhere; repeated rows count once; te
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -44,7 +45,7 @@ def words(text: str) -> list[str]:
 
 
 class Items:
-    """The test items as one stream, with its suffixes ranked by their first ``SEED`` words."""
+    """The test items as one stream of words, and its suffixes."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.words = [], []
@@ -63,7 +64,17 @@ class Items:
         self.stream, self.owner, self.place = (np.array(x, dtype=np.int64) for x in (stream, owner, place))
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.levels: list[np.ndarray] = []
-        self.ranks = self._ranked(self.stream, learn=True)
+        ranks = self._ranked(self.stream, learn=True)
+        # every different test suffix of at least SEED words: its words, the first place that has it, its rank, and all places
+        raw, ends = self.stream.astype(">u4").tobytes(), np.nonzero(self.stream < 0)[0]
+        tests: dict[bytes, list[int]] = {}
+        for i in np.nonzero(ranks >= 0)[0].tolist():
+            tests.setdefault(raw[4 * i : 4 * int(ends[np.searchsorted(ends, i)])], []).append(i)
+        self.test_keys = list(tests)
+        self.test_places = np.array([own[0] for own in tests.values()], dtype=np.int64)
+        self.test_ranks = ranks[self.test_places]
+        self.test_owners = np.array([i for own in tests.values() for i in own], dtype=np.int64)
+        self.test_ends = np.cumsum([0, *map(len, tests.values())])
 
     def _ranked(self, stream: np.ndarray, learn: bool = False) -> np.ndarray:
         """Rank of each position's first ``SEED`` words among those of the items, in word order; -1 where the items don't have them."""
@@ -83,31 +94,79 @@ class Items:
             now = np.where(good & (level[at] == key), at, -1)
         return now
 
-    def matches(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Longest verbatim matches of all test suffixes in one shard: (place in the shard, place in the items, words)."""
+    def _common(self, a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, known: int) -> np.ndarray:
+        """How many words the suffixes of ``a`` at places ``x`` share with those of ``b`` at ``y``, of which ``known`` are the same."""
+        size, live = np.full(len(x), known, dtype=np.int64), np.arange(len(x))
+        while len(live):
+            i, j = x[live] + size[live], y[live] + size[live]
+            inside = (i < len(a)) & (j < len(b))
+            live, i, j = live[inside], i[inside], j[inside]
+            live = live[(a[i] == b[j]) & (a[i] >= 0)]
+            size[live] += 1
+        return size
+
+    def suffix_array(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Places of the shard's suffixes in the order of their words, to their end or the longest item's length; the rank of
+        their first words; the suffixes themselves; and how many words each shares with the one before it. A suffix whose first
+        ``SEED`` words stand in no item can't match any and is left out."""
         ranks = self._ranked(stream)
-        suffixes = np.nonzero(ranks >= 0)[0]
-        suffixes = suffixes[np.argsort(ranks[suffixes], kind="stable")]  # the shard's suffix array, as far as test suffixes reach
-        sorted_ranks = ranks[suffixes]
-        tests = np.nonzero(self.ranks >= 0)[0]
-        lo, hi = np.searchsorted(sorted_ranks, self.ranks[tests], "left"), np.searchsorted(sorted_ranks, self.ranks[tests], "right")
-        n = hi - lo
-        tests, lo, n = tests[n > 0], lo[n > 0], n[n > 0]
-        t = np.repeat(tests, n)
-        s = suffixes[np.repeat(lo, n) + np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)]
+        starts = np.nonzero(ranks >= 0)[0]
+        stops = np.append(np.nonzero(stream < 0)[0], len(stream))
+        ends = np.minimum(stops[np.searchsorted(stops, starts)], starts + int(self.sizes.max(initial=0)))
+        raw = stream.astype(">u4").tobytes()
+        keys = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        places = starts[order]
+        shared = np.zeros(len(places), dtype=np.int64)
+        if len(places) > 1:
+            shared[1:] = self._common(stream, places[:-1], stream, places[1:], 0)
+        return places, ranks[places], [keys[k] for k in order], shared
+
+    def matches(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Longest verbatim matches of all test suffixes in one shard: (place in the shard, place in the items, words).
+
+        Every different test suffix is looked up once by binary search, whichever items share it. Its longest match stands beside
+        the place found; what the suffixes further off share with it is the least they share with one another on the way."""
+        places, ranks, keys, shared = self.suffix_array(stream)
+        none = np.zeros(0, dtype=np.int64)
+        lo, hi = (np.searchsorted(ranks, self.test_ranks, side) for side in ("left", "right"))
+        known = np.nonzero(hi > lo)[0]
+        if not len(known):
+            return none, none, none
+        lo, hi, first = lo[known], hi[known], self.test_places[known]
+        at = np.array([bisect_left(keys, self.test_keys[k], a, b) for k, a, b in zip(known.tolist(), lo.tolist(), hi.tolist(), strict=True)])
+        beside = [self._common(stream, places[np.clip(x, lo, hi - 1)], self.stream, first, SEED) for x in (at - 1, at)]
+        # each test suffix with all suffixes of the shard that begin with its first words
+        count = hi - lo
+        q = np.repeat(np.arange(len(known)), count)
+        j = np.arange(len(q)) - np.repeat(np.cumsum(count) - count, count) + lo[q]
+        below = j < at[q]
+        size = np.where(below, beside[0][q], beside[1][q])
+        start, end = np.where(below, j + 1, at[q] + 1), np.where(below, at[q] - 1, j)  # what lies between them in the array
+        far = np.nonzero(start <= end)[0]
+        size[far] = np.minimum(size[far], _least(shared, start[far], end[far]))
+        # and with every item that has it
+        owners = self.test_ends[known + 1] - self.test_ends[known]
+        n = owners[q]
+        s, size = np.repeat(places[j], n), np.repeat(size, n)
+        t = self.test_owners[np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.test_ends[known][q], n)]
         # matches that go on to the left are part of a longer one
         left = (s > 0) & (t > 0)
         left[left] = (stream[s[left] - 1] == self.stream[t[left] - 1]) & (stream[s[left] - 1] >= 0)
-        s, t = s[~left], t[~left]
-        size, live = np.full(len(s), SEED, dtype=np.int64), np.arange(len(s))
-        while len(live):
-            a, b = s[live] + size[live], t[live] + size[live]
-            inside = (a < len(stream)) & (b < len(self.stream))
-            live, a, b = live[inside], a[inside], b[inside]
-            same = (stream[a] == self.stream[b]) & (stream[a] >= 0)
-            live = live[same]
-            size[live] += 1
-        return s, t, size
+        return s[~left], t[~left], size[~left]
+
+
+def _least(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The least of ``values`` from each ``start`` to ``end``, both counted, by minima over runs of powers of two."""
+    if not len(start):
+        return start
+    level = np.log2(end - start + 1).astype(np.int64)
+    out, table = np.empty(len(start), dtype=np.int64), values
+    for k in range(int(level.max()) + 1):
+        own = np.nonzero(level == k)[0]
+        out[own] = np.minimum(table[start[own]], table[end[own] - (1 << k) + 1])
+        table = np.minimum(table[: -(1 << k)], table[1 << k :]) if len(table) > 1 << k else table
+    return out
 
 
 def in_order(item: list[int], doc: list[int]) -> int:
@@ -184,6 +243,17 @@ def _leaks(shard: list[tuple[int, list[int]]], items: Items) -> list[tuple[int,
     return out
 
 
+_ITEMS: dict[object, Items] = {}
+
+
+def _items(shared) -> Items:
+    """The items of a broadcast, made ready once a worker."""
+    if shared not in _ITEMS:
+        _ITEMS.clear()
+        _ITEMS[shared] = Items(shared.value)
+    return _ITEMS[shared]
+
+
 SCHEMA = "doc_id long, item_id long, longest_match int, share double"
 
 
@@ -202,7 +272,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in sorted(rows)])
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value)
+            items = _items(shared)
             of = items.vocabulary.get
 
             def found(shard: list[tuple[int, list[int]]]) -> pa.RecordBatch:
@@ -213,12 +283,14 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
             for batch in batches:
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     own = [of(w, -1) for w in words(text)]
+                    if not items.ids:
+                        continue
                     shard.append((doc, own))
                     held += len(own)
-                    if held >= SHARD_WORDS and items.ids:
+                    if held >= SHARD_WORDS:
                         yield found(shard)
                         shard, held = [], 0
-            if shard and items.ids:
+            if shard:
                 yield found(shard)
 
         return texts.mapInArrow(look, SCHEMA)

@@ -72,6 +72,26 @@ def test_matches_are_the_longest(spark):
     assert [r.doc_id for r in kept.collect()] == [2]
 
 
+def test_suffix_array_against_plain_search():
+    rng = random.Random(9)
+    words = list("abcde")
+    items = K.Items([(j, " ".join(rng.choice(words) for _ in range(rng.randint(4, 20)))) for j in range(9)])
+    for _ in range(30):
+        stream = np.array([items.vocabulary.get(rng.choice([*words, "x"]), -1) for _ in range(80)] + [-1])
+        places, ranks, keys, shared = items.suffix_array(stream)
+        assert keys == sorted(keys) and (np.diff(ranks) >= 0).all()
+        want = set()
+        for s in range(len(stream)):
+            for t in range(len(items.stream)):
+                n = 0
+                while s + n < len(stream) and t + n < len(items.stream) and stream[s + n] == items.stream[t + n] >= 0:
+                    n += 1
+                if n >= K.SEED and not (s and t and stream[s - 1] == items.stream[t - 1] >= 0):
+                    want.add((s, t, n))
+        got = list(zip(*(x.tolist() for x in items.matches(stream)), strict=True))
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_marks_taken_away(spark):
     item = "C’était le registre que Mme Ort a caché. Elle paya 7.29 francs pour Vale’s café, ce matin-là, près du marché."
     doc = "avant " + item.replace("’", "").replace("-", "").replace(".", "").replace(",", "") + " après"
