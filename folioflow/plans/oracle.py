@@ -155,3 +155,36 @@ SELECT book_id, toc_pos, doc_pos, title FROM n WHERE NOT (label AND named IS NOT
 SELECT book_id, coalesce(nullif(trim(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'book') AS slug, {KEY.format('t')} AS key, {ESCAPE.format('t')} AS escaped, CASE WHEN length(t) > 20 THEN substr(t, 1, 19) || '…' ELSE t END AS short FROM t""",
     "collapsed": f"WITH {PARAS} SELECT para_id, trim(regexp_replace(regexp_replace(text, '{WS}*\\[\\d{{1,3}}\\]', '', 'g'), '{WS}+', ' ', 'g'), ' ') AS text FROM paras WHERE text IS NOT NULL",
 }
+
+_LEAD, _VOICE, _TRAIL = "(length(text) * 13 % 1900)", "(length(text) * 29 % 4000)", "(length(text) * 7 % 1500)"
+_COLLAPSED = f"trim(regexp_replace(regexp_replace(text, '{WS}*\\[\\d{{1,3}}\\]', '', 'g'), '{WS}+', ' ', 'g'), ' ')"
+_LABELLED = f"length(t) <= {LABEL_MAX_CHARS} AND regexp_matches(lower(t), '^(chapter|part|book)[\\s\\x{{00A0}}]+(\\d{{1,3}}|[ivxlcdm]{{1,7}}|({NUMBER_WORDS})([- ]({NUMBER_WORDS}))?)([^a-z0-9]|$)')"
+
+SQL |= {
+    "title_bytes": f"""WITH {BOOKS}, t AS (SELECT book_id, coalesce(title, '') AS t FROM bks),
+c AS (SELECT *, substr(t, 1, list_max(list_filter(range(0, length(t) + 1), lambda i: strlen(substr(t, 1, i)) <= 21))) AS c FROM t)
+SELECT book_id, CASE WHEN strlen(t) <= 24 THEN t ELSE regexp_replace(CASE WHEN contains(c, ' ') THEN regexp_extract(c, '(?s)^(.*) ', 1) ELSE c END, '[ ,;:]+$', '') || '…' END AS cut FROM c""",
+    "running_headers_planted": f"""WITH {PARAS}, {BOOKS}, planted AS (SELECT book_id, doc_pos, para_pos, kind, text FROM paras UNION ALL SELECT s.book_id, doc_pos, -1, 'heading', upper(title) FROM spine_docs s JOIN bks USING (book_id) WHERE doc_pos % 2 = 1 AND title IS NOT NULL),
+h AS (SELECT book_id, doc_pos, min(para_pos) AS heading_pos, arg_min(coalesce(text, ''), para_pos) AS heading FROM planted WHERE kind = 'heading' GROUP BY ALL),
+hits AS (SELECT h.* FROM h JOIN spine_docs USING (book_id, doc_pos) JOIN bks USING (book_id) WHERE title <> '' AND {KEY.format('heading')} = {KEY.format('title')})
+SELECT book_id, doc_pos, heading_pos FROM hits QUALIFY count(*) OVER (PARTITION BY book_id) >= 3 AND row_number() OVER (PARTITION BY book_id ORDER BY doc_pos) > 1""",
+    "retry_rounds": f"""WITH {TAKES}, have AS (SELECT key, min(miss) AS miss, max(attempt) AS attempts FROM missed WHERE attempt <= length(text) % 3 GROUP BY key)
+SELECT key, attempts + 1 AS attempt, attempts < 2 AS capped FROM have WHERE miss > 0 AND (attempts < 2 OR miss = 'inf'::DOUBLE)""",
+    "retry_settled": f"""WITH {USES}, takes AS (
+  SELECT key, text, attempt, attempt < 3 AS capped, length(text) * ((length(text) + attempt * 3) % 7 + 1) * 0.0235::DOUBLE AS seconds, 2.0::DOUBLE + 0.1::DOUBLE * length(text) AS most,
+    CASE WHEN length(text) < 20 THEN 0 ELSE 0.045::DOUBLE * length(text) END AS least FROM uses, (VALUES (0), (1), (2), (3)) a(attempt)
+), missed AS (SELECT *, CASE WHEN capped AND seconds > most THEN 'inf'::DOUBLE ELSE greatest(least - seconds, seconds - most, 0) END AS miss FROM takes),
+ends AS (SELECT key, coalesce(min(attempt) FILTER (miss = 0 AND attempt < 3), CASE WHEN min(miss) FILTER (attempt < 3) = 'inf'::DOUBLE THEN 3 ELSE 2 END) AS attempts FROM missed GROUP BY key),
+best AS (SELECT m.*, attempts, row_number() OVER (PARTITION BY m.key ORDER BY miss, attempt) AS rn FROM missed m JOIN ends USING (key) WHERE attempt <= attempts)
+SELECT key, attempt, CASE WHEN attempts = 0 THEN NULL WHEN miss = 0 THEN 'recovered at attempt ' || attempt ELSE 'kept attempt ' || attempt || ' of ' || attempts END AS note FROM best WHERE rn = 1""",
+    "chapter_plans": f"""WITH {GAPS} SELECT book_id, chapter_idx, count(*)::INT AS clips, md5(string_agg(substr(sha256(text), 1, 32), ' ' ORDER BY sent_idx, sent_id)) AS keys,
+  md5(string_agg(round(gap * 100)::INT::VARCHAR, ' ' ORDER BY sent_idx, sent_id)) AS gaps FROM gaps GROUP BY ALL""",
+    "stale_chapters": f"WITH {SENTS}, voiced AS (SELECT DISTINCT sent_id FROM sentences WHERE clip_key IS NOT NULL) SELECT DISTINCT book_id, chapter_idx FROM st ANTI JOIN voiced USING (sent_id) WHERE text IS NOT NULL",
+    "engine_chars": "SELECT engine, greatest(1, floor((max_sentence / 4.0::DOUBLE - 2.0::DOUBLE) / 0.1::DOUBLE))::BIGINT AS chars FROM engine_limits",
+    "trimmed_samples": f"""WITH {USES}, clip AS (SELECT key, {_LEAD}::BIGINT AS lead, {_VOICE}::BIGINT AS voice, {_TRAIL}::BIGINT AS trail FROM uses)
+SELECT key, CASE WHEN voice = 0 OR lead + voice + trail < 80 THEN lead + voice + trail
+  ELSE least(lead + voice + trail, (lead + voice + 79) // 80 * 80 + 400) - greatest(0, lead // 80 * 80 - 400) END AS samples FROM clip""",
+    "epub_round_trip": f"""WITH {PARAS}, c AS (SELECT para_id, kind, {_COLLAPSED} AS t FROM paras WHERE text IS NOT NULL)
+SELECT para_id, 'Book ' || para_id AS title, 'Writer ' || para_id % 7 AS author, 'picture ' || para_id AS cover, 'd' || para_id % 5 AS doc_id, 'a ' || para_id || '.xhtml' AS href, 'Entry ' || para_id AS entry,
+  'a ' || para_id || '.xhtml#x' AS target, 2 AS depth, CASE WHEN kind = 'row' THEN 'row' WHEN kind = 'heading' OR {_LABELLED} THEN 'heading' ELSE 'body' END AS kind, t AS text FROM c WHERE t <> ''""",
+}

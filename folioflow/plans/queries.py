@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import html
+import zipfile
+from io import BytesIO
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +15,11 @@ from folioflow.functions import markup, speech, timing
 from folioflow.functions import text as T
 from folioflow.operators import chapters as C
 from folioflow.operators import clips as K
-from folioflow.operators import retries, timeline
+from folioflow.operators import engines, retries, timeline
 from folioflow.plans import pipeline
 from folioflow.plans.oracle import SQL as SQL
 from folioflow.session import scanned, spread
+from folioflow.sources import epub
 from folioflow.sources.tables import table
 
 FRAME_RATE = 12.5
@@ -141,6 +148,91 @@ def retry_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retries.best_takes(_takes(spark, sf_dir)).select("key", "attempt", "note")
 
 
+def retry_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is spoken next when one, two or three takes of a text are there."""
+    takes = _takes(spark, sf_dir).where(F.col("attempt") <= F.pmod(F.length("text"), F.lit(3)))
+    return retries.unsettled(takes).select("key", "attempt", "capped")
+
+
+def retry_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The take kept after all rounds, where how long a take is follows from the text and the attempt."""
+    seconds = F.length("text") * (F.pmod(F.length("text") + F.col("attempt") * 3, F.lit(7)) + 1) * 0.0235
+    first = K.first_uses(_sentences(spark, sf_dir)).select("key", "text", F.lit(0).alias("attempt"), F.lit(True).alias("capped"), F.lit(0.0).alias("seconds")).withColumn("seconds", seconds)
+    return retries.settled(first, lambda again: again.withColumn("seconds", seconds)).select("key", "attempt", "note")
+
+
+def chapter_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every chapter should consist of, its keys and gaps as digests."""
+    plans = K.chapter_plans(_sentences(spark, sf_dir), "silence")
+    gaps = F.array_join(F.transform("gap_after", lambda g: F.round(g * 100).cast("int").cast("string")), " ")
+    return plans.select("book_id", "chapter_idx", F.size("clip_keys").alias("clips"), F.md5(F.array_join("clip_keys", " ")).alias("keys"), F.md5(gaps).alias("gaps"))
+
+
+def stale_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters whose plan differs from one of the sentences that are voiced."""
+    all_of = K.chapter_plans(_sentences(spark, sf_dir), "silence")
+    voiced = table(spark, sf_dir, "sentences").where("clip_key is not null").select("sent_id", "book_id", "chapter_idx", "sent_idx", "para_id", "kind", "text").distinct()
+    return K.stale(all_of, K.chapter_plans(voiced, "silence")).select("book_id", "chapter_idx")
+
+
+def engine_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most characters that fit so many seconds, for the limits of every engine."""
+    return table(spark, sf_dir, "engine_limits").select("engine", timing.max_chars_within(F.col("max_sentence") / 4.0).alias("chars"))
+
+
+def trimmed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips with quiet ends of many lengths: how many samples a chapter takes of each."""
+    uses = K.first_uses(_sentences(spark, sf_dir)).select("key", F.length("text").alias("n"))
+
+    def cut(batches):
+        for pdf in batches:
+            sizes = []
+            for n in pdf["n"]:
+                parts = (np.zeros(n * 13 % 1900), np.full(n * 29 % 4000, 0.5), np.zeros(n * 7 % 1500))
+                sizes.append(len(engines.trimmed(np.concatenate(parts).astype(np.float32), 8000)))
+            yield pdf.assign(samples=sizes)
+
+    return uses.mapInPandas(cut, "key string, n int, samples long").select("key", "samples")
+
+
+def _packed_book(key: int, kind: str | None, text: str) -> bytes:
+    """A book of one document, as a file."""
+    body = html.escape(text)
+    body = f"<h2>{body}</h2>" if kind == "heading" else f"<table><tr><td>{body}</td></tr></table>" if kind == "row" else f"<div><p>{body}</p></div>"
+    files = {
+        "META-INF/container.xml": "<container xmlns='urn:oasis:names:tc:opendocument:xmlns:container'><rootfiles><rootfile full-path='o/b.opf'/></rootfiles></container>",
+        "o/b.opf": "<package xmlns='http://www.idpf.org/2007/opf' xmlns:dc='http://purl.org/dc/elements/1.1/'><metadata>"
+        f"<dc:title>Book  {key}</dc:title><dc:creator> </dc:creator><dc:creator>Writer {key % 7}</dc:creator></metadata><manifest><item id='n' href='t.ncx' media-type='application/x-dtbncx+xml'/>"
+        f"<item id='p' href='c.jpg' media-type='image/jpeg' properties='cover-image'/><item id='d{key % 5}' href='a%20{key}.xhtml' media-type='application/xhtml+xml'/></manifest><spine toc='n'><itemref idref='d{key % 5}'/><itemref idref='gone'/></spine></package>",
+        "o/t.ncx": f"<ncx xmlns='http://www.daisy.org/z3986/2005/ncx/'><navMap><navPoint><navLabel><text>Part</text></navLabel><navPoint><navLabel><text>Entry {key}</text></navLabel><content src='a%20{key}.xhtml#x'/></navPoint></navPoint></navMap></ncx>",
+        "o/c.jpg": f"picture {key}",
+        f"o/a {key}.xhtml": f"<html xmlns='http://www.w3.org/1999/xhtml'><head><title>t</title></head><body><nav>left out</nav>{body}</body></html>",
+    }
+    held = BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for name, content in files.items():
+            z.writestr(name, content)
+    return held.getvalue()
+
+
+def epub_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph packed as a book and read again: title, author, cover, document, contents, kind and text."""
+    rows = _paragraphs(spark, sf_dir).where("text is not null").select("para_id", "kind", "text")
+
+    def read(batches):
+        for pdf in batches:
+            made = []
+            for key, kind, text in pdf.itertuples(index=False):
+                b = epub.read_book(_packed_book(key, kind, text), "stem")
+                doc, entry = b["docs"][0], b["toc"][0]
+                head = (key, b["title"], b["author"], b["cover"].decode(), doc["doc_id"], doc["href"], entry["title"], entry["href"], entry["depth"])
+                made += [(*head, p["kind"], p["text"]) for p in doc["paras"]]
+            yield pd.DataFrame(made, columns=[c.split()[0] for c in schema.split(", ")])
+
+    schema = "para_id long, title string, author string, cover string, doc_id string, href string, entry string, target string, depth int, kind string, text string"
+    return rows.mapInPandas(read, schema)
+
+
 def doc_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.kept_docs(table(spark, sf_dir, "spine_docs"), _paragraphs(spark, sf_dir)).select("book_id", "doc_pos", "body_chars")
 
@@ -153,6 +245,15 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.toc_targets(table(spark, sf_dir, "toc"), table(spark, sf_dir, "spine_docs"))
 
 
+def running_headers_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where every document with an odd place in its book begins with the book's title."""
+    books = _books(spark, sf_dir)
+    titles = books.where("title is not null").select("book_id", "title")
+    odd = table(spark, sf_dir, "spine_docs").where("doc_pos % 2 = 1").join(titles, "book_id")
+    planted = odd.select(F.lit(None).cast("long").alias("para_id"), "book_id", "doc_pos", F.lit(-1).alias("para_pos"), F.lit("heading").alias("kind"), F.upper("title").alias("text"))
+    return C.running_headers(table(spark, sf_dir, "spine_docs"), _paragraphs(spark, sf_dir).unionByName(planted), books)
+
+
 def toc_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _targets(spark, sf_dir).select("book_id", "toc_pos", "doc_pos")
 
@@ -219,7 +320,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_report, sentence_split, clip_fill, clip_keys, pending, chapter_counts, batch_assign, token_caps, sentence_gaps, silence_timeline, book_timeline, vtt_cues, vtt_files,
-        metadata_files, chapter_report, guard_window, retry_best, doc_exclusion, running_headers, toc_targets, toc_monotone, section_fold, chapter_mode, heading_islands,
+        metadata_files, chapter_report, guard_window, retry_best, doc_exclusion, running_headers, running_headers_planted, retry_rounds, retry_settled, chapter_plans, stale_chapters, engine_chars, trimmed_samples, epub_round_trip, toc_targets, toc_monotone, section_fold, chapter_mode, heading_islands,
         chapters_detected, dump_text, label_promotion, collapsed, title_keys, title_bytes, page_paragraphs, spoken_text,
     )
 }

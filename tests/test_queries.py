@@ -5,10 +5,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from folioflow.plans import queries as plans
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = plans.QUERIES, plans.SQL
 
 
 def rows(df):
