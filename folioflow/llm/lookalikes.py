@@ -10,7 +10,7 @@ Null stays null, the empty text stays empty; texts of any length are rewritten w
 from __future__ import annotations
 
 import unicodedata as ud
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 import regex as re
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.session import cut
+from folioflow.session import SALTS, cut, known_rows
 
 # Letters that print alike, each with the letter it comes out as.
 LOOKALIKES = {
@@ -95,9 +95,41 @@ def check(made: dict[str, str]) -> None:
 
 
 @cache
+def transducer() -> tuple[dict, int]:
+    """The table compiled into a trie of single steps, each node (next nodes, output or None), over decomposed clusters: every
+    precomposed letter stands in it decomposed as well, so that one walk takes the longest sequence the table knows."""
+    root: dict = {}
+    most = 1
+    for c, to in table().items():
+        for spelling in {c, ud.normalize("NFD", c)}:
+            node = root
+            for x in spelling:
+                node = node.setdefault(x, {})
+            node[""] = to
+            most = max(most, len(spelling))
+    return root, most
+
+
+def transduced(cluster: str) -> str:
+    """One cluster rewritten in one pass: at each place the longest sequence that the table knows, else the character itself."""
+    root, _ = transducer()
+    out, at = [], 0
+    while at < len(cluster):
+        node, end, made = root, at + 1, cluster[at]
+        for k in range(at, len(cluster)):
+            node = node.get(cluster[k])
+            if node is None:
+                break
+            if "" in node:
+                end, made = k + 1, node[""]
+        out.append(made)
+        at = end
+    return "".join(out)
+
+
+@lru_cache(maxsize=100_000)
 def _cluster(s: str) -> str:
-    made = table()
-    out = "".join(made.get(c, c) if len(c) else c for c in ud.normalize("NFD", s) if not _invisible(c)) if len(s) > 1 else made.get(s, s)
+    out = transduced("".join(c for c in ud.normalize("NFD", s) if not _invisible(c)) if len(s) > 1 else s)
     # look-alikes under accents are found on the decomposed form
     return ud.normalize("NFC", "".join(LOOKALIKES.get(c, c) for c in ud.normalize("NFD", out)))
 
@@ -118,7 +150,7 @@ def one_form(text: str | None) -> str | None:
                 return _PICTURE.match(s)[0] + "".join(c for c in s[1:] if not _invisible(c) or c == "‍")
             if _VIRAMA.search(s) and re.search(r"[्্੍્୍்్್്්][‌‍]\Z", s):
                 return _cluster(s) + s[-1]
-        return _cluster(s) if len(s) <= 16 else ud.normalize("NFC", "".join(_cluster(c) for c in s))
+        return _cluster(s)
 
     out = _CLUSTER.sub(step, text)
     return out if ud.is_normalized("NFC", out) else _settled(out)
@@ -153,9 +185,12 @@ def equal_print_pairs(items: DataFrame, least: int) -> DataFrame:
     kept = cut(form.distinct())
     wordings = kept.select("k1", "k2", "v").distinct()
     mixed = wordings.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
-    wordings = wordings.join(mixed, ["k1", "k2"])
-    a, b = wordings.select("k1", "k2", F.col("v").alias("va")), wordings.select("k1", "k2", F.col("v").alias("vb"))
-    pairs = a.join(b, ["k1", "k2"]).where("va < vb").select("va", "vb")
+    wordings = cut(wordings.join(mixed, ["k1", "k2"]))
+    # a form with many wordings is spread as well: each wording meets the others in SALTS parts
+    part = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+    a = wordings.select("k1", "k2", F.col("v").alias("va"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    b = wordings.select("k1", "k2", F.col("v").alias("vb"), part.alias("part"))
+    pairs = a.join(b, ["k1", "k2", "part"]).where("va < vb").select("va", "vb")
     members = kept.join(mixed, ["k1", "k2"], "left_semi").select("id", "v")
     salts = 8
     left = members.select(F.col("v").alias("va"), F.col("id").alias("ia"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("sa"))
@@ -163,3 +198,17 @@ def equal_print_pairs(items: DataFrame, least: int) -> DataFrame:
     spread = pairs.withColumn("sa", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).join(left, ["va", "sa"])
     spread = spread.select("vb", "ia", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("sb")).join(right, ["vb", "sb"])
     return spread.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).where("a < b").distinct()
+
+
+def print_classes(items: DataFrame, least: int) -> DataFrame:
+    """(id, class_id, wordings, links) of all items (id, text) of at least ``least`` code points that print the same as one with
+    another text: one row an item instead of all pairs. ``class_id`` is the least id of those that print so, ``wordings`` how many
+    texts they have, ``links`` how many items with another text the item is equal to. An id with several texts counts for the
+    least of them."""
+    long = items.where(F.length("text") >= least).groupBy("id").agg(F.min("text").alias("text"))
+    form = cut(unified(long).select("id", F.xxhash64("one_form").alias("k1"), F.md5("one_form").alias("k2"), F.md5("text").alias("v")))
+    # sums per wording come first, so a form that a third of all items share is a few rows
+    wordings = form.groupBy("k1", "k2", "v").agg(F.count("*").alias("n"), F.min("id").alias("least_id"))
+    classes = wordings.groupBy("k1", "k2").agg(F.min("least_id").alias("class_id"), F.count("*").alias("wordings"), F.sum("n").alias("all")).where("wordings > 1")
+    told = wordings.join(classes, ["k1", "k2"]).select("v", "k1", "k2", "class_id", "wordings", (F.col("all") - F.col("n")).alias("links"))
+    return known_rows(form, told, "k1", "k2", "v").select("id", "class_id", "wordings", "links")

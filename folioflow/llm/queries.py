@@ -45,6 +45,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.equal_print_pairs(scanned(items), PRINT_LEAST).select(F.col("a").alias("para_id_a"), F.col("b").alias("para_id_b"))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as classes: every paragraph that prints like one with another text, with its class and its number of links."""
+    items = table(spark, sf_dir, "paragraphs").select(F.col("para_id").alias("id"), "text")
+    return lookalikes.print_classes(scanned(items), PRINT_LEAST).withColumnRenamed("id", "para_id")
+
+
 def p4_clip_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence with the clip key of its one form, and whether its stored key was made from another form."""
     sents = spread(table(spark, sf_dir, "sentences").select("sent_id", "text", "clip_key"), "sent_id").distinct()
@@ -153,6 +159,7 @@ QUERIES = {
     "p3_clean": p3_clean,
     "p3_wrappers": p3_wrappers,
     "p4_found": p4_found,
+    "p4_classes": p4_classes,
     "p4_clip_keys": p4_clip_keys,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,

@@ -50,6 +50,25 @@ def test_pairs_equal_brute_force(spark):
     assert L.equal_print_pairs(spark.createDataFrame([], "id long, text string"), 60).count() == 0
 
 
+def test_longest_sequence_wins():
+    assert L.transduced("\r\n") == "\n" and L.transduced("\ra") == "\na" and L.transduced("ﬃ") == "ffi"
+    assert L.one_form("\u0435\u0301") == "é" and L.one_form("ё") == L.one_form("e\u0308")  # look-alikes under accents, however composed
+    for c, to in list(L.table().items())[:3000]:
+        assert ud.normalize("NFC", L.transduced(c)) == ud.normalize("NFC", to)
+        assert L.one_form(c + "\u0301" * 40) == L.one_form(ud.normalize("NFC", c) + "\u0301" * 40)
+
+
+def test_classes_hold_the_same_links_as_the_pairs(spark):
+    texts = [BASE, BASE.replace("о", "o"), BASE.replace(" ", "\u00a0"), BASE + "!", BASE, BASE.replace("é", "e\u0301") + "!", BASE + "?", None, "short"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "id long, text string")
+    links = {}
+    for r in L.equal_print_pairs(df, 60).collect():
+        for x in (r.a, r.b):
+            links[x] = links.get(x, 0) + 1
+    got = {r.id: r for r in L.print_classes(df, 60).collect()}
+    assert {k: r.links for k, r in got.items()} == links and got[2].class_id == 0 and got[0].wordings == len({texts[i] for i in (0, 1, 2, 4)})
+
+
 def test_many_copies_of_one_wording(spark):
     rows = [(i, BASE) for i in range(300)] + [(1000 + i, BASE.replace("о", "o")) for i in range(3)]
     assert L.equal_print_pairs(spark.createDataFrame(rows, "id long, text string"), 60).count() == 900
