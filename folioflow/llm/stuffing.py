@@ -146,7 +146,12 @@ def diverges(own: list[str], rates: Rates, dense: bool = False) -> bool:
     return True
 
 
-def diverging(text: str, rates: Rates) -> tuple[float, float, Counter]:
+def marks(rates: Rates) -> frozenset[str]:
+    """The words that mark prose in any of the languages of ``rates``."""
+    return frozenset().union(*([rates] if isinstance(rates, dict) else rates))
+
+
+def diverging(text: str, rates: Rates, prose: frozenset[str] | None = None) -> tuple[float, float, Counter]:
     """Share of the characters in diverging lines, share of those in lines of links or tags, and how often
     the page uses each word that doesn't mark prose.
 
@@ -184,8 +189,8 @@ def diverging(text: str, rates: Rates) -> tuple[float, float, Counter]:
     if short_size and (not short or diverges(short, rates, dense)):
         apart += short_size
         linked += short_linked
-    known = [rates] if isinstance(rates, dict) else rates
-    return apart / whole if whole else 0.0, linked / apart if apart else 0.0, Counter({w: n for w, n in found.items() if not w.isdigit() and not any(w in of for of in known)})
+    prose = marks(rates) if prose is None else prose
+    return apart / whole if whole else 0.0, linked / apart if apart else 0.0, Counter({w: n for w, n in found.items() if w not in prose and not w.isdigit()})
 
 
 MEASURES = ("slope", "residual", "height")
@@ -203,11 +208,12 @@ def curves(pages: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rates = shared.value
+        prose = {lang: marks(of) for lang, of in rates.items()}
         kind = pa.list_(pa.struct([("n", pa.int32()), ("k", pa.int32())]))
         for batch in batches:
             out = defaultdict(list)
             for doc, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                apart, linked, found = diverging(text, rates.get(lang or "und", rates[""]))
+                apart, linked, found = diverging(text, rates.get(lang or "und", rates[""]), prose.get(lang or "und", prose[""]))
                 out["doc_id"].append(doc)
                 out["lang"].append(lang or "und")
                 out["apart"].append(apart)
