@@ -187,4 +187,7 @@ SELECT key, CASE WHEN voice = 0 OR lead + voice + trail < 80 THEN lead + voice +
     "epub_round_trip": f"""WITH {PARAS}, c AS (SELECT para_id, kind, {_COLLAPSED} AS t FROM paras WHERE text IS NOT NULL)
 SELECT para_id, 'Book ' || para_id AS title, 'Writer ' || para_id % 7 AS author, 'picture ' || para_id AS cover, 'd' || para_id % 5 AS doc_id, 'a ' || para_id || '.xhtml' AS href, 'Entry ' || para_id AS entry,
   'a ' || para_id || '.xhtml#x' AS target, 2 AS depth, CASE WHEN kind = 'row' THEN 'row' WHEN kind = 'heading' OR {_LABELLED} THEN 'heading' ELSE 'body' END AS kind, t AS text FROM c WHERE t <> ''""",
+    "book_lengths": f"WITH {TIMELINE}, w AS (SELECT book_id, floor(sum(samples) / 24000.0::DOUBLE)::BIGINT AS s FROM lens GROUP BY book_id) SELECT book_id, printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) AS length FROM w",
+    "concat_files": r"""WITH c AS (SELECT DISTINCT book_id, chapter_idx, '/it''s here/' || book_id || '-' || chapter_idx || '.wav' AS path FROM chapters)
+SELECT book_id, md5('ffconcat version 1.0' || chr(10) || string_agg('file ' || chr(39) || replace(path, chr(39), chr(39) || '\' || chr(39) || chr(39)) || chr(39) || chr(10), '' ORDER BY chapter_idx)) AS digest FROM c GROUP BY book_id""",
 }

@@ -107,6 +107,19 @@ def book_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _on_book(_placed(spark, sf_dir), spark, sf_dir).select("book_id", "chapter_idx", "samples", "book_start", "mark_start", "mark_end")
 
 
+def book_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long every book is, as hours, minutes and seconds."""
+    whole = _on_book(_placed(spark, sf_dir), spark, sf_dir).groupBy("book_id").agg(F.sum("samples").alias("samples"))
+    return whole.select("book_id", timing.hms(F.col("samples") / timing.RATE).alias("length"))
+
+
+def concat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of chapter files that the encoder joins, for every book."""
+    path = F.concat(F.lit("/it's here/"), "book_id", F.lit("-"), F.col("chapter_idx").cast("string"), F.lit(".wav"))
+    listed = timeline.concat_list(table(spark, sf_dir, "chapters").select("book_id", "chapter_idx", path.alias("path")).distinct())
+    return listed.select("book_id", F.md5("listing").alias("digest"))
+
+
 def vtt_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = _placed(spark, sf_dir)
     return timeline.cues(placed, _on_book(placed, spark, sf_dir)).select("sent_id", "cue")
@@ -319,7 +332,7 @@ def spoken_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        document_report, sentence_split, clip_fill, clip_keys, pending, chapter_counts, batch_assign, token_caps, sentence_gaps, silence_timeline, book_timeline, vtt_cues, vtt_files,
+        document_report, sentence_split, clip_fill, clip_keys, pending, chapter_counts, batch_assign, token_caps, sentence_gaps, silence_timeline, book_timeline, book_lengths, concat_files, vtt_cues, vtt_files,
         metadata_files, chapter_report, guard_window, retry_best, doc_exclusion, running_headers, running_headers_planted, retry_rounds, retry_settled, chapter_plans, stale_chapters, engine_chars, trimmed_samples, epub_round_trip, toc_targets, toc_monotone, section_fold, chapter_mode, heading_islands,
         chapters_detected, dump_text, label_promotion, collapsed, title_keys, title_bytes, page_paragraphs, spoken_text,
     )
