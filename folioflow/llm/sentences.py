@@ -303,13 +303,13 @@ _OPEN = pa.list_(pa.struct([("end", pa.int32()), ("state", pa.int32()), ("word",
 _USES = "abenum"
 _ROWS = (
     "para_id long, book_id string, doc_pos int, sure array<int>, open array<struct<end:int,state:int,word:string,next:string>>, "
-    "doc long, word string, a int, b int, e int, n int, u int, m int"
+    "doc long, word string, used int, times int"
 )
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (para_id, book_id, doc_pos, asked, doc, text) rows: the ends of each text that is asked for, as one row, and the uses of
-    the words of all texts, summed per batch and document, each (doc, word) one row."""
+    the words of all texts, summed per batch and document."""
     for batch in batches:
         ids, books, places, asked, docs, texts = (batch.column(i).to_pylist() for i in range(6))
         kept: tuple[list, ...] = ([], [], [], [], [])
@@ -322,24 +322,22 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 still = [{"end": e, "state": state, "word": w, "next": n} for e, state, w, n in ends if state != SURE]
                 for column, value in zip(kept, (pid, book, place, sure, still), strict=True):
                     column.append(value)
-        told: dict[tuple[int, str], list[int]] = {}
+        # a row for each use of a word, taken from the counters as they are
+        of, words, used, times = [], [], [], []
         for doc, uses in counts.items():
             for place, use in enumerate(_USES):
-                for word, n in uses[use].items():
-                    row = told.get((doc, word))
-                    if row is None:
-                        row = told[doc, word] = [0] * 6
-                    row[place] = n
-            told.pop((doc, ""), None)
-        k, n = len(kept[0]), len(told)
+                if own := uses.get(use):
+                    of += [doc] * len(own)
+                    words += own
+                    used += [place] * len(own)
+                    times += own.values()
+        k, n = len(kept[0]), len(of)
         none = lambda size, kind: pa.nulls(size, kind)
         join = lambda x, y: pa.chunked_array([x, y]).combine_chunks()
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), _OPEN)
         own = [join(pa.array(c, t), none(n, t)) for c, t in zip(kept, kinds, strict=True)]
-        evidence = [join(none(k, pa.int64()), pa.array([d for d, _ in told], pa.int64())), join(none(k, pa.string()), pa.array([w for _, w in told], pa.string()))]
-        sums = list(zip(*told.values())) or [()] * 6
-        evidence += [join(none(k, pa.int32()), pa.array(c, pa.int32())) for c in sums]
-        yield pa.RecordBatch.from_arrays(own + evidence, names=[c.split()[0] for c in ("para_id", "book_id", "doc_pos", "sure", "open", "doc", "word", *_USES)])
+        evidence = [join(none(k, t), pa.array(c, t)) for c, t in ((of, pa.int64()), (words, pa.string()), (used, pa.int32()), (times, pa.int32()))]
+        yield pa.RecordBatch.from_arrays(own + evidence, names=["para_id", "book_id", "doc_pos", "sure", "open", "doc", "word", "used", "times"])
 
 
 def _by_document(a: Column, b: Column, n: Column) -> Column:
@@ -406,8 +404,8 @@ def sentence_ends(paragraphs: DataFrame, published: DataFrame | None = None) ->
     own = paragraphs.where(F.col("text").isNotNull())
     own = own.select("para_id", "book_id", has("doc_pos", 0).cast("int").alias("doc_pos"), F.coalesce(has("asked", True), F.lit(False)).alias("asked"), F.xxhash64("book_id").alias("doc"), "text")
     rows = cut(own.mapInArrow(_scanned, _ROWS))
-    evidence = rows.where("doc is not null").select("doc", "word", *_USES)
-    evidence = spread(evidence, "word").groupBy("word", "doc").agg(*[F.sum(c).alias(c) for c in _USES])
+    evidence = spread(rows.where("doc is not null and word <> ''").select("doc", "word", "used", "times"), "word")
+    evidence = evidence.groupBy("word", "doc").agg(*[F.sum(F.when(F.col("used") == place, F.col("times")).otherwise(0)).alias(use) for place, use in enumerate(_USES)])
     ends = rows.where("sure is not null").select("para_id", "book_id", "doc_pos", "sure", "open")
     if published is not None:
         ends = known_rows(ends, published.select("book_id", "doc_pos").distinct(), "book_id", "doc_pos", how="left_semi")
