@@ -316,7 +316,7 @@ class _Shared:
 
     def __init__(self, spark, counts: dict[str, int], total: int, learned: dict[str, int]):
         self.cast = spark.sparkContext.broadcast((counts, total, learned))
-        self.id = id(self.cast) ^ hash(tuple(learned))
+        self.id = self.cast._jbroadcast.id()  # no other broadcast of the session has it
 
     @property
     def value(self):

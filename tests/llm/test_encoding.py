@@ -7,6 +7,8 @@ CLEAN = [
     "Никто не видел мост на краю деревни после ужина", "Как странно выглядел дом, где он починил ключ", "为什么周云澄忘记了渡船和铜镜", "Γιατί ο γέρος έχασε το κερί και τον χάρτη",
 ]
 
+HAN = ["林安云打量着马车", "谁也没有看见渡船", "他在村口画下木桶", "收割时称赞了石桥", "整整一夜擦亮书架", "听说井台多么旧啊"]
+
 
 def garble(text, writer, reader):
     raw = text.encode(writer)
@@ -29,9 +31,10 @@ def find(spark, rows):
 )
 def test_round_trip(spark, text, writer, reader):
     # a text without ASCII can't meet a twin: its code is learned from several odd words
-    more = [garble(text[k : k + 6], writer, reader) for k in range(7)] if " " not in text else []
-    got = find(spark, corpus([garble(text, writer, reader), *more]))
-    assert set(got) == {f"g{k}" for k in range(1 + len(more))} and got["g0"].restored == text
+    texts = [text] if " " in text else HAN
+    rows = corpus([garble(t, writer, reader) for t in texts]) + [("paragraph", f"h{i}-{k}", f"{t}{k}") for i, t in enumerate(HAN) for k in range(800) if len(texts) > 1]
+    got = find(spark, rows)
+    assert {k: r.restored for k, r in got.items()} == {f"g{k}": t for k, t in enumerate(texts)}
 
 
 def test_only_what_is_learned_is_undone(spark):
