@@ -50,23 +50,29 @@ def scanned(df: DataFrame) -> DataFrame:
     return df if parts >= df.sparkSession.sparkContext.defaultParallelism else df.repartition(tasks(df.sparkSession))
 
 
-def small(df: DataFrame) -> bool:
-    """Whether the rows of ``df``, as counted, take at most ``BROADCAST_BYTES``."""
-    texts = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
-    n, *sizes = df.agg(F.count("*"), *texts).first()
-    return n * 8 * len(df.columns) + sum(sizes) <= BROADCAST_BYTES
+def small(df: DataFrame, *keys: str) -> bool:
+    """Whether the rows of ``df``, as counted, take at most ``BROADCAST_BYTES`` as a broadcast table that is looked up by ``keys``.
+
+    Such a table is built on the driver and takes several times what its values do. Every row stands there with its key beside
+    it: 16 bytes of lengths and links, 8 bytes a field and 8 more for each of the two, texts in whole words of 8 bytes, and up
+    to four slots of 16 bytes in the index."""
+    texts = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+    words = [F.coalesce(F.sum(F.ceil(F.octet_length(c) / 8)), F.lit(0)) for c in texts]
+    n, *sizes = df.agg(F.count("*"), *words).first()
+    fixed = 16 + 8 * (1 + len(df.columns)) + 8 * (1 + len(keys)) + 4 * 16
+    return n * fixed + sum(8 * int(size) * (2 if c in keys else 1) for c, size in zip(texts, sizes, strict=True)) <= BROADCAST_BYTES
 
 
 def known_rows(rows: DataFrame, known: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``known`` (few rows a key) on ``keys``. A ``known`` of at most ``BROADCAST_BYTES``, as counted, goes to all
     executors, and ``rows`` stay where they are. A larger one is salted, so that a key that a third of ``rows`` share is no
-    hot task. Both ways give the same rows."""
+    hot task; it never passes through the driver, whatever size the optimizer takes it for. Both ways give the same rows."""
     known = cut(known)
-    if small(known):
+    if small(known, *keys):
         return rows.join(F.broadcast(known), list(keys), how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
     spread_out = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread_out, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(spread_out.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 __all__ = ["FANOUT", "checkpoint_dir", "cut", "known_rows", "scanned", "small", "spread", "tasks"]
